@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import weak_supervision
+from . import simhash, weak_supervision
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op9_bitsliced_simhash": simhash.query,
     "op10_weak_supervision": weak_supervision.query,
 }
 ORACLES: dict[str, str] = {}
