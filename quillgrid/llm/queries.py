@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash, weak_supervision
+import corpus_pipeline
+
+from . import language_id, packing, secret_scan, simhash, weak_supervision
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_recursive_secret_scan": secret_scan.query,
+    "op6_cutting_stock_packing": packing.query,
+    "op7_bayes_language_id": language_id.query,
     "op9_bitsliced_simhash": simhash.query,
     "op10_weak_supervision": weak_supervision.query,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {}
