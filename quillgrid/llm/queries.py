@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import language_id, packing, secret_scan, simhash, weak_supervision
+from . import language_id, mpeg_audio, packing, secret_scan, simhash, tree_bpe, weak_supervision
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_recursive_secret_scan": secret_scan.query,
+    "op5_tree_concat_bpe": tree_bpe.query,
     "op6_cutting_stock_packing": packing.query,
     "op7_bayes_language_id": language_id.query,
+    "op8_mpeg_audio": mpeg_audio.query,
     "op9_bitsliced_simhash": simhash.query,
     "op10_weak_supervision": weak_supervision.query,
     "pipeline": corpus_pipeline.run,
