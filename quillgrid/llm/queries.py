@@ -8,10 +8,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
-from . import language_id, mpeg_audio, packing, secret_scan, simhash, tree_bpe, weak_supervision
+from . import (
+    html_extract,
+    kneser_ney,
+    language_id,
+    mpeg_audio,
+    packing,
+    secret_scan,
+    simhash,
+    surrogates,
+    tree_bpe,
+    weak_supervision,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_kneser_ney_quality": kneser_ney.query,
+    "op2_html_tree_extract": html_extract.query,
     "op3_recursive_secret_scan": secret_scan.query,
+    "op4_surrogate_pii": surrogates.query,
     "op5_tree_concat_bpe": tree_bpe.query,
     "op6_cutting_stock_packing": packing.query,
     "op7_bayes_language_id": language_id.query,
