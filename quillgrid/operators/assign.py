@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -27,41 +27,37 @@ def token_rows(tokens: DataFrame, rows: DataFrame, least: float) -> DataFrame:
     return pairs.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "r_min", "r_max")
 
 
-def _best(candidates: DataFrame, gap: float) -> DataFrame:
-    """The best cell of each token unless the second is within gap."""
-    w = Window.partitionBy(*KEY).orderBy(F.desc("score"), "cell_row", "cell_col")
-    ranked = candidates.withColumn("_k", F.row_number().over(w)).withColumn("_next", F.lead("score").over(w))
-    return ranked.where(F.col("_k") == 1).where(F.col("_next").isNull() | (F.col("score") - F.col("_next") >= gap)).drop("_k", "_next")
-
-
-def token_cells(tokens: DataFrame, rows: DataFrame, cells: DataFrame, gap: float = 0.12) -> DataFrame:
+def token_cells(tokens: DataFrame, rows: DataFrame, cells: DataFrame, gap: float = 0.12, step: int = 32) -> DataFrame:
     """The cell of each token: in its row, else in a row beside it, else anywhere in its document.
 
     A cell is a candidate if it holds enough of the token's area, a number
-    more than a text; the best one counts unless the second is as good. All
-    three tiers come from one join with the cells.
+    more than a text; the best one counts unless the second is within gap.
+    Tokens and cells meet in bands of step pixels, once each, and all three
+    tiers come from that one join.
     """
-    num = is_numeric_like(F.col("text"))
     order = Window.partitionBy("doc_id").orderBy("row_no")
     seq = rows.select("doc_id", F.col("row_no").alias("r"), F.row_number().over(order).alias("seq"))
     best = token_rows(tokens, rows, 0.1).select(*KEY, F.col("row").alias("r"), "share").join(seq, ["doc_id", "r"]).select(*KEY, F.col("seq").alias("best_seq"), F.col("share").alias("row_share"))
     boxes = cells.select("doc_id", F.col("row_no").alias("cell_row"), F.col("col_no").alias("cell_col"), *[F.col(c).alias(f"c_{c}") for c in ("min_x", "max_x", "min_y", "max_y")])
     boxes = boxes.join(seq.withColumnRenamed("r", "cell_row"), ["doc_id", "cell_row"])
+
+    def banded(frame: DataFrame, low: Column, high: Column, name: str) -> DataFrame:
+        frame = frame.withColumn(name, F.floor(low / step))
+        return frame.withColumn("band", F.explode(F.sequence(F.col(name), F.floor(high / step))))
+
     t, c = g.box(), g.box("c_")
-    pairs = tokens.withColumn("num", num).join(best, KEY, "left").join(boxes, "doc_id")
-    pad = F.when(F.col("num"), 1.5).otherwise(3.0)
-    near = (F.col("c_min_x") - pad < F.col("max_x")) & (F.col("c_max_x") + pad > F.col("min_x")) & (F.col("c_min_y") - pad < F.col("max_y")) & (F.col("c_max_y") + pad > F.col("min_y"))
+    left = banded(tokens.withColumn("num", is_numeric_like(F.col("text"))).join(best, KEY, "left"), F.col("min_y") - 3, F.col("max_y") + 3, "t_band")
+    pairs = left.join(banded(boxes, F.col("c_min_y"), F.col("c_max_y"), "c_band"), ["doc_id", "band"]).where(F.col("band") == F.greatest("t_band", "c_band"))
     share = F.when(F.col("num"), g.inside_share(t, c, 1.5)).otherwise(g.inside_share(t, c, 3.0))
-    pairs = pairs.where(near).withColumn("inside", share).where(F.col("inside") >= F.when(F.col("num"), 0.55).otherwise(0.30))
-    pairs = pairs.withColumn("score", g.fit_score(t, c, F.col("inside"), F.col("num")))
+    pairs = pairs.withColumn("inside", share).where(F.col("inside") >= F.when(F.col("num"), 0.55).otherwise(0.30))
     off = F.abs(F.col("seq") - F.col("best_seq"))
-    tiers = [("row_scoped", 0, (off == 0) & (F.col("row_share") > 0.3)), ("neighbor_row", 1, off == 1), ("global_fallback", 2, F.lit(True))]
-    found = None
-    for name, rank, fits in tiers:
-        own = _best(pairs.where(fits), gap).select(*KEY, "cell_row", "cell_col", "score", F.lit(name).alias("strategy"), F.lit(rank).alias("tier"))
-        found = own if found is None else found.unionByName(own)
-    w = Window.partitionBy(*KEY).orderBy("tier")
-    return found.withColumn("_k", F.row_number().over(w)).where("_k = 1").drop("_k", "tier")
+    tiers = F.array_compact(F.array(F.when((off == 0) & (F.col("row_share") > 0.3), 0), F.when(off == 1, 1), F.lit(2)))
+    scored = pairs.select(*KEY, "cell_row", "cell_col", g.fit_score(t, c, F.col("inside"), F.col("num")).alias("score"), F.explode(tiers).alias("tier"))
+    w = Window.partitionBy(*KEY, "tier").orderBy(F.desc("score"), "cell_row", "cell_col")
+    first = scored.withColumn("_k", F.row_number().over(w)).withColumn("_next", F.lead("score").over(w)).where("_k = 1").where(F.col("_next").isNull() | (F.col("score") - F.col("_next") >= gap))
+    names = F.element_at(F.array(F.lit("row_scoped"), F.lit("neighbor_row"), F.lit("global_fallback")), F.col("tier") + 1)
+    taken = first.groupBy(*KEY).agg(F.min(F.struct("tier", "cell_row", "cell_col", "score")).alias("m"))
+    return taken.select(*KEY, "m.*").withColumn("strategy", names).drop("tier")
 
 
 def neighbours(tokens: DataFrame, step: int = 64) -> DataFrame:
@@ -105,14 +101,14 @@ def nearest_row(tokens: DataFrame, rows: DataFrame) -> DataFrame:
 
 def nearest_column(tokens: DataFrame, columns: DataFrame, within: int | None = None) -> DataFrame:
     """The column whose center is nearest to each token's center, within some pixels; numbers that look like a tax rate don't go to quantities."""
-    c = columns.select("doc_id", "col_no", "semantic", (F.col("min_x") + F.col("max_x")).alias("c2"))
+    c = columns.select("doc_id", F.col("col_no").alias("near_col"), "semantic", (F.col("min_x") + F.col("max_x")).alias("c2"))
     rate = F.regexp_replace("text", "[%\\s]", "").isin("2.5", "2.50", "5", "5.0", "5.00", "12", "12.0", "12.00", "18", "18.0", "18.00", "28", "28.0", "28.00")
     letters = F.length(F.regexp_replace("text", "[^A-Za-z]", "")) >= 3
     barred = (rate & (F.col("semantic") == "quantity")) | (letters & F.col("semantic").isin("quantity", "rate", "amount"))
     d = F.abs(F.col("min_x") + F.col("max_x") - F.col("c2"))
     pairs = tokens.join(c, "doc_id").withColumn("d2", d).where(~barred)
     pairs = pairs if within is None else pairs.where(F.col("d2") < 2 * within)
-    return pairs.groupBy(*KEY).agg(F.min(F.struct("d2", "col_no")).alias("m")).select(*KEY, F.col("m.col_no").alias("col_no"), F.col("m.d2").alias("distance2"))
+    return pairs.groupBy(*KEY).agg(F.min(F.struct("d2", "near_col")).alias("m")).select(*KEY, F.col("m.near_col").alias("col_no"), F.col("m.d2").alias("distance2"))
 
 
 def inside_boxes(tokens: DataFrame, boxes: DataFrame) -> DataFrame:

@@ -26,9 +26,9 @@ def row_math(lines: DataFrame) -> DataFrame:
     return lines.withColumn("formula", f).withColumn("passed", F.when(F.col("formula") == "zero_amount", F.col("qty") == 0).otherwise(~F.col("formula").isin("math_failed", "all_formulas_failed")))
 
 
-def duplicates(lines: DataFrame) -> DataFrame:
-    """Add same_amount: how many rows of the document have the row's amount."""
-    return lines.withColumn("same_amount", F.count("*").over(Window.partitionBy("doc_id", "amount")))
+def duplicates(lines: DataFrame, unit: int = 1) -> DataFrame:
+    """Add same_amount: how many rows of the document have the row's amount, in whole units."""
+    return lines.withColumn("_a", F.expr(f"amount div {unit}")).withColumn("same_amount", F.count("*").over(Window.partitionBy("doc_id", "_a"))).drop("_a")
 
 
 def is_rate(value: Column) -> Column:
@@ -47,15 +47,20 @@ def repeated_rates(text: Column) -> Column:
     return fused | (F.size(F.filter(decimals_in(text), is_rate)) >= 4)
 
 
+def _first_with(pattern: str) -> Column:
+    """The place of the first cell that matches, 0 if none does."""
+    return F.array_position(F.transform("cells", lambda c: c.rlike(pattern)), True)
+
+
 def label_candidates(rows: DataFrame) -> DataFrame:
     """Values that footer rows give for labels, from rows (doc_id, row_no, cells: array of texts by x).
 
     A value stands behind its label in the same cell, else in cells to the
     right. A row that holds both subtotal and grand total is one of the latter.
     """
-    found = rows.select("doc_id", "row_no", "cells", F.explode(F.map_from_arrays(F.array(*map(F.lit, LABELS)), F.array(*[F.array_position(F.transform("cells", lambda c, p=p: c.rlike(p)), True) for p in LABELS.values()]))).alias("label", "at")).where("at > 0")
-    cell = F.element_at("cells", F.col("at").cast("int"))
-    tail = F.coalesce(*[F.when(F.col("label") == k, F.element_at(F.split(cell, p, 2), 2)) for k, p in LABELS.items()])
+    found = rows.select("doc_id", "row_no", "cells", F.explode(F.map_from_arrays(F.array(*map(F.lit, LABELS)), F.array(*[_first_with(p) for p in LABELS.values()]))).alias("label", "at")).where("at > 0")
+    cell = F.get("cells", F.col("at").cast("int") - 1)
+    tail = F.coalesce(*[F.when(F.col("label") == k, F.get(F.split(cell, p, 2), F.lit(1))) for k, p in LABELS.items()])
     found = found.withColumn("own", decimals_in(F.coalesce(tail, F.lit("")))).withColumn("right", F.flatten(F.transform(F.slice("cells", F.col("at").cast("int") + 1, F.size("cells")), decimals_in)))
     rate_only = F.col("label").isin(*TAXES) & (F.size("right") > 0) & ((F.size("own") > 2) | ~F.exists("own", lambda v: ~is_rate(v)))
     found = found.withColumn("strategy", F.when((F.size("own") > 0) & rate_only, "right_cell_after_tax_rate").when(F.size("own") > 0, "same_cell_after_label").when(F.size("right") > 0, "right_cell"))

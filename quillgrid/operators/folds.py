@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 
 
 def folded(rows: DataFrame, step: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "doc_id") -> DataFrame:
-    return rows.groupBy(key).applyInPandas(step, schema)
+    return rows.groupBy(key).applyInPandas(lambda frame: step(frame), schema)  # defaults of step aren't further arguments
 
 
 def _mid(frame: pd.DataFrame, axis: str) -> np.ndarray:

@@ -5,19 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from . import finance, layout, tables, text
 
-def row_math_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Which formula explains each order line's amount, with counts and sums in minor units."""
-    gross = F.round(F.col("l_extendedprice") * 100).cast("bigint")
-    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
-        gross.alias("g"), F.round("l_quantity").cast("bigint").alias("q"), F.round(F.col("l_discount") * 100).cast("bigint").alias("dp")
-    )
-    lines = lines.selectExpr("q", "dp", "(g + q div 2) div q as r", "(g * (100 - dp) + 50) div 100 as a")
-    formula = F.expr("case when a = 0 and q = 0 then 'zero' when abs(q * r - a) <= 100 then 'qty_x_rate' when abs(q * r - dp * 100 - a) <= 100 then 'absolute_discount' when abs((q * r * (100 - dp) + 50) div 100 - a) <= 100 then 'percentage_discount' when abs(q * (r - dp * 100) - a) <= 100 then 'per_unit_discount' else 'mismatch' end")
-    return lines.groupBy(formula.alias("formula")).agg(F.count("*").alias("n_rows"), F.sum("a").alias("amount"))
-
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"row_math_audit": row_math_audit}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+for _module in (finance, text, layout, tables):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
