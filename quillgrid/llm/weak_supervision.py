@@ -7,9 +7,9 @@ probability of being good reaches the threshold. A document that fails a base
 rule (too short, or mostly repeated) goes without a vote.
 
 Defined results: a null or empty text has no words and fails the base rule;
-repeated rows are judged alike; an empty table gives an empty result; columns
-that come along are kept, and a column of the input that has the name of a
-measure is replaced by the measure.
+repeated rows are judged alike; an empty table gives an empty result; with_measures()
+replaces a column of the input that has the name of a measure, and the
+pipeline stage leaves all columns as they were.
 """
 
 from __future__ import annotations
@@ -170,7 +170,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents that the rules reject go; columns stay as they are."""
     columns = docs.columns
     model = learn(with_measures(docs.select("text")))
-    return judged(with_measures(docs), model).where("kept").select(*columns)
+    aside = [c if c == "text" else f"_c{i}" for i, c in enumerate(columns)]  # no name of the input meets one of ours
+    return judged(with_measures(docs.toDF(*aside)), model).where("kept").select(*aside).toDF(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
