@@ -20,6 +20,7 @@ kinds, which are replaced.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,20 +43,38 @@ GIVEN = (
     ("Γιώργος", "Νίκος", "Δημήτρης", "Κώστας", "Γιάννης"),
 )
 TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Señor", "Señora", "Sr", "Sra", "Господин", "Госпожа", "Κύριος", "Κυρία")
-_WORD = r"\p{Lu}[\p{Ll}\p{M}]+(?:[-'’]\p{Lu}[\p{Ll}\p{M}]+)*"
-#: Kinds in the order in which they are tried. None holds a capturing group.
+NAMES = tuple(x for row in GIVEN for x in row)
+_WORD = r"\p{Lu}[\p{Ll}\p{M}]++(?:[-'’]\p{Lu}[\p{Ll}\p{M}]++)*+"
+
+
+def any_of(words: tuple[str, ...]) -> str:
+    """A pattern of words that branches letter by letter, so that text without them is left at once."""
+    heads: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        heads.setdefault(w[:1], []).append(w[1:])
+    ends = "" in heads
+    parts = [re.escape(h) + (any_of(tuple(t)) if any(t) else "") for h, t in heads.items() if h]
+    return f"(?:{'|'.join(parts)}){'?' if ends else ''}"
+
+
+def _start(words: tuple[str, ...]) -> str:
+    """A look at the first letter, before anything else is tried."""
+    return f"(?=[{''.join(sorted({w[0] for w in words}))}])(?<!\\p{{L}})"
+
+
+#: Kinds in the order in which they are tried. None holds a capturing group, and each first looks at one character.
 KINDS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
-    "card": r"(?<!\d)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7})(?!\d)",
-    "phone": r"(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
-    "national": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
-    "name": rf"(?<!\p{{L}})(?:(?:{'|'.join(TITLES)})\.? {_WORD}(?: {_WORD})?|(?:{'|'.join(x for row in GIVEN for x in row)}) {_WORD})(?!\p{{L}})",
+    "email": r"(?=[A-Za-z0-9])(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}",
+    "ip": r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
+    "iban": r"(?=[A-Z]{2}\d)(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "card": r"(?=\d)(?<!\d)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7})(?!\d)",
+    "phone": r"(?=[\d+(])(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
+    "national": r"(?=\d)(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
+    "name": rf"{_start((*TITLES, *NAMES))}(?:{any_of(TITLES)}\.? {_WORD}(?: {_WORD})?|{any_of(NAMES)} {_WORD})(?!\p{{L}})",
 }
 PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
-#: A text without a match of this has no entity.
-HINT = rf"@|\d\D{{0,3}}\d|(?:{'|'.join((*TITLES, *(x for row in GIVEN for x in row)))})\.? \p{{Lu}}"
+#: A text without an @ and without a match of this has no entity.
+HINT = rf"\d\D{{0,3}}\d|{_start((*TITLES, *NAMES))}{any_of((*TITLES, *NAMES))}\.? \p{{Lu}}"
 DIGIT_KINDS = ("card", "phone", "national")
 KEY = "change-me"
 TWEAKS = 16
@@ -234,7 +253,7 @@ def surrogate(kind: Column, s: Column, key: str) -> Column:
 
 def mentions(text: Column) -> Column:
     """All mentions in a text, in order."""
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.when(F.contains(text, F.lit("@")) | text.rlike(HINT), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>"))
 
 
 def clashes(docs: DataFrame, key: str) -> int:
