@@ -40,7 +40,7 @@ def first_seen(pages: DataFrame, minutes: int = 60) -> DataFrame:
 
 def event_windows(events: DataFrame, late: str = "10 minutes", wide: str = "1 hour") -> DataFrame:
     """Counts and sums of events by kind and time window, closed once later events are past."""
-    windowed = events.withWatermark("ts", late).groupBy(F.window("ts", wide).alias("w"), "event_type")
+    windowed = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", wide).alias("w"), "event_type")
     return windowed.agg(F.count("*").alias("n"), F.floor(F.sum(F.round(F.col("value") * 100))).cast("bigint").alias("cents")).select(F.col("w.start").alias("start"), "event_type", "n", "cents")
 
 
