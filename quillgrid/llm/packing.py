@@ -99,11 +99,11 @@ def patterns(demand: dict[int, int], room: int, rounds: int = 20_000) -> list[tu
 
 def _tokenized(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = word_ids(path).ids, END_ID.to_bytes(4, "little")
+        encode, end = word_ids(path).all, END_ID.to_bytes(4, "little")
         for batch in batches:
             counts, crcs = [], []
-            for text in batch.column("text").to_pylist():
-                raw = encode(text or "") + end
+            for raw in encode([t or "" for t in batch.column("text").to_pylist()]):
+                raw += end
                 counts.append(len(raw) // 4)
                 crcs.append([zlib.crc32(raw[a : a + 4 * LENGTH]) for a in range(0, len(raw), 4 * LENGTH)])
             yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("doc_id"), batch.column("h"), pa.array(counts, pa.int64()), pa.array(crcs, pa.list_(pa.int64()))], names=["rid", "doc_id", "h", "n", "crcs"])
