@@ -60,7 +60,7 @@ def token_cells(tokens: DataFrame, rows: DataFrame, cells: DataFrame, gap: float
     return taken.select(*KEY, "m.*").withColumn("strategy", names).drop("tier")
 
 
-def neighbours(tokens: DataFrame, step: int = 64) -> DataFrame:
+def neighbours(tokens: DataFrame, step: int = 32) -> DataFrame:
     """The nearest token of each token to the left, right, top and bottom.
 
     Left and right need a quarter of the height in common, top and bottom a
@@ -70,10 +70,11 @@ def neighbours(tokens: DataFrame, step: int = 64) -> DataFrame:
     t = tokens.select(*KEY, "min_x", "max_x", "min_y", "max_y")
 
     def pairs(low: str, high: str) -> DataFrame:
-        bands = F.explode(F.sequence(F.floor(F.col(low) / step), F.floor(F.col(high) / step))).alias("band")
-        a = t.select("*", bands)
-        b = a.select("doc_id", "band", F.col("ord").alias("other"), *[F.col(c).alias(f"o_{c}") for c in ("min_x", "max_x", "min_y", "max_y")])
-        return a.join(b, ["doc_id", "band"]).where("ord <> other").drop("band").dropDuplicates(["doc_id", "ord", "other"])
+        """Pairs that share a band, once each: in the first band that both are in."""
+        first = F.floor(F.col(low) / step)
+        a = t.withColumn("first", first).withColumn("band", F.explode(F.sequence("first", F.floor(F.col(high) / step))))
+        b = a.select("doc_id", "band", F.col("ord").alias("other"), F.col("first").alias("o_first"), *[F.col(c).alias(f"o_{c}") for c in ("min_x", "max_x", "min_y", "max_y")])
+        return a.join(b, ["doc_id", "band"]).where((F.col("ord") != F.col("other")) & (F.col("band") == F.greatest("first", "o_first")))
 
     across, down = F.col("o_min_x") + F.col("o_max_x") - F.col("min_x") - F.col("max_x"), F.col("o_min_y") + F.col("o_max_y") - F.col("min_y") - F.col("max_y")
     level = pairs("min_y", "max_y").where(g.overlap_share(F.col("min_y"), F.col("max_y"), F.col("o_min_y"), F.col("o_max_y")) >= 0.25).where(across != 0).select(*KEY, "other", F.when(across < 0, "left").otherwise("right").alias("dir"), F.abs(across).alias("d2"))
