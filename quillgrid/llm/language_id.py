@@ -2,25 +2,37 @@
 
 Four kinds of evidence add up as log-probabilities for each language: the
 text under a character trigram model (counts of all texts by declared
-language), the declared markup language under its measured reliability, and a
-prior of the host that is smoothed towards its address suffix, which is
-smoothed towards the whole table. The counts behind the reliability and the
-priors come from grouped aggregations over all rows. A row is kept if its best
-language has at least MIN_POSTERIOR.
-
-Languages are the declared values that hold at least 1/MAX_LANGUAGES of the
-declared rows, so there are MAX_LANGUAGES at most. Trigrams are hashed to
-BUCKETS places, which bounds the model.
-
-Defined results: a null or empty text adds no text evidence; a null or unknown
-declared language and a null host add none either; if nothing is declared in
-the whole table, language is null, posterior zero and every row is kept, as
-there is nothing to judge by; repeated rows are judged alike; an empty table
-gives an empty result.
+language, without the text itself where it is judged), the declared markup
+language under its measured reliability, and a prior of the host that is
+smoothed towards its address suffix, which is smoothed towards the whole
+table. The counts behind the reliability and the priors come from grouped
+aggregations over all rows. One more class stands for text of no declared
+language: under it all trigrams are equally likely. A language's model is mixed
+with that one, the more the less text there is of it, so that no language wins
+by having few counts. A row is kept if a language is its best class and has at
+least MIN_POSTERIOR.
+
+A trigram has a letter in its middle; what is no letter counts as a blank. A
+text with hardly any letters is judged as trigrams that no language has.
+
+Languages are all declared values. They are scored in blocks of
+BLOCK_LANGUAGES, with a pass over the texts for each block, so that what is
+broadcast doesn't grow with their number. Trigrams are hashed to BUCKETS
+places, which bounds a language's model.
+
+Defined results: a null or empty text adds no text evidence; a null declared
+language and a null host add none either; a text that fits no language has
+language null, the posterior of that, and isn't kept; a language that only one
+row declares has no other text to be known by; if nothing is declared in the
+whole table, language is null, posterior zero and every row is kept, as there
+is nothing to judge by; repeated rows are judged alike; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
 
+import functools
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -31,30 +43,51 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, hot_keys, lookup, table, tune
 
 BUCKETS = 1 << 14
-MAX_LANGUAGES = 200
+#: Languages that are counted, broadcast and scored together.
+BLOCK_LANGUAGES = 100
 MIN_POSTERIOR = 0.5
 #: Trigrams of a text overlap; together they count as at most so many independent ones.
 INDEPENDENT = 60
 #: Rows that a suffix's or host's parent counts for.
 STRENGTH = 20.0
+#: Least share of the equally likely trigrams in each language's model.
+MIX = 0.01
+#: Prior of text in no declared language.
+UNKNOWN = 0.01
+#: Share of letters among characters that aren't blank, below which a text is none of words.
+MIN_LETTERS = 0.1
 
 
-def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of the trigrams of all texts on end, and where each text's trigrams begin and end.
+@functools.cache
+def _kinds() -> np.ndarray:
+    """For each code point: 0 blank, 1 letter or mark, 2 other."""
+    kinds = np.full(0x110000, 2, np.uint8)
+    for c in range(0x33480):
+        kinds[c] = 0 if chr(c).isspace() else 1 if unicodedata.category(chr(c))[0] in "LM" else 2
+    return kinds
 
-    A text is taken in lower case, between two blanks; an empty one has no trigrams.
+
+def trigrams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of the trigrams of all texts on end, where each text's begin and end, and each text's other characters.
+
+    A text is taken in lower case, between two blanks. A trigram for each
+    letter; other characters are neither letters nor blanks.
     """
     padded = [f" {t.lower()} " if t else "" for t in texts]
     sizes = np.fromiter(map(len, padded), np.int64, len(padded))
-    ends = np.cumsum(sizes)
+    stops = np.cumsum(sizes)
     codes = np.frombuffer("".join(padded).encode("utf-32-le", "surrogatepass"), "<u4")
+    kinds = _kinds()[codes]
+    letter = kinds == 1
+    letters, others = (np.concatenate(([0], np.cumsum(x))) for x in (letter, kinds == 2))
+    starts, ends, odd = letters[stops - sizes], letters[stops], others[stops] - others[stops - sizes]
     if len(codes) < 3:
-        return np.zeros(0, np.int32), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        return np.zeros(0, np.int32), starts, ends, odd
+    codes = np.where(letter, codes, np.uint32(32))
     mixed = codes[:-2] * np.uint32(0x9E3779B1) + codes[1:-1] * np.uint32(0x85EBCA77) + codes[2:] * np.uint32(0xC2B2AE3D)
     mixed ^= mixed >> np.uint32(15)
     mixed *= np.uint32(0x2C1B3C6D)
-    starts = ends - sizes
-    return (mixed >> np.uint32(18)).astype(np.int32), starts, np.maximum(starts, ends - 2)
+    return (mixed >> np.uint32(18)).astype(np.int32)[letter[1:-1]], starts, ends, odd
 
 
 def _counted(languages: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -63,14 +96,9 @@ def _counted(languages: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Itera
         counts = np.zeros((len(languages), BUCKETS), np.int64)
         for batch in batches:
             texts, declared = batch.column("text").to_pylist(), batch.column("declared").to_pylist()
-            for language, i in number.items():
-                own = [t for t, d in zip(texts, declared, strict=True) if d == language]
-                if own:
-                    buckets, starts, ends = trigrams(own)
-                    inside = np.zeros(len(buckets) + 1, np.int32)
-                    np.add.at(inside, starts[ends > starts], 1)
-                    np.add.at(inside, ends[ends > starts], -1)
-                    counts[i] += np.bincount(buckets[np.cumsum(inside)[:-1] > 0], minlength=BUCKETS)
+            for language in set(declared) & number.keys():
+                buckets = trigrams([t for t, d in zip(texts, declared, strict=True) if d == language])[0]
+                counts[number[language]] += np.bincount(buckets, minlength=BUCKETS)
         i, b = np.nonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(b, pa.int32()), pa.array(counts[i, b])], names=["i", "b", "n"])
 
@@ -78,25 +106,50 @@ def _counted(languages: list[str]) -> Callable[[Iterator[pa.RecordBatch]], Itera
 
 
 def text_model(rows: DataFrame, languages: list[str]) -> np.ndarray:
-    """log P(trigram | language), by the counts of all rows; at most MAX_LANGUAGES times BUCKETS numbers."""
-    counted = rows.select("text", "declared").mapInArrow(_counted(languages), "i int, b int, n bigint").groupBy("i", "b").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.full((len(languages), BUCKETS), 0.5)
-    counts[counted.column("i").to_numpy(), counted.column("b").to_numpy()] += counted.column("n").to_numpy()
-    return np.log(counts / counts.sum(axis=1, keepdims=True)).astype(np.float32)
+    """Counts of trigrams by language over all rows; BLOCK_LANGUAGES times BUCKETS numbers at most."""
+    own = rows.select("text", "declared").where(F.col("declared").between(languages[0], languages[-1]))
+    counted = own.mapInArrow(_counted(languages), "i int, b int, n bigint").groupBy("i", "b").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros((len(languages), BUCKETS), np.int64)
+    counts[counted.column("i").to_numpy(), counted.column("b").to_numpy()] = counted.column("n").to_numpy()
+    return counts
+
 
+def logs(counts: np.ndarray, total: np.ndarray | float, kinds: np.ndarray | float) -> np.ndarray:
+    """log P(trigram | language) of trigrams with these counts, for languages of total trigrams of so many kinds."""
+    mix = np.maximum(MIX, kinds / np.maximum(total + kinds, 1))
+    mix = np.where(total > 0, mix, 1.0)
+    return np.log((1 - mix) * counts / np.maximum(total, 1) + mix / BUCKETS)
 
-def _likelihoods(model: object) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+
+def _likelihoods(model: object, languages: list[str], last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs = np.ascontiguousarray(model.value)
+        counts = model.value
+        totals, kinds = counts.sum(axis=1), (counts > 0).sum(axis=1)
+        whole = np.ascontiguousarray(logs(counts, totals[:, None], kinds[:, None]).T)
+        number = {x: i for i, x in enumerate(languages)}
         for batch in batches:
-            buckets, starts, ends = trigrams(batch.column("text").to_pylist())
-            sums = np.zeros((len(starts), len(logs)))
-            for i, own in enumerate(logs):
-                total = np.concatenate(([0.0], np.cumsum(own[buckets], dtype=np.float64)))
-                sums[:, i] = total[ends] - total[starts]
-            sums *= (INDEPENDENT / np.maximum(ends - starts, INDEPENDENT))[:, None]
-            flat = pa.FixedSizeListArray.from_arrays(pa.array(sums.reshape(-1)), len(logs)).cast(pa.list_(pa.float64()))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "declared", "host")], flat], names=["doc_id", "declared", "host", "ll"])
+            buckets, starts, ends, odd = trigrams(batch.column("text").to_pylist())
+            sums, unknown = np.zeros((len(starts), len(languages))), np.zeros(len(starts))
+            for r, (a, b, other, declared) in enumerate(zip(starts.tolist(), ends.tolist(), odd.tolist(), batch.column("declared").to_pylist(), strict=True)):
+                size = b - a
+                if size < MIN_LETTERS * (size + other):
+                    n = min(size + other, INDEPENDENT)
+                    sums[r], unknown[r] = n * np.log(MIX / BUCKETS), -n * np.log(BUCKETS)
+                elif size:
+                    found, times = np.unique(buckets[a:b], return_counts=True)
+                    sums[r] = times @ whole[found]
+                    if (i := number.get(declared)) is not None:  # the text doesn't speak for itself
+                        left = counts[i, found] - times
+                        sums[r, i] = times @ logs(left, totals[i] - size, kinds[i] - np.count_nonzero(left == 0))
+                    n = min(size, INDEPENDENT)
+                    sums[r] *= n / size
+                    unknown[r] = -n * np.log(BUCKETS)
+            before = batch.column("ll")
+            done = np.asarray(before.flatten()).reshape(len(starts), -1) if len(before.flatten()) else np.zeros((len(starts), 0))
+            sums = np.concatenate((done, sums), axis=1)
+            flat = pa.FixedSizeListArray.from_arrays(pa.array(sums.reshape(-1)), sums.shape[1]).cast(pa.list_(pa.float64()))
+            same = [c for c in ("doc_id", "declared", "host", "text") if c != "text" or not last]
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in same], flat, pa.array(unknown)], names=[*same, "ll", "unknown"])
 
     return run
 
@@ -106,47 +159,57 @@ def identify(rows: DataFrame) -> DataFrame:
     spark = rows.sparkSession
     tune(spark)
     rows = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), F.lower("declared").alias("declared"), F.lower("host").alias("host"))
-    counts = rows.where("declared is not null").groupBy("declared").agg(F.count("*").alias("n"))
-    total = counts.agg(F.sum("n").alias("n")).collect()[0]["n"] or 0
-    languages = sorted(r["declared"] for r in counts.where(F.col("n") * MAX_LANGUAGES >= F.lit(total)).collect())
+    languages = sorted((r["declared"] for r in rows.where("declared is not null").select("declared").distinct().collect()), key=lambda x: x.encode("utf-8", "surrogatepass"))
     if not languages:
         return rows.select("doc_id", F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), F.lit(True).alias("kept"))
-    model = spark.sparkContext.broadcast(text_model(rows, languages))
-    scored = rows.mapInArrow(_likelihoods(model), "doc_id bigint, declared string, host string, ll array<double>")
-    scored = cut_lineage(scored.withColumn("best", F.expr("cast(array_position(ll, array_max(ll)) as int) - 1")))
-    return fused(scored, languages).select("doc_id", "language", "posterior", (F.col("posterior") >= MIN_POSTERIOR).alias("kept"))
+    scored = rows.withColumn("ll", F.array().cast("array<double>"))
+    for at in range(0, len(languages), BLOCK_LANGUAGES):
+        block, last = languages[at : at + BLOCK_LANGUAGES], at + BLOCK_LANGUAGES >= len(languages)
+        model = spark.sparkContext.broadcast(text_model(rows, block))
+        scored = scored.mapInArrow(_likelihoods(model, block, last), "doc_id bigint, declared string, host string, " + "text string, " * (not last) + "ll array<double>, unknown double")
+        if not last:
+            scored = cut_lineage(scored.drop("unknown"))
+    best = F.when(F.array_max("ll") > F.col("unknown"), F.expr("cast(array_position(ll, array_max(ll)) as int) - 1"))
+    scored = cut_lineage(scored.withColumn("best", best))
+    kept = F.col("language").isNotNull() & (F.col("posterior") >= MIN_POSTERIOR)
+    return fused(scored, languages).select("doc_id", "language", "posterior", kept.alias("kept"))
 
 
 def fused(scored: DataFrame, languages: list[str]) -> DataFrame:
-    """Add language and posterior to rows (declared, host, ll, best)."""
+    """Add language and posterior to rows (declared, host, ll, unknown, best); best is null where no language fits the text."""
     n = len(languages)
-    per = F.array(*[F.count_if(F.col("best") == i) for i in range(n)])
+    spark = scored.sparkSession
+    by_best = (F.map_from_entries(F.collect_list(F.when(F.col("best").isNotNull(), F.struct("best", "n")))), F.coalesce(F.sum(F.when(F.col("best").isNotNull(), F.col("n"))), F.lit(0)))
 
-    def smoothed(counts: str, parent: F.Column) -> F.Column:
-        own = F.coalesce(F.col(counts), F.array_repeat(F.lit(0).cast("bigint"), n))
-        size = F.aggregate(own, F.lit(0).cast("bigint"), lambda a, x: a + x)
-        return F.zip_with(own, parent, lambda x, p: (x + STRENGTH * p) / (size + STRENGTH))
+    def smoothed(counts: str, size: str, parent: F.Column) -> F.Column:
+        own, all_own = F.col(counts), F.coalesce(F.col(size), F.lit(0))
+        return F.transform(parent, lambda p, i: (F.coalesce(F.try_element_at(own, i), F.lit(0)) + STRENGTH * p) / (all_own + STRENGTH))
 
     # reliability: of rows whose text is best in language i, the share that declares j
-    pairs = {(r["best"], r["declared"]): r["n"] for r in scored.where(F.col("declared").isin(languages)).groupBy("best", "declared").agg(F.count("*").alias("n")).collect()}
-    sums = [sum(pairs.get((i, d), 0) for d in languages) for i in range(n)]
-    told = F.lit(None).cast("array<double>")
-    for d in languages:
-        told = F.when(F.col("declared") == d, F.array(*[F.lit((pairs.get((i, d), 0) + 1.0) / (sums[i] + n)) for i in range(n)])).otherwise(told)
-
-    overall = scored.agg(per.alias("c")).collect()[0]["c"]
-    top = F.array(*[F.lit((c + 1.0) / (sum(overall) + n)) for c in overall])
-    named = scored.withColumn("suffix", F.regexp_extract(F.coalesce("host", F.lit("")), r"\.([^.]+)$", 1))
-    suffixes = named.where("suffix <> ''").groupBy("suffix").agg(per.alias("sc"))
-    hosts = named.where("host is not null").groupBy("host", "suffix").agg(per.alias("hc"))
-    hosts = hosts.join(suffixes, "suffix", "left").select("host", smoothed("hc", smoothed("sc", top)).alias("prior"))
+    pairs = scored.where("declared is not null and best is not null").groupBy("best", "declared").agg(F.count("*").alias("n"))
+    sums = {r["best"]: r["n"] for r in pairs.groupBy("best").agg(F.sum("n").alias("n")).collect()}
+    said = pairs.groupBy("declared").agg(by_best[0].alias("said"))
+    overall = {r["best"]: r["n"] for r in scored.where("best is not null").groupBy("best").agg(F.count("*").alias("n")).collect()}
+    top = [(overall.get(i, 0) + 1.0) / (sum(overall.values()) + n) for i in range(n)]
+    one = F.broadcast(spark.createDataFrame([(top, [sums.get(i, 0) + float(n) for i in range(n)], languages)], "top array<double>, sums array<double>, names array<string>"))
+
+    named = scored.where("host is not null").withColumn("suffix", F.regexp_extract("host", r"\.([^.]+)$", 1))
+    counted = named.groupBy("host", "suffix", "best").agg(F.count("*").alias("n"))
+    suffixes = counted.where("suffix <> ''").groupBy("suffix", "best").agg(F.sum("n").alias("n")).groupBy("suffix").agg(by_best[0].alias("sc"), by_best[1].alias("ss"))
+    hosts = counted.groupBy("host", "suffix").agg(by_best[0].alias("hc"), by_best[1].alias("hs")).join(suffixes, "suffix", "left").crossJoin(one)
+    hosts = hosts.select("host", smoothed("hc", "hs", smoothed("sc", "ss", F.col("top"))).alias("prior"))
     rows = lookup(scored, hosts, "host", hot_keys(scored, "host"))
-    flat = F.array_repeat(F.lit(1.0), n)
-    parts = F.zip_with(F.coalesce("prior", top), F.coalesce(told, flat), lambda a, b: F.log(a) + F.log(b))
-    rows = rows.withColumn("score", F.zip_with("ll", parts, lambda a, b: a + b)).withColumn("most", F.array_max("score"))
-    best = F.element_at(F.array(*map(F.lit, languages)), F.array_position("score", F.col("most")).cast("int"))
-    mass = F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("most")))
-    return rows.withColumn("language", best).withColumn("posterior", 1 / mass).drop("score", "most", "prior")
+    rows = rows.join(F.broadcast(said), "declared", "left") if n <= BLOCK_LANGUAGES else lookup(rows, said, "declared", hot_keys(scored, "declared"))
+    rows = rows.crossJoin(one)
+    told = F.transform("sums", lambda s, i: (F.coalesce(F.try_element_at(F.col("said"), i), F.lit(0)) + 1.0) / s)
+    told = F.when(F.col("declared").isNotNull(), told).otherwise(F.array_repeat(F.lit(1.0), n))
+    parts = F.zip_with(F.coalesce("prior", "top"), told, lambda a, b: F.log(a) + F.log(b) + float(np.log(1 - UNKNOWN)))
+    rows = rows.withColumn("score", F.zip_with("ll", parts, lambda a, b: a + b))
+    rows = rows.withColumn("none", F.col("unknown") + float(np.log(UNKNOWN)) + F.when(F.col("declared").isNotNull(), -float(np.log(n))).otherwise(0.0))
+    rows = rows.withColumn("first", F.array_max("score")).withColumn("most", F.greatest("first", "none"))
+    best = F.when(F.col("first") > F.col("none"), F.element_at("names", F.array_position("score", F.col("first")).cast("int")))
+    mass = F.aggregate("score", F.exp(F.col("none") - F.col("most")), lambda a, x: a + F.exp(x - F.col("most")))
+    return rows.withColumn("language", best).withColumn("posterior", 1 / mass)
 
 
 def of_documents(docs: DataFrame) -> DataFrame:

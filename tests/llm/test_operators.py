@@ -308,6 +308,24 @@ def test_language_of_odd_rows(spark, odd):
     assert language_id.identify(language_id.of_documents(nothing(spark, odd))).count() == 0
 
 
+FOREIGN = [
+    "日本語の文章を書いて試験する。今日は天気がいいので散歩に行きましょう。",
+    "Это обычный русский текст о погоде и о том, как люди живут в большом городе зимой.",
+    "La gente della città cammina per le strade e parla del tempo che fa, della famiglia e del lavoro che non finisce mai.",
+    "Bugün hava çok güzel olduğu için arkadaşlarımla birlikte parkta yürüyüş yapmaya gittik ve çay içtik.",
+    "@#$ %^& *() !! ++ == ~~ ## $$ %% ^^ && ** (( )) __ || " * 3,
+    "4711 0815 99 " * 20,
+]
+
+
+def test_text_of_no_declared_language_is_rejected(spark, docs):
+    base = language_id.of_documents(docs)
+    planted = [(10_000 + i, t, *((None, None), ("en", "src1"), (None, "src2"))[i % 3]) for i, t in enumerate(FOREIGN)]
+    rows = {r.doc_id: r for r in language_id.identify(base.unionByName(spark.createDataFrame(planted, base.schema))).collect()}
+    assert not any(rows[d].kept or rows[d].language for d, *_ in planted)
+    assert all(r.kept for d, r in rows.items() if d < 10_000)
+
+
 # 8 media columns
 
 
