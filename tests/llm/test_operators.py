@@ -326,6 +326,18 @@ def test_text_of_no_declared_language_is_rejected(spark, docs):
     assert all(r.kept for d, r in rows.items() if d < 10_000)
 
 
+@pytest.mark.parametrize("block", [2, 100])
+def test_rare_languages_are_kept_whatever_their_share_and_block(spark, docs, monkeypatch, block):
+    monkeypatch.setattr(language_id, "BLOCK_LANGUAGES", block)
+    base = language_id.of_documents(docs).where("declared <> 'es'")
+    many = base.crossJoin(spark.range(4)).selectExpr("doc_id + 1000 * id as doc_id", "text", "declared", "host")
+    rare = language_id.of_documents(docs).where("declared = 'es' and length(text) > 500").orderBy("doc_id").limit(3)
+    assert rare.count() * 200 < many.count()
+    rows = language_id.identify(many.unionByName(rare.withColumn("doc_id", F.col("doc_id") + 100_000))).collect()
+    assert [(r.language, r.kept) for r in rows if r.doc_id >= 100_000] == [("es", True)] * 3
+    assert all(r.kept for r in rows)
+
+
 # 8 media columns
 
 
