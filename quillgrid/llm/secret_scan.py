@@ -2,8 +2,10 @@
 
 A work list holds layers; the first is the text. Each layer is scanned with
 the base patterns, then unwrapped: URL escapes, Unicode escapes and character
-references of the layer are decoded in place, and each base64 run (or what it
-holds compressed by gzip or zlib) becomes a layer of its own. A layer that was
+references of the layer are decoded in place, and what a base64 run holds, plain
+or compressed by gzip or zlib in one or more members, becomes layers of its own.
+A run may go on over line breaks, and is tried at its four alignments, so that
+what stands in front of it without a break doesn't hide it. A layer that was
 seen before, at the same place, isn't taken up again, so loops end; the list
 ends when nothing unwraps further. Every character of a layer knows the part
 of the text that it comes from, so that spans always are those of the text.
@@ -16,7 +18,6 @@ empty result; other columns are kept by the pipeline stage.
 from __future__ import annotations
 
 import base64
-import binascii
 import hashlib
 import html
 import re
@@ -39,7 +40,15 @@ MIN_VALUE = 6
 URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 UNICODE_ESCAPES = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
-#: Code points that one compressed run may unfold to; what lies beyond isn't text that was written there.
+#: A run that goes on over line breaks, as MIME has it.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[\x20\t]*\r?\n[\x20\t>]*[A-Za-z0-9+/_-]++)+={0,2}")
+RUN = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+STANDARD = str.maketrans("-_", "+/")
+#: Where gzip or zlib data may begin.
+COMPRESSED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+#: Text among other bytes, as long as the shortest secret.
+PRINTED = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}+")
+#: Bytes that one compressed run may unfold to; what lies beyond isn't text that was written there.
 MAX_UNPACKED = 1 << 26
 
 Span = tuple[int, int, str]
@@ -118,28 +127,66 @@ def _unicode(run: str) -> str | None:
         return None
 
 
-def _packed(run: str) -> str | None:
-    """The text that a base64 run holds, or None."""
-    body = run.rstrip("=").translate(str.maketrans("-_", "+/"))
-    if len(body) % 4 == 1:
-        return None
-    try:
-        raw = base64.b64decode(body + "=" * (-len(body) % 4))
-    except binascii.Error:
-        return None
-    for _ in range(64):  # compressed again and again
-        if raw[:2] == b"\x1f\x8b" or raw[:1] == b"\x78" and len(raw) > 2 and (raw[0] * 256 + raw[1]) % 31 == 0:
-            try:
-                raw = zlib.decompressobj(47).decompress(raw, MAX_UNPACKED)
-            except zlib.error:
-                break
-        else:
+def _inflated(raw: bytes, at: int) -> tuple[bytes, int]:
+    """What is compressed from a place on, all members of it, and where it ends; of a broken stream what comes before the break."""
+    parts, size, end = [], 0, at
+    while size < MAX_UNPACKED and (end == at or raw[end : end + 3] == b"\x1f\x8b\x08"):
+        unpack, start = zlib.decompressobj(47), end
+        try:
+            while not unpack.eof and end < len(raw) and size < MAX_UNPACKED:
+                piece = raw[end : end + 4096]
+                end += len(piece)
+                parts.append(unpack.decompress(piece, MAX_UNPACKED - size))
+                size += len(parts[-1])
+                end -= len(unpack.unused_data)
+        except zlib.error:
             break
-    try:
-        text = raw.decode("utf-8")
-    except UnicodeDecodeError:
-        return None
-    return text if text and sum(c.isprintable() or c in "\t\n\r" for c in text) * 10 >= len(text) * 9 else None
+        if not unpack.eof or end <= start:
+            break
+    return b"".join(parts), end
+
+
+def _texts(raw: bytes) -> Iterator[tuple[str, int, int]]:
+    """Texts that bytes hold, plain or compressed again and again, and the part of the bytes that each comes from."""
+    todo, seen = [(raw, None)], set()
+    while todo:
+        raw, place = todo.pop()
+        mark = (hashlib.sha256(raw).digest(), place)
+        if mark in seen:
+            continue
+        seen.add(mark)
+        at, packed = 0, False
+        while m := COMPRESSED.search(raw, at):
+            inner, end = _inflated(raw, m.start())
+            if inner:
+                todo.append((inner, place or (m.start(), end)))
+            packed |= bool(inner) and m.start() == 0 and end == len(raw)
+            at = max(end, m.end()) if inner else m.start() + 1
+        if packed:
+            continue
+        try:
+            text = raw.decode("utf-8")
+        except UnicodeDecodeError:
+            text = ""
+        if text and sum(c.isprintable() or c in "\t\n\r" for c in text) * 10 >= len(text) * 9:
+            yield (text, *(place or (0, len(raw))))
+        else:
+            for m in PRINTED.finditer(raw):
+                yield (m[0].decode("utf-8", "ignore"), *(place or m.span()))
+
+
+def _packed(run: str) -> Iterator[tuple[str, int, int]]:
+    """The texts that a base64 run holds at any of its four alignments, and the part of the run that each comes from."""
+    body = run.rstrip("=").translate(STANDARD)
+    for shift in range(4):
+        part = body[shift:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        raw = base64.b64decode(part + "=" * (-len(part) % 4))
+        for text, a, b in _texts(raw):
+            if b - a == len(raw) and not shift:
+                yield text, 0, len(run)
+                return
+            yield text, shift + a * 4 // 3, min(len(body), shift + -(-b * 4 // 3))
 
 
 def unwrapped(layer: Layer) -> Iterator[Layer]:
@@ -150,8 +197,13 @@ def unwrapped(layer: Layer) -> Iterator[Layer]:
     if ("\\" in text or "&" in text) and (new := layer.replaced(UNICODE_ESCAPES, _unicode)):
         yield new
     for m in BASE64.finditer(text):
-        if (inner := _packed(m[0])) is not None:
-            yield Layer(inner, layer.place(m.start(), m.end()))
+        for inner, a, b in _packed(m[0]):
+            yield Layer(inner, layer.place(m.start() + a, m.start() + b))
+    for m in WRAPPED.finditer(text) if "\n" in text else ():
+        at = [i for r in RUN.finditer(text, m.start(), m.end()) for i in range(*r.span())]
+        if len(at) >= 16:
+            for inner, a, b in _packed("".join(RUN.findall(m[0]))):
+                yield Layer(inner, layer.place(at[a], at[b - 1] + 1))
 
 
 def all_spans(text: str, base: list[Span] | None = None) -> list[Span]:

@@ -147,6 +147,30 @@ def test_nested_layers_are_unwrapped(depth):
         assert "hunter2secret" not in secret_scan.redacted(text)
 
 
+def wrap(s, width=76, end="\n"):
+    return end.join(s[i : i + width] for i in range(0, len(s), width))
+
+
+NOISE = " ".join(hashlib.sha256(str(i).encode()).hexdigest()[:10] for i in range(60))
+SECRET = "password = hunter2secret"
+PLAIN = base64.b64encode(f"the words {SECRET} and {NOISE}".encode()).decode()
+GZIPPED = base64.b64encode(gzip.compress(f"{NOISE} {SECRET} {NOISE}".encode())).decode()
+MEMBERS = base64.b64encode(gzip.compress(b"nothing here " * 30) + gzip.compress(SECRET.encode())).decode()
+
+
+@pytest.mark.parametrize("run", [wrap(GZIPPED), wrap(GZIPPED, end="\r\n"), wrap(PLAIN, 20), wrap(PLAIN[:40], 8) + "\n", *[x[4 - i :] + run for run in (PLAIN, GZIPPED) for i, x in enumerate(["dat_", "dat_", "ata_", "t-a/"])], "data_" + PLAIN, "data_" + GZIPPED, MEMBERS, wrap(MEMBERS, 64), GZIPPED + "tail"])
+def test_broken_and_glued_runs_are_unwrapped(run):
+    text = f"begin {run}\nend of it"
+    spans = [x for x in secret_scan.all_spans(text) if x[2] == "assign"]
+    assert spans and all(text[a:b] in text[5:-9] for a, b, _ in spans)
+    assert not [x for x in secret_scan.all_spans(secret_scan.redacted(text)) if x[2] == "assign"]
+    assert secret_scan.redacted(text).startswith("begin ") and secret_scan.redacted(text).endswith("of it")
+
+
+def test_long_runs_take_linear_time():
+    assert secret_scan.all_spans("x" * 300_000 + "\n" + "y" * 300_000) == []
+
+
 def test_a_layer_that_holds_itself_ends():
     text = "%2525252541" * 50 + base64.b64encode(zlib.compress(b"loop" * 1000)).decode()
     assert secret_scan.all_spans(text) is not None
