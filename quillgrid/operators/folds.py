@@ -126,6 +126,26 @@ def spans(frame: pd.DataFrame, close: float = 12, numeric_close: float = 40, lea
     return pd.DataFrame([(doc, i, int(a), int(b)) for i, (a, b, _) in enumerate(out)], columns=["doc_id", "span_no", "start", "stop"])
 
 
+def table_columns(frame: pd.DataFrame) -> pd.DataFrame:
+    """Columns of a table's tokens (row_no, box, numeric, start and stop of the occupied run): the spans, split where rows have several tokens in one."""
+    runs = frame.groupby(["start", "stop"], as_index=False)["numeric"].mean().assign(doc_id=frame["doc_id"].iloc[0])
+    found = spans(runs, close=0, numeric_close=0, least=0, most=len(frame))
+    starts = found["start"].to_numpy(float)
+    frame = frame.assign(span=np.searchsorted(starts, frame["start"].to_numpy(float), side="right") - 1).sort_values(["span", "row_no", "min_x", "ord"])
+    frame["place"] = frame.groupby(["span", "row_no"]).cumcount()
+    boxes: list[list[int]] = []
+    for _, part in frame.groupby("span"):
+        size = part.groupby("row_no").size()
+        counts = size.value_counts()
+        k = int(counts.index[counts == counts.max()].max())  # so many tokens most rows have, the more on ties
+        whole = part[part["row_no"].isin(size.index[size == k])]
+        boxes += [[int(one["min_x"].min()), int(one["max_x"].max())] for _, one in whole.groupby("place")]
+    for a, b in zip(boxes, boxes[1:], strict=False):
+        a[1] = max(a[0] + 1, min(a[1], b[0] - 1))  # a text may run into the next column
+    doc = frame["doc_id"].iloc[0]
+    return pd.DataFrame([(doc, i, a, b) for i, (a, b) in enumerate(boxes)], columns=["doc_id", "col_no", "min_x", "max_x"])
+
+
 def stable_bands(frame: pd.DataFrame, share: float = 0.35) -> pd.DataFrame:
     """Bands joined where they overlap by over a share of the shorter, the joined band growing."""
     out: list[list[float]] = []

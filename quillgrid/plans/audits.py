@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import predicates, quantity, scalars
-from ..operators import assign, audit, finance, score, semantics
+from ..operators import audit, finance, score, semantics
 from ..operators import rows as row_ops
 from ..sources import derived
 from . import layout, text
@@ -74,10 +74,14 @@ def ownership_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def invoice_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document from tokens to a judged invoice: cells, roles, meanings, row arithmetic, totals, confidence."""
-    tokens = derived.tokens(spark, sf_dir)
-    owned = assign.token_cells(tokens, layout.row_bands(tokens), layout.cells(spark, tokens))
-    cells = tokens.join(owned, ["doc_id", "ord"]).select("doc_id", F.col("cell_row").alias("row_no"), F.col("cell_col").alias("col_no"), "ord", "text", "min_x", "max_x", "min_y", "max_y")
+    """Each document from tokens to a judged invoice: rows, columns, cells, roles, meanings, row arithmetic, totals, confidence."""
+    return invoices(derived.tokens(spark, sf_dir))
+
+
+def invoices(tokens: DataFrame) -> DataFrame:
+    """The judged invoice of each document, from the texts and boxes of its tokens alone."""
+    tokens = tokens.select("doc_id", "ord", "text", "min_x", "max_x", "min_y", "max_y")
+    cells = layout.found_cells(tokens).select("doc_id", F.col("cell_row").alias("row_no"), F.col("cell_col").alias("col_no"), "ord", "text", "min_x", "max_x", "min_y", "max_y")
     roles = text.with_roles(row_ops.visual_rows(cells)).select("doc_id", "row_no", "row_role")
     cells = cells.join(roles, ["doc_id", "row_no"])
     items = cells.where("row_role = 'item_row'")

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from quillgrid.functions import geometry, predicates, quantity, scalars
 from quillgrid.operators import assign, audit, finance, folds, report, score
 from quillgrid.operators import rows as row_ops
+from quillgrid.plans import audits, layout
+from quillgrid.sources import derived
 
 QUANTITIES = [
     ("2.750+.250", "2.750", "0.250", True), ("4.50+.50", "4.50", "0.50", True), ("2+1", "2", "1", True), ("1*15", "0", "0", False), ("1*10", "0", "0", False), ("200ML", "0", "0", False), ("15GM", "0", "0", False),
@@ -158,3 +160,19 @@ def test_stability_is_a_product(spark):
 def test_empty_tables(spark):
     none = spark.createDataFrame([], "doc_id bigint, row_no int, ord bigint, col_no int, text string, min_x bigint, max_x bigint, min_y bigint, max_y bigint")
     assert row_ops.visual_rows(none).count() == 0 and assign.neighbours(none).count() == 0 and report.occupancy(none).count() == 0 and report.markdown(none).count() == 0
+
+
+def test_invoices_need_no_row_or_column_numbers(spark):
+    """Rows and columns come from texts and boxes: pages of another place, scale and set of columns, each cell back where it was written."""
+    written = derived.tokens(spark, "/root/testdata/sf0.001").where("doc_id % 40 = 1 and (doc_id % 80 = 1 or col_no <> 3)")
+    x, y = 1.3, 1.5
+    moved = {c: (F.col(c) * (x if c.endswith("x") else y) + 211).cast("bigint") for c in ("min_x", "max_x", "min_y", "max_y")}
+    pages = written.withColumns(moved).cache()
+    bare = pages.select("doc_id", (F.col("ord") * 3 + 5).alias("ord"), "text", "min_x", "max_x", "min_y", "max_y")
+    found = {(r.doc_id, (r.ord - 5) // 3): (r.cell_row, r.cell_col) for r in layout.found_cells(bare).collect()}
+    short = {r.doc_id for r in pages.select("doc_id").distinct().collect() if r.doc_id % 80 != 1}
+    rows = pages.collect()
+    right = sum(found.get((r.doc_id, r.ord)) == (r.row_no, r.col_no - (r.doc_id in short and r.col_no > 3)) for r in rows)
+    assert short and right >= 0.98 * len(rows)
+    judged = audits.invoices(bare).collect()
+    assert len(judged) == len({r.doc_id for r in rows}) and {r.status for r in judged} == {"PASS"}
