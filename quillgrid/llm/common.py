@@ -8,13 +8,17 @@ import tempfile
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows in one Arrow batch. Texts may be long, so batches are kept short.
+#: Rows and bytes of one Arrow batch. Texts may be long, so batches are kept short.
 BATCH_ROWS = 512
+BATCH_BYTES = 16 << 20
+#: Rows of a few numbers each that may be broadcast, once they are counted.
+BROADCAST_ROWS = 1_000_000
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches short enough for long texts."""
+    """Keep Arrow batches short enough for long texts. The setting is the session's, and lasts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +43,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def sized(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """df for a join: broadcast if it has at most so many rows, else left to a shuffle. df must be cheap to count."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def hot_keys(df: DataFrame, key: str, share: int = 200) -> DataFrame:
     """Keys that hold over 1/share of the rows: fewer than share keys, whatever the size of df."""
     counts = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))

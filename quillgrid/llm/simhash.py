@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, hot_keys, lookup, table, tune
+from .common import cut_lineage, hot_keys, lookup, sized, table, tune
 
 SHINGLE = 3
 SEED = 42
@@ -64,6 +64,12 @@ def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints)], names=["doc_id", "fp"])
 
 
+def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        prints = np.array([fingerprint(t) for t in batch.column("text").to_pylist()], np.uint64).view(np.int64)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(prints)], names=[*batch.schema.names, "fp"])
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
     """doc_id and fp (the 64 bits as a signed long) of each row."""
     tune(docs.sparkSession)
@@ -207,7 +213,7 @@ def edges(prints: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     keys = [F.lit(n << 26) + part[i] * (1 << 13) + part[j] for n, (i, j) in enumerate(combinations(range(5), 2))]
     keyed = prints.select("fp", F.explode(F.array(*keys)).alias("k"))
     big = keyed.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > block_rows)
-    dealt = keyed.join(big, "k", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / block_rows), F.lit(1)).cast("int"))
+    dealt = lookup(keyed, big, "k", hot_keys(keyed, "k")).withColumn("blocks", F.coalesce(F.ceil(F.col("n") / block_rows), F.lit(1)).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     dealt = dealt.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     first, second = F.least("own", "other"), F.greatest("own", "other")
@@ -215,38 +221,45 @@ def edges(prints: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return pairs.repartition("g").sortWithinPartitions("g").mapInArrow(_edges, "src bigint, dst bigint").distinct()
 
 
-def labels(links: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFrame:
+def labels(links: DataFrame, nodes: DataFrame) -> DataFrame:
     """fp and label (the least id that it reaches), for nodes (fp, id) that have links.
 
     Each round every node takes the least label around it, and the node that
     gave its own id as a label takes what its followers have found (its
-    label's label). Labels only fall; the rounds end when none changes.
+    label's label). Labels only fall, and there are finitely many of them, so
+    the rounds end: when none changes. A node with very many links and a label
+    with very many followers are hot keys, whose rows meet them by broadcast.
     """
     both = links.select("src", "dst").unionByName(links.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     both = cut_lineage(both.distinct())
+    hubs = cut_lineage(hot_keys(both, "dst"))
     touched = both.select(F.col("src").alias("fp")).distinct()
     now = cut_lineage(touched.join(nodes, "fp").select("fp", "id", F.col("id").alias("label")))
-    for _ in range(rounds):
-        near = both.join(now.select(F.col("fp").alias("dst"), "label"), "dst").groupBy(F.col("src").alias("fp")).agg(F.min("label").alias("near"))
+    while True:
+        near = lookup(both, now.select(F.col("fp").alias("dst"), "label"), "dst", hubs).groupBy(F.col("src").alias("fp")).agg(F.min("label").alias("near"))
         step = now.join(near, "fp").select("fp", "id", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         # a follower's finding goes to the node whose id was its label, and that node's label to the followers
         step = cut_lineage(step)
         back = step.groupBy(F.col("was").alias("id")).agg(F.min("label").alias("found"))
-        met = step.join(back, "id", "left").select("fp", "id", "was", F.least("label", "found").alias("label"))
-        ahead = met.groupBy(F.col("id").alias("label")).agg(F.min("label").alias("far"))
-        now = cut_lineage(met.join(ahead, "label", "left").select("fp", "id", "was", F.least("label", "far").alias("label")))
+        met = cut_lineage(step.join(back, "id", "left").select("fp", "id", "was", F.least("label", "found").alias("label")))
+        ahead = met.select(F.col("id").alias("key"), F.col("label").alias("far"))  # one row a node: ids are distinct
+        far = lookup(met.withColumn("key", F.col("label")), ahead, "key", hot_keys(met.withColumnRenamed("label", "key"), "key"))
+        now = cut_lineage(far.select("fp", "id", "was", F.least("label", "far").alias("label")))
         if now.where("label < was").isEmpty():
             return now.select("fp", "label")
         now = now.drop("was")
-    raise RuntimeError(f"labels still change after {rounds} rounds")
 
 
 def components(docs: DataFrame) -> DataFrame:
-    """doc_id, fp and component_id (the smallest doc_id reachable) of each row of docs.
+    """doc_id, fp and component_id (the smallest doc_id reachable) of each row of docs."""
+    return grouped(cut_lineage(fingerprints(docs)))
+
+
+def grouped(prints: DataFrame) -> DataFrame:
+    """doc_id, fp and component_id of rows (doc_id, fp).
 
     A row without a doc_id links nothing; it gets the component of its fingerprint, if there is one.
     """
-    prints = cut_lineage(fingerprints(docs))
     nodes = cut_lineage(prints.where("doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("id")))
     links = cut_lineage(edges(nodes.select("fp")))
     found = nodes.join(labels(links, nodes), "fp", "left").select("fp", F.coalesce("label", "id").alias("component_id"))
@@ -256,19 +269,25 @@ def components(docs: DataFrame) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: of each group only the document with the smallest doc_id stays.
 
-    Rows whose doc_id is null belong to no group and stay. Rows that share a
-    doc_id count as copies of one document: one of them stays.
+    A row goes if its own fingerprint reaches a smaller doc_id. Rows whose
+    doc_id is null belong to no group and stay. Of the rows that share the
+    smallest doc_id of a group one stays. The texts are joined with the ids
+    that go; only rows whose ids repeat are looked at again.
     """
     columns = docs.columns
+    docs = docs.toDF(*[c if c in ("doc_id", "text") else f"_c{i}" for i, c in enumerate(columns)])  # no name of the input meets one of ours
     found = cut_lineage(components(docs.where("doc_id is not null")))
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*columns)
-    again = cut_lineage(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id"))
+    by_id = found.groupBy("doc_id").agg(F.min(F.col("doc_id") != F.col("component_id")).alias("all_go"), F.count("*").alias("n"))
+    by_id = cut_lineage(by_id.where("all_go or n > 1"))
+    kept = docs.join(sized(by_id.where("all_go").select("doc_id")), "doc_id", "left_anti").select(*docs.columns)
+    again = by_id.where("not all_go").select("doc_id")
     if again.isEmpty():
-        return kept
-    one = [F.first(c).alias(c) for c in columns if c != "doc_id"]
-    repeated = kept.join(again, "doc_id", "left_semi").groupBy("doc_id").agg(*one).select(*columns)
-    return kept.join(again, "doc_id", "left_anti").select(*columns).unionByName(repeated)
+        return kept.toDF(*columns)
+    again = sized(again)
+    marked = kept.join(again, "doc_id", "left_semi").mapInArrow(_marked, ", ".join([f"`{c}` {t}" for c, t in kept.dtypes] + ["fp bigint"]))
+    stay = found.where("doc_id = component_id").select("doc_id", "fp").distinct()
+    one = marked.join(stay, ["doc_id", "fp"], "left_semi").groupBy("doc_id").agg(*[F.first(c).alias(c) for c in docs.columns if c != "doc_id"])
+    return kept.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(one.select(*docs.columns)).toDF(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
