@@ -95,25 +95,25 @@ def byte_ids(path: str, ranks: str) -> ByteIds:
     return ByteIds(path, ranks)
 
 
-def halves(text: str) -> list[str]:
-    """Leaves of a piece: it is halved until no half is longer than LEAF."""
-    if len(text) <= LEAF:
+def halves(text: str, leaf: int = LEAF) -> list[str]:
+    """Leaves of a piece: it is halved until no half is longer than leaf."""
+    if len(text) <= leaf:
         return [text]
-    return halves(text[: len(text) // 2]) + halves(text[len(text) // 2 :])
+    return halves(text[: len(text) // 2], leaf) + halves(text[len(text) // 2 :], leaf)
 
 
-def parts(encoder: ByteIds, text: str) -> Iterator[tuple[str, bool]]:
+def parts(encoder: ByteIds, text: str, leaf: int = LEAF) -> Iterator[tuple[str, bool]]:
     """(part, whether it goes on the leaf before it) of a long text, in order."""
     for n, stretch in enumerate(text.split(SPECIAL)):
         if n:
             yield SPECIAL, False
         start = end = 0
         for a, b in encoder.pieces(stretch):
-            if b - a > LEAF:
+            if b - a > leaf:
                 if end > start:
                     yield stretch[start:end], False
-                for i, leaf in enumerate(halves(stretch[a:b])):
-                    yield leaf, i > 0
+                for i, half in enumerate(halves(stretch[a:b], leaf)):
+                    yield half, i > 0
                 start = end = b
             else:
                 if b - start > PART:
@@ -147,12 +147,12 @@ def _whole(paths: tuple[str, str]) -> Run:
     return run
 
 
-def _cut(paths: tuple[str, str]) -> Run:
+def _cut(paths: tuple[str, str], leaf: int) -> Run:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = byte_ids(*paths)
         for batch in batches:
             for row, doc, text in zip(*(batch.column(c).to_pylist() for c in ("row", "doc_id", "text")), strict=True):
-                found = list(parts(encoder, text))
+                found = list(parts(encoder, text, leaf))
                 n = len(found)
                 yield pa.RecordBatch.from_arrays([pa.array([row] * n, pa.int64()), pa.array([doc] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array([p for p, _ in found], pa.string()), pa.array([j for _, j in found], pa.bool_())], names=["row", "doc_id", "part", "text", "goes_on"])
 
@@ -204,17 +204,19 @@ def _assembled(paths: tuple[str, str]) -> Run:
     return run
 
 
-def encode(docs: DataFrame, path: str, ranks: str) -> DataFrame:
+def encode(docs: DataFrame, path: str, ranks: str, long: int = LONG, leaf: int = LEAF) -> DataFrame:
     """n_tokens and digests of the ids and of the decoded text, for each row of docs.
 
-    path is a byte-level BPE file; ranks is the same vocabulary as ranks.
+    path is a byte-level BPE file; ranks is the same vocabulary as ranks. Texts
+    over long code points are cut and dealt; of those, pieces over leaf that
+    the splitting leaves whole are encoded as a tree of halves.
     """
     tune(docs.sparkSession)
     paths = (path, ranks)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    short = docs.where(F.length("text") <= LONG).mapInArrow(_whole(paths), RESULT)
-    long = docs.withColumn("row", F.monotonically_increasing_id()).where(F.length("text") > LONG)
-    cut = long.mapInArrow(_cut(paths), "row bigint, doc_id bigint, part bigint, text string, goes_on boolean")
+    short = docs.where(F.length("text") <= long).mapInArrow(_whole(paths), RESULT)
+    rows = docs.withColumn("row", F.monotonically_increasing_id()).where(F.length("text") > long)
+    cut = rows.mapInArrow(_cut(paths, leaf), "row bigint, doc_id bigint, part bigint, text string, goes_on boolean")
     ids = cut.repartition("row", "part").mapInArrow(_encoded(paths), "row bigint, doc_id bigint, part bigint, ids array<int>, goes_on boolean")
     return short.unionByName(ids.repartition("row").sortWithinPartitions("row", "part").mapInArrow(_assembled(paths), RESULT))
 
