@@ -167,11 +167,11 @@ def judged(measured: DataFrame, model: Model, keep_from: float = KEEP_FROM) -> D
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that the rules reject go; columns stay as they are."""
+    """Pipeline stage: documents that the rules reject go; columns stay as they are. Texts are measured once."""
     columns = docs.columns
-    model = learn(with_measures(docs.select("text")))
     aside = [c if c == "text" else f"_c{i}" for i, c in enumerate(columns)]  # no name of the input meets one of ours
-    return judged(with_measures(docs.toDF(*aside)), model).where("kept").select(*aside).toDF(*columns)
+    measured = cut_lineage(with_measures(docs.toDF(*aside)))
+    return judged(measured, learn(measured)).where("kept").select(*aside).toDF(*columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
