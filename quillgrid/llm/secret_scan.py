@@ -1,30 +1,44 @@
 """Secret scans of texts and of the layers encoded inside them.
 
 A work list holds layers; the first is the text. Each layer is scanned with
-the base patterns, then unwrapped: URL escapes, Unicode escapes and character
-references of the layer are decoded in place, and what a base64 run holds, plain
-or compressed by gzip or zlib in one or more members, becomes layers of its own.
-A run may go on over line breaks, and is tried at its four alignments, so that
-what stands in front of it without a break doesn't hide it. A layer that was
-seen before, at the same place, isn't taken up again, so loops end; the list
-ends when nothing unwraps further. Every character of a layer knows the part
-of the text that it comes from, so that spans always are those of the text.
+the base patterns, then unwrapped: URL escapes, and Unicode escapes and
+character references, are decoded one by one in place, and what a base64 run
+holds, plain, in UTF-16 or compressed (gzip, zlib, raw deflate, bzip2, xz,
+zstandard, in one or more members), becomes layers of its own. A run may go on
+over line breaks, and is tried at its four alignments, so that what stands in
+front of it without a break doesn't hide it. A short run that is the name in
+front of a value is decoded in place. A layer that was seen before, at the
+same place, isn't taken up again, so loops end; the list ends when nothing
+unwraps further. A layer knows its parent and, in stretches, which part of the
+parent each character comes from, so that every span is one of the text and as
+narrow as its encoding allows (a compressed run is one part).
+
+A run under MIN_RUN characters can't hold a secret: the shortest one has twelve
+bytes. Compressed data of any size is unfolded to its end; it is scanned in
+pieces of about PIECE bytes, which overlap and are cut where no encoded run
+goes on, and grow where there is no such place.
 
 Defined results: a null or empty text has no spans; spans are code points, end
 exclusive; repeated rows get the same result each; an empty table gives an
-empty result; other columns are kept by the pipeline stage.
+empty result; texts of any length are scanned whole, each in one task; other
+columns are kept by the pipeline stage.
 """
 
 from __future__ import annotations
 
 import base64
+import bz2
 import hashlib
 import html
+import itertools
+import lzma
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,22 +50,35 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex")
 MIN_VALUE = 6
-
-URL_ESCAPES = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-UNICODE_ESCAPES = re.compile(r"\\u\{[0-9A-Fa-f]{1,6}\}|(?:\\u[0-9A-Fa-f]{4})+|\\x[0-9A-Fa-f]{2}|&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});")
-BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
+MIN_RUN = 16
+
+_X = "[0-9A-Fa-f]"
+_TAIL = f"%[89ABab]{_X}"
+#: The escapes of one character in UTF-8; a byte that begins none is left as it is.
+URL_ESCAPE = re.compile(f"%[0-7]{_X}|%[CDcd]{_X}{_TAIL}|%[Ee]{_X}(?:{_TAIL}){{2}}|%[Ff][0-4](?:{_TAIL}){{3}}")
+UNICODE_ESCAPE = re.compile(rf"\\u[Dd][89ABab]{_X}{{2}}\\u[Dd][C-Fc-f]{_X}{{2}}|\\u{_X}{{4}}|\\u\{{{_X}{{1,6}}\}}|\\U{_X}{{8}}|\\x{_X}{{2}}|&(?:#[0-9]{{1,7}}|#[xX]{_X}{{1,6}}|[A-Za-z][A-Za-z0-9]{{1,31}});")
+BASE64 = re.compile(rf"[A-Za-z0-9+/_-]{{{MIN_RUN},}}={{0,2}}")
 #: A run that goes on over line breaks, as MIME has it.
 WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{4,}+(?:[\x20\t]*\r?\n[\x20\t>]*[A-Za-z0-9+/_-]++)+={0,2}")
 RUN = re.compile(r"[A-Za-z0-9+/_-]+={0,2}")
+#: A short run in the place of an assignment's name.
+NAME = re.compile(r"""(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{7,15}={0,2}(?=["']?\x20*[:=])""")
 STANDARD = str.maketrans("-_", "+/")
-#: Where gzip or zlib data may begin.
-COMPRESSED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]")
+#: Where compressed data may begin: gzip, zlib, bzip2, xz, zstandard.
+COMPRESSED = re.compile(rb"\x1f\x8b\x08|\x78[\x01\x5e\x9c\xda]|BZh[1-9]1AY&SY|\xfd7zXZ\x00|\x28\xb5\x2f\xfd")
 #: Text among other bytes, as long as the shortest secret.
 PRINTED = re.compile(rb"(?:[\t\n\r\x20-\x7e]|[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3}){12,}+")
-#: Bytes that one compressed run may unfold to; what lies beyond isn't text that was written there.
-MAX_UNPACKED = 1 << 26
+WIDE = re.compile(rb"(?:[\t\n\r\x20-\x7e]\x00){12,}+|(?:\x00[\t\n\r\x20-\x7e]){12,}+")
+#: Bytes of unfolded data that are scanned at once, about, and those that are scanned with the piece before too.
+PIECE = 1 << 24
+OVERLAP = 1 << 16
+#: A byte that no encoded run holds.
+BREAK = re.compile(rb"[^A-Za-z0-9+/_=%\\&;#{}\r\n-]")
 
 Span = tuple[int, int, str]
+#: Where a stretch of a layer begins, the byte or character of the source that it begins with, how many of these a
+#: character takes, and the place of source number n: base + n * num / den. num is 0 if all come from one part: (first, end).
+Stretch = tuple[int, int, int, int, int, int]
 
 
 def base_spans(text: str) -> list[Span]:
@@ -68,148 +95,209 @@ def ordered(spans: list[Span]) -> list[Span]:
 
 
 class Layer:
-    """Text and, for each of its characters, where it comes from in the outermost text.
+    """Text, the layer it comes from (None for the text itself) and the stretches that map it to that one."""
+
+    __slots__ = ("at", "parent", "stretches", "text")
 
-    origin is a list of (start, end), or one pair where all characters come
-    from the same part, or None where the layer is the text itself.
-    """
+    def __init__(self, text: str, parent: Layer | None = None, stretches: list[Stretch] | None = None) -> None:
+        self.text, self.parent, self.stretches = text, parent, stretches or []
+        self.at = [s[0] for s in self.stretches]
 
-    def __init__(self, text: str, origin: list[tuple[int, int]] | tuple[int, int] | None) -> None:
-        self.text, self.origin = text, origin
+    def source(self, i: int) -> tuple[int, int]:
+        """The part of the parent that character i comes from."""
+        at, first, unit, num, den, base = self.stretches[bisect_right(self.at, i) - 1]
+        if not num:
+            return first, unit
+        n = first + (i - at) * unit
+        return base + n * num // den, base - (-(n + unit) * num // den)
 
     def place(self, start: int, end: int) -> tuple[int, int]:
-        if self.origin is None:
-            return start, end
-        if isinstance(self.origin, tuple):
-            return self.origin
-        return self.origin[start][0], self.origin[end - 1][1]
+        """The part of the text that characters start to end come from."""
+        layer = self
+        while layer.parent is not None:
+            start, end = layer.source(start)[0], layer.source(end - 1)[1]
+            layer = layer.parent
+        return start, end
 
     def replaced(self, pattern: re.Pattern[str], decode: Callable[[str], str | None]) -> Layer | None:
         """The layer with each match decoded; None if nothing changes."""
-        parts, places, at, changed = [], [], 0, False
+        parts: list[str] = []
+        stretches: list[Stretch] = []
+        size = at = 0
+
+        def add(new: str, first: int, unit: int, num: int) -> None:
+            nonlocal size
+            if new:
+                last = stretches[-1] if stretches else None
+                if not (last and num and last[2:4] == (unit, num) and last[1] + (size - last[0]) * unit == first):
+                    stretches.append((size, first, unit, num, 1, 0))
+                parts.append(new)
+                size += len(new)
+
         for m in pattern.finditer(self.text):
             new = decode(m[0])
             if new is None or new == m[0]:
                 continue
-            changed = True
-            whole = self.place(m.start(), m.end())
-            parts += [self.text[at : m.start()], new]
-            if not isinstance(self.origin, tuple):
-                places += [self.place(i, i + 1) for i in range(at, m.start())]
-                places += [whole] * len(new)
+            add(self.text[at : m.start()], at, 1, 1)
+            add(new, m.start(), *((m.end() - m.start(), 1) if len(new) == 1 else (m.end(), 0)))
             at = m.end()
-        if not changed:
+        if not at:
             return None
-        parts.append(self.text[at:])
-        if isinstance(self.origin, tuple):
-            return Layer("".join(parts), self.origin)
-        places += [self.place(i, i + 1) for i in range(at, len(self.text))]
-        return Layer("".join(parts), places)
+        add(self.text[at:], at, 1, 1)
+        return Layer("".join(parts), self, stretches)
 
 
-def _url(run: str) -> str | None:
+def _url(escapes: str) -> str | None:
     try:
-        return bytes.fromhex(run.replace("%", "")).decode("utf-8")
+        return bytes.fromhex(escapes.replace("%", "")).decode("utf-8")
     except UnicodeDecodeError:
         return None
 
 
-def _unicode(run: str) -> str | None:
+def _unicode(escape: str) -> str | None:
     try:
-        if run[0] == "&":
-            return html.unescape(run)
-        if run.startswith("\\u{"):
-            return chr(int(run[3:-1], 16))
-        if run.startswith("\\x"):
-            return chr(int(run[2:], 16))
-        return bytes.fromhex(run.replace("\\u", "")).decode("utf-16-be")
+        if escape[0] == "&":
+            return html.unescape(escape)
+        if len(escape) == 12:
+            return bytes.fromhex(escape.replace("\\u", "")).decode("utf-16-be")
+        return chr(int(escape[2:].strip("{}"), 16))
     except (ValueError, OverflowError):
         return None
 
 
-def _inflated(raw: bytes, at: int) -> tuple[bytes, int]:
-    """What is compressed from a place on, all members of it, and where it ends; of a broken stream what comes before the break."""
-    parts, size, end = [], 0, at
-    while size < MAX_UNPACKED and (end == at or raw[end : end + 3] == b"\x1f\x8b\x08"):
-        unpack, start = zlib.decompressobj(47), end
+def _short(run: str) -> str | None:
+    """What a short base64 run says, if all of it is ASCII text."""
+    body = run.rstrip("=").translate(STANDARD)
+    if len(body) % 4 == 1:
+        return None
+    raw = base64.b64decode(body + "=" * (-len(body) % 4))
+    return raw.decode("ascii") if raw.isascii() and raw.decode("ascii").isprintable() else None
+
+
+def _unpacker(raw: bytes, at: int) -> object:
+    if raw.startswith(b"BZh", at):
+        return bz2.BZ2Decompressor()
+    if raw.startswith(b"\xfd7zXZ", at):
+        return lzma.LZMADecompressor(lzma.FORMAT_XZ)
+    if raw.startswith(b"\x28\xb5\x2f\xfd", at):
+        return zstandard.ZstdDecompressor().decompressobj()
+    return zlib.decompressobj(47)
+
+
+def _unfolded(raw: bytes, at: int, bare: bool) -> Iterator[tuple[bytes, int]]:
+    """What is compressed from a place on, bit by bit, with where the data read so far ends; all members, and of a broken stream what comes before the break."""
+    end = at
+    while end == at or COMPRESSED.match(raw, end):
+        unpack, start = zlib.decompressobj(-15) if bare else _unpacker(raw, end), end
         try:
-            while not unpack.eof and end < len(raw) and size < MAX_UNPACKED:
-                piece = raw[end : end + 4096]
-                end += len(piece)
-                parts.append(unpack.decompress(piece, MAX_UNPACKED - size))
-                size += len(parts[-1])
-                end -= len(unpack.unused_data)
-        except zlib.error:
-            break
-        if not unpack.eof or end <= start:
-            break
-    return b"".join(parts), end
-
-
-def _texts(raw: bytes) -> Iterator[tuple[str, int, int]]:
-    """Texts that bytes hold, plain or compressed again and again, and the part of the bytes that each comes from."""
+            while not unpack.eof and end < len(raw):
+                piece = raw[end : end + 4096]  # a piece unfolds to a few megabytes at most
+                out = unpack.decompress(piece)
+                end += len(piece) - len(unpack.unused_data)
+                if out:
+                    yield out, end
+        except (zlib.error, OSError, EOFError, lzma.LZMAError, zstandard.ZstdError):
+            return
+        if bare or not unpack.eof or end <= start:
+            return
+
+
+def _pieces(raw: bytes, at: int, bare: bool = False) -> Iterator[tuple[bytes, int]]:
+    """Unfolded data in overlapping pieces, each with where the data read so far ends."""
+    held, size, end = [], 0, at
+    for out, end in _unfolded(raw, at, bare):
+        held.append(out)
+        size += len(out)
+        if size < PIECE:
+            continue
+        whole = b"".join(held)
+        held, size = [whole], len(whole)
+        if COMPRESSED.search(whole):  # data compressed again is kept whole
+            continue
+        cut = max((m.end() for m in BREAK.finditer(whole, size - 4096)), default=0)
+        if cut:
+            yield whole[:cut], end
+            held = [whole[max(0, cut - OVERLAP) :]]
+            size = len(held[0]) - OVERLAP
+    if held:
+        yield b"".join(held), end
+
+
+def _texts(raw: bytes) -> Iterator[tuple[bytes, int, int, tuple[int, int] | None]]:
+    """Texts that bytes hold: bytes, where they begin, bytes a character (0: as UTF-8 has it), or the part of the bytes where they lie compressed."""
     todo, seen = [(raw, None)], set()
     while todo:
-        raw, place = todo.pop()
-        mark = (hashlib.sha256(raw).digest(), place)
+        raw, part = todo.pop()
+        mark = (hashlib.sha256(raw).digest(), part)
         if mark in seen:
             continue
         seen.add(mark)
-        at, packed = 0, False
+        at = 0
         while m := COMPRESSED.search(raw, at):
-            inner, end = _inflated(raw, m.start())
-            if inner:
-                todo.append((inner, place or (m.start(), end)))
-            packed |= bool(inner) and m.start() == 0 and end == len(raw)
-            at = max(end, m.end()) if inner else m.start() + 1
-        if packed:
-            continue
-        try:
-            text = raw.decode("utf-8")
-        except UnicodeDecodeError:
-            text = ""
-        if text and sum(c.isprintable() or c in "\t\n\r" for c in text) * 10 >= len(text) * 9:
-            yield (text, *(place or (0, len(raw))))
-        else:
-            for m in PRINTED.finditer(raw):
-                yield (m[0].decode("utf-8", "ignore"), *(place or m.span()))
-
-
-def _packed(run: str) -> Iterator[tuple[str, int, int]]:
-    """The texts that a base64 run holds at any of its four alignments, and the part of the run that each comes from."""
-    body = run.rstrip("=").translate(STANDARD)
+            end = at = m.start() + 1
+            for piece, end in _pieces(raw, m.start()):
+                todo.append((piece, part or (m.start(), end)))
+            at = max(at, end)
+        text = 0
+        for m in PRINTED.finditer(raw):
+            text += m.end() - m.start()
+            yield m[0], m.start(), 0, part
+        if b"\0" in raw:
+            for m in WIDE.finditer(raw):
+                yield m[0].replace(b"\0", b""), m.start(), 2, part
+        if text < len(raw) and COMPRESSED.match(raw) is None:
+            for piece, end in _pieces(raw, 0, bare=True):
+                if PRINTED.search(piece) or COMPRESSED.search(piece) or end == len(raw) and len(piece) >= 12:
+                    todo.append((piece, part or (0, end)))
+
+
+def _packed(layer: Layer) -> Iterator[Layer]:
+    """The layers that a base64 run, which is a layer's whole text, holds at any of its four alignments."""
+    body = layer.text.rstrip("=").translate(STANDARD)
     for shift in range(4):
-        part = body[shift:]
-        part = part[: len(part) - (len(part) % 4 == 1)]
-        raw = base64.b64decode(part + "=" * (-len(part) % 4))
-        for text, a, b in _texts(raw):
-            if b - a == len(raw) and not shift:
-                yield text, 0, len(run)
-                return
-            yield text, shift + a * 4 // 3, min(len(body), shift + -(-b * 4 // 3))
+        some = body[shift:]
+        some = some[: len(some) - (len(some) % 4 == 1)]
+        raw = base64.b64decode(some + "=" * (-len(some) % 4))
+        for found, at, width, part in _texts(raw):
+            text = found.decode("utf-8", "replace")
+            if part:
+                yield Layer(text, layer, [(0, shift + part[0] * 4 // 3, min(len(body), shift - (-part[1] * 4 // 3)), 0, 1, 0)])
+            elif width or len(text) == len(found):
+                yield Layer(text, layer, [(0, at, width or 1, 4, 3, shift)])
+            else:
+                stretches, i = [], 0
+                for unit, run in itertools.groupby(len(c.encode("utf-8")) for c in text):
+                    stretches.append((i, at, unit, 4, 3, shift))
+                    n = sum(1 for _ in run)
+                    i, at = i + n, at + n * unit
+                yield Layer(text, layer, stretches)
 
 
 def unwrapped(layer: Layer) -> Iterator[Layer]:
     """The layers directly inside one."""
     text = layer.text
-    if "%" in text and (new := layer.replaced(URL_ESCAPES, _url)):
+    if "%" in text and (new := layer.replaced(URL_ESCAPE, _url)):
+        yield new
+    if ("\\" in text or "&" in text) and (new := layer.replaced(UNICODE_ESCAPE, _unicode)):
         yield new
-    if ("\\" in text or "&" in text) and (new := layer.replaced(UNICODE_ESCAPES, _unicode)):
+    if (":" in text or "=" in text) and (new := layer.replaced(NAME, _short)):
         yield new
     for m in BASE64.finditer(text):
-        for inner, a, b in _packed(m[0]):
-            yield Layer(inner, layer.place(m.start() + a, m.start() + b))
+        yield from _packed(Layer(m[0], layer, [(0, m.start(), 1, 1, 1, 0)]))
     for m in WRAPPED.finditer(text) if "\n" in text else ():
-        at = [i for r in RUN.finditer(text, m.start(), m.end()) for i in range(*r.span())]
-        if len(at) >= 16:
-            for inner, a, b in _packed("".join(RUN.findall(m[0]))):
-                yield Layer(inner, layer.place(at[a], at[b - 1] + 1))
+        lines = [r.span() for r in RUN.finditer(text, m.start(), m.end())]
+        size, stretches = 0, []
+        for a, b in lines:
+            stretches.append((size, a, 1, 1, 1, 0))
+            size += b - a
+        if size >= MIN_RUN:
+            yield from _packed(Layer("".join(text[a:b] for a, b in lines), layer, stretches))
 
 
 def all_spans(text: str, base: list[Span] | None = None) -> list[Span]:
     """The base spans, and those of every layer, as spans of the text."""
     found = set(base_spans(text) if base is None else base)
-    todo = list(unwrapped(Layer(text, None)))
+    todo = list(unwrapped(Layer(text)))
     seen = {(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest(), 0)}
     while todo:
         layer = todo.pop()
