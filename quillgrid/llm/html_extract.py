@@ -5,10 +5,15 @@ forms, footers, adverts, notices, comments, by element, role or class) goes.
 Paragraphs then give points, for themselves, their commas and their length, to
 their parent in full and to further ancestors in shares; an element's score is
 discounted by the share of its text that lies in links. The best container is
-kept, with the siblings that score well, or the whole article element around
-it. Its blocks, white space joined, are the text.
-
-Defined results: null or empty html gives an empty text; a page without any
+kept, or the whole article element around it, with the siblings that score
+well, that are sections like it, or that stand between such ones; a closing
+paragraph, however short, and the heading in front of it belong to it. Its
+blocks, white space joined, are the text. A reader's comment is one whatever
+element it stands in. A form goes, unless it is a frame around the page, with
+most of its paragraphs inside; then only its controls go.
+
+Defined results: the first of equally good containers wins; a page of any
+length is read whole, in time proportional to it; null or empty html gives an empty text; a page without any
 paragraph gives the blocks of its body; repeated rows get the same result each;
 an empty table gives an empty result; other columns are ignored.
 """
@@ -17,6 +22,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,7 +31,10 @@ from pyspark.sql import functions as F
 
 from .common import table, tune
 
-MARKUP = re.compile(r"""<!--(?:.*?-->|.*\Z)|<!\[CDATA\[.*?\]\]>|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>""", re.DOTALL)
+_TAGS = r"""<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][^\s/>]*)([^>]*)>"""
+MARKUP = re.compile(rf"<!--(?:.*?-->|.*\Z)|<[!?][^>]*>?|{_TAGS}", re.DOTALL)
+#: The same where a CDATA section is known to end.
+SECTIONED = re.compile(rf"<!\[CDATA\[.*?\]\]>|{MARKUP.pattern}", re.DOTALL)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,6 +52,10 @@ ENDS = {
 #: Elements and roles that hold no main text.
 NO_TEXT = frozenset("head script style noscript template iframe object embed svg math canvas audio video map form button select textarea input label fieldset datalist nav footer aside menu dialog title xmp noembed noframes search".split())
 NO_ROLE = frozenset("navigation banner contentinfo complementary search form dialog alertdialog alert menu menubar toolbar tablist tooltip status".split())
+#: Elements that may frame a page although they hold no text as a rule.
+FRAMES = frozenset(["form"])
+#: Words of class and id that tell a reader's comment.
+COMMENT = frozenset("comment comments commentlist commentary disqus respond replies reply".split())
 #: Words of class and id: never main text; no main text unless a GOOD word stands beside; signs of main text.
 NEVER = frozenset("ad ads adbox adslot advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr comment comments commentlist commentary disqus respond replies reply footer popup modal newsletter subscribe subscription signup login paywall share sharing sharebar social breadcrumb breadcrumbs pagination pager navbar navigation nav menu notice notices alert alerts outbrain taboola hidden".split())
 RATHER_NOT = frozenset("sidebar sidebars side rail aside widget widgets header masthead banner toolbar related recommended recommendations recommend topbar foot tags meta byline overlay skip".split())
@@ -52,10 +65,11 @@ PARAGRAPHS = frozenset("p pre blockquote td li dd div section article main body
 
 
 class Node:
-    __slots__ = ("attributes", "children", "dropped", "linked", "parent", "score", "size", "tag")
+    __slots__ = ("attributes", "block", "children", "dropped", "linked", "parent", "score", "size", "tag")
 
     def __init__(self, tag: str, parent: Node | None, attributes: str = "") -> None:
         self.tag, self.parent, self.attributes = tag, parent, attributes
+        self.block: Node | None = parent if parent is None or parent.tag in BLOCK else parent.block  # the nearest block around it
         self.children: list[Node | str] = []
         self.dropped, self.size, self.linked, self.score = False, 0, 0, 0.0
 
@@ -63,23 +77,30 @@ class Node:
 def tree(source: str) -> tuple[Node, list[Node]]:
     """The root, and all elements in page order."""
     root = Node("#root", None)
-    nodes, open_ = [root], [root]
-    at, end = 0, len(source)
+    nodes, open_, count = [root], [root], Counter()
+    at, end, sectioned = 0, len(source), source.rfind("]]>")
 
     def text(raw: str) -> None:
         if raw:
             open_[-1].children.append(html.unescape(raw) if "&" in raw else raw)
 
+    def cut(i: int) -> None:
+        """The element that is open at i ends, and with it those inside."""
+        count.subtract(n.tag for n in open_[i:])
+        del open_[i:]
+
     def close(tags: set[str], inside: set[str]) -> None:
+        if not any(count[t] > 0 for t in tags):
+            return
         for i in range(len(open_) - 1, 0, -1):
             if open_[i].tag in tags:
-                del open_[i:]
+                cut(i)
                 return
             if open_[i].tag in inside:
                 return
 
     while at < end:
-        m = MARKUP.search(source, at)
+        m = (SECTIONED if at <= sectioned else MARKUP).search(source, at)
         if m is None:
             text(source[at:])
             break
@@ -87,14 +108,14 @@ def tree(source: str) -> tuple[Node, list[Node]]:
         at = m.end()
         tag = m[2] or m[5]
         if not tag:
-            if m[0].startswith("<![CDATA["):
+            if m[0].startswith("<![CDATA[") and m[0].endswith("]]>"):
                 text(html.escape(m[0][9:-3], quote=False))
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            for i in range(len(open_) - 1, 0, -1):
+            for i in range(len(open_) - 1, 0, -1) if count[tag] > 0 else ():
                 if open_[i].tag == tag:
-                    del open_[i:]
+                    cut(i)
                     break
                 if tag not in BLOCK and open_[i].tag in BLOCK:
                     break  # an inline end doesn't end blocks
@@ -111,6 +132,7 @@ def tree(source: str) -> tuple[Node, list[Node]]:
             at = stop.end() if stop else end
         elif tag not in VOID:
             open_.append(node)
+            count[tag] += 1
     return root, nodes
 
 
@@ -118,37 +140,78 @@ def attributes(node: Node) -> dict[str, str]:
     return {k.lower(): html.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(node.attributes)}
 
 
-def no_main_text(node: Node, holds_article: bool) -> bool:
+def words_of(node: Node) -> tuple[dict[str, str], set[str]]:
+    """Attributes, and the words of class and id."""
+    if not node.attributes:
+        return {}, set()
+    a = attributes(node)
+    return a, {w.lower() for w in WORD.findall(f"{a.get('class', '')} {a.get('id', '')}")}
+
+
+def page_header(node: Node) -> bool:
+    """Whether a header is that of the page, not of a post: it stands beside the page's parts or holds some of them."""
+    parts = ("nav", "main", "article", "footer", "aside", "form")
+    if node.parent is None or node.parent.tag in ("body", "html", "#root") or any(isinstance(x, Node) and x.tag in parts for x in node.parent.children):
+        return True
+    return any(isinstance(x, Node) and x.tag in parts for x in node.children)
+
+
+def no_main_text(node: Node, holds_article: bool, frame: bool) -> bool:
     """Whether an element can't hold main text, by its name, role, class and id."""
-    if node.tag in NO_TEXT:
+    if node.tag in NO_TEXT and not frame:
         return True
-    if node.tag in ("html", "body", "article", "main") or holds_article:
+    if node.tag in ("html", "body"):
+        return False
+    a, words = words_of(node)
+    if a.get("role", "").lower() in NO_ROLE or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
+        return True
+    if words & COMMENT and not (node.tag in ("article", "main") and words & GOOD):
+        return True
+    if node.tag in ("article", "main") or holds_article or frame:
         return False
     if node.tag == "header":
         up = node.parent
         while up is not None and up.tag not in ("article", "main"):
             up = up.parent
-        return up is None
-    if not node.attributes:
-        return False
-    a = attributes(node)
-    if a.get("role", "").lower() in NO_ROLE or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
-        return True
-    words = {w.lower() for w in WORD.findall(f"{a.get('class', '')} {a.get('id', '')}")}
+        if up is None and page_header(node):
+            return True
     return bool(words & NEVER) or bool(words & RATHER_NOT) and not words & GOOD
 
 
+def frames(nodes: list[Node]) -> set[int]:
+    """Forms around an article, or around most of the page's paragraphs."""
+    if not any(n.tag in FRAMES for n in nodes):
+        return set()
+    said: dict[int, int] = {}
+    articles, total = set(), 0
+    for node in nodes:
+        if node.tag == "p":
+            total += (size := sum(len(x.strip()) for x in node.children if isinstance(x, str)))
+        if node.tag in ("p", "article", "main"):
+            up = node.parent
+            while up is not None:
+                if up.tag in FRAMES:
+                    if node.tag == "p":
+                        said[id(up)] = said.get(id(up), 0) + size
+                    else:
+                        articles.add(id(up))
+                    break
+                up = up.parent
+    return articles | {i for i, n in said.items() if n > 200 and 2 * n > total}
+
+
 def weigh(nodes: list[Node]) -> None:
     """Drop what can't be main text, and give every other element its sizes and score."""
     holds = set()
     for node in nodes:
-        if node.tag in ("article", "main"):
+        if node.tag in ("article", "main") and not no_main_text(node, True, False):
             up = node.parent
             while up is not None and id(up) not in holds:
                 holds.add(id(up))
                 up = up.parent
+    around = frames(nodes)
     for node in nodes[1:]:
-        node.dropped = node.parent.dropped or no_main_text(node, id(node) in holds)
+        node.dropped = node.parent.dropped or no_main_text(node, id(node) in holds, id(node) in around)
     own: dict[int, list[str]] = {}
     for node in reversed(nodes):  # children before parents
         if node.dropped:
@@ -162,11 +225,8 @@ def weigh(nodes: list[Node]) -> None:
     for node in nodes:
         if node.dropped or not node.size or node.tag in BLOCK:
             continue
-        up = node.parent  # the text of inline elements is that of the block around them
-        while up is not None and up.tag not in BLOCK:
-            up = up.parent
-        if up is not None:
-            own.setdefault(id(up), []).extend(x for x in node.children if isinstance(x, str))
+        if node.block is not None:  # the text of inline elements is that of the block around them
+            own.setdefault(id(node.block), []).extend(x for x in node.children if isinstance(x, str))
     for node in nodes:
         if node.dropped or node.tag not in PARAGRAPHS:
             continue
@@ -202,15 +262,48 @@ def kept(nodes: list[Node]) -> list[Node]:
         up = up.parent
     if best.tag in ("body", "html", "#root") or best.parent is None:
         return [best]
-    enough, out = max(3.0, best.score * 0.2), []
-    for x in best.parent.children:
-        if x is best:
-            out.append(x)
-        elif isinstance(x, Node) and not x.dropped:
-            dense = x.linked / max(1, x.size)
-            if x.score * (1 - dense) >= enough or x.tag == "p" and x.size > 80 and dense < 0.25:
-                out.append(x)
-    return out
+    beside = [x for x in best.parent.children if isinstance(x, Node) and not x.dropped]
+    enough, like = max(3.0, best.score * 0.2), words_of(best)[0].get("class")
+    good = [i for i, x in enumerate(beside) if x is best or belongs(x, best, enough, like)]
+    first, last = good[0], good[-1]
+    fitting = [x for i, x in enumerate(beside) if i in good or first < i < last and x.tag != "article" and dense(x) < 0.25]
+    return [*headings(fitting[0]), *fitting]
+
+
+def dense(node: Node) -> float:
+    return node.linked / max(1, node.size)
+
+
+def belongs(node: Node, best: Node, enough: float, like: str | None) -> bool:
+    """Whether a sibling of the best container is a part of it: by its score, as a paragraph, or as a section of the same kind."""
+    if node.score * (1 - dense(node)) >= enough or node.tag in ("p", "pre", "blockquote") and dense(node) < 0.25:
+        return True
+    return node.tag == best.tag and node.tag in ("section", "div") and words_of(node)[0].get("class") == like and dense(node) < 0.25
+
+
+def headings(node: Node) -> list[Node]:
+    """The heading in front of a container, beside it or beside what holds it, unless it has one itself."""
+    todo = [node]
+    while todo:
+        x = todo.pop()
+        if x.tag == "h1":
+            return []
+        todo += [c for c in x.children if isinstance(c, Node) and not c.dropped]
+    up: Node | None = node
+    while up is not None and up.parent is not None:
+        before = []
+        for x in up.parent.children:
+            if x is up:
+                break
+            if isinstance(x, Node) and not x.dropped and x.tag in ("h1", "h2", "hgroup", "header") and x.size and dense(x) < 0.5:
+                before.append(x)
+        if before:
+            top = [x for x in before if x.tag != "h2"]
+            return top[-1:] or before[-1:]
+        if up.tag == "body":
+            break
+        up = up.parent
+    return []
 
 
 def blocks(node: Node, out: list[str], line: list[str]) -> None:

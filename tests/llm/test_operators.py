@@ -4,12 +4,14 @@ import base64
 import bz2
 import gzip
 import hashlib
+import html
 import ipaddress
 import itertools
 import lzma
 import math
 import random
 import re
+import time
 import urllib.parse
 import zlib
 from collections import Counter
@@ -118,6 +120,55 @@ def test_main_text_without_what_surrounds_it():
     assert html_extract.main_text(page).split("\n") == ["Title é", "First para, with commas, and so on.", "Second & last para line two.", "one", "two"]
 
 
+LONG = "This is a long paragraph, with commas, and with enough words, to be the main text of its page. " * 3
+
+
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        (f"<h1>Title</h1><div class=content><p>{LONG}</p></div>", ["Title", LONG]),
+        (f"<div class=post><header><h1>Title</h1></header><div class=body><p>{LONG}</p><p>{LONG}</p></div></div>", ["Title", LONG, LONG]),
+        (f"<header><h1>Site</h1></header><div><p>{LONG}</p></div>", [LONG]),
+        (f"<div id=page><header><h1>Site</h1></header><nav>a</nav><div><div><p>{LONG}</p></div></div></div>", [LONG]),
+        (f"<div><section><p>{LONG}</p></section><section><p>Tail short.</p></section><p>Short last words.</p></div>", [LONG, "Tail short.", "Short last words."]),
+        (f"<body><form action=x><input name=q><div><p>{LONG}</p><label>Name</label><button>Go</button></div></form>", [LONG]),
+        (f"<article class=post><p>{LONG}</p></article><section id=comments><article class=comment><p>{LONG}</p></article></section>", [LONG]),
+        (f"<main><p>{LONG}</p><article class='comment odd'><p>{LONG} Me too.</p></article></main>", [LONG]),
+        (f"<article class='post has-comments'><p>{LONG}</p></article>", [LONG]),
+        (f"<div><p>{LONG}</p><ul><li>one<li>two</ul><p>{LONG}</p><div class=related><p>{LONG}</p></div></div>", [LONG, "one", "two", LONG]),
+        (f"<article><p>{LONG}</p></article><article><a href=x>Other story</a></article>", [LONG]),
+        (f"<div role=main><p>{LONG}</p></div><div role=complementary><p>{LONG}</p></div>", [LONG]),
+        (f"<article hidden><p>{LONG}</p></article><div><p>{LONG} Shown.</p></div>", [LONG + " Shown."]),
+    ],
+)
+def test_parts_of_one_article_stay_together(page, expected):
+    assert html_extract.main_text(page).split("\n") == [" ".join(x.split()) for x in expected]
+
+
+def plain_article(page):
+    """The article of a page of the test tables, by patterns alone."""
+    (inner,) = re.findall(r"<article>(.*?)</article>", page, re.DOTALL)
+    inner = re.sub(r"(?s)<!--.*?-->|<(script|style|aside|form|nav|footer)\b.*?</\1>|<div class=\"ad\">.*?</div>", "", inner)
+    inner = re.sub(r"\s+", " ", inner)
+    inner = re.sub(r"</?(?:p|h[1-6]|ul|ol|li|div|section|blockquote|pre|table|tr|td|th|figure|figcaption)\b[^>]*>", "\n", re.sub(r"<br[^>]*>", " ", inner))
+    lines = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", x)).split()) for x in inner.split("\n")]
+    return "\n".join(x for x in lines if x)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_all_pages_give_exactly_their_articles(spark, sf):
+    pages = spark.read.parquet(f"/root/testdata/{sf}/pages.parquet")
+    expected = {r.page_id: plain_article(r.html) for r in pages.collect()}
+    assert {r.page_id: r.text for r in html_extract.extract(pages).collect()} == expected
+
+
+@pytest.mark.parametrize("unit", ["<div>", "<b>", "</section><div>", "<![CDATA[", "<a href=\"x>'", "<p><b>", "<table><tr><td>", "<!--", "<form><p>x", "<li>"])
+def test_broken_pages_take_linear_time(unit):
+    began = time.time()
+    html_extract.main_text(unit * 60_000)
+    assert time.time() - began < 15
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p>a", "<div>" * 3000 + "x", "<!-- open", "<script>var x", "<a href='q>broken</a> t", "&#0;&#xfffffff;&bogus;"])
 def test_broken_pages_end(page):
     assert isinstance(html_extract.main_text(page), str)
