@@ -1,19 +1,25 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model.
 
-The model is one of character n-grams, counted over all trusted texts (labels
-of good quality that aren't toxic). Counts, discounts, context sums and
-probabilities are DataFrames keyed by n-gram, so the model is sharded and
-grows with the text. To score, documents meet in blocks: each block asks for
-its distinct n-grams once, a join with the model's shards answers with
-log-probability and back-off weight, and the block adds them up per document.
-A document is kept if its perplexity isn't beyond what trusted texts of its
-language show at QUANTILE, with SLACK.
+The model is one of character n-grams, counted over trusted texts (labels of
+good quality that aren't toxic), all but a held-out share of them. Counts,
+discounts, context sums and probabilities are DataFrames keyed by n-gram, so
+the model is sharded and grows with the text. To score, documents meet in
+blocks: each block asks for its distinct n-grams once, a join with the model's
+shards answers with log-probability and back-off weight, and the block adds
+them up per document. A document is kept if its perplexity lies between the
+LOW_QUANTILE (text that repeats itself is below it) and the QUANTILE of the
+held-out trusted texts of its language.
+
+A text begins with blanks, and the lower orders count distinct characters to
+the left, there as elsewhere. Log-probabilities pass between the model and the
+blocks in thousandths.
 
 Defined results: a null or empty text has no n-gram, perplexity null, and is
-kept; a language without trusted text (null too) is held against the quantile
-of all trusted text; without any trusted text perplexity is null and every row
-is kept; repeated rows get the same result each; an empty table gives an empty
-result; other columns are ignored.
+kept; a language with under MIN_HELD_OUT held-out texts is measured by all its
+trusted texts, and one without any (null too) by those of all languages; without any trusted text perplexity is null and every row is kept;
+texts of any length are scored whole, a piece of CHUNK_CHARS at a time; a
+perplexity just at the threshold is kept; repeated rows get the same result
+each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,18 +33,20 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, table, tune
+from .common import cut_lineage, hot_keys, lookup, sized, table, tune
 
-ORDER = 4
+ORDER = 5
 #: Code points of a block, about, and those that are taken at once.
 BLOCK_CHARS = 16_000_000
 CHUNK_CHARS = 1_000_000
-#: Trusted ids that are broadcast; more are joined by a shuffle.
-BROADCAST_IDS = 4_000_000
 #: n-grams that a task remembers before it passes their counts on.
 HELD = 1_000_000
+#: One of so many trusted documents is held out of the counts, and thresholds come from these.
+HELD_OUT = 10
 QUANTILE = 0.99
-SLACK = 1.3
+LOW_QUANTILE = 0.002
+#: Fewer texts than these can't tell the quantile.
+MIN_HELD_OUT = 100
 #: A short text is judged as if so many characters of its language's mean stood before it.
 STEADY = 100
 #: Largest direct table, in places, for finding distinct n-grams.
@@ -111,15 +119,14 @@ class Grams:
         joined = self.matrix[k][which].tobytes().decode("utf-32-le", "surrogatepass")
         return [joined[i : i + k + 1] for i in range(0, len(joined), k + 1)]
 
-    def scores(self, known: dict[str, tuple[float, float]], unknown: float) -> np.ndarray:
-        """Summed log-probability of each text. known: log-probability and back-off weight by n-gram."""
-        lower = np.zeros(0)
+    def scores(self, number: dict[str, int], logs: np.ndarray, unknown: float) -> np.ndarray:
+        """Summed log-probability of each text. logs[number[gram]]: log-probability (NaN if not counted) and back-off weight."""
+        lower = backs = np.zeros(0)
         for k in range(ORDER):
             which = np.flatnonzero(self.real[k])
-            logp, back = np.full(len(self.real[k]), np.nan), np.zeros(len(self.real[k]))
-            for i, g in zip(which.tolist(), self.strings(k, which), strict=True):
-                if (found := known.get(g)) is not None:
-                    logp[i], back[i] = found
+            found = np.full((len(self.real[k]), 2), (np.nan, 0.0))
+            found[which] = logs[np.fromiter(map(number.__getitem__, self.strings(k, which)), np.int64, len(which))]
+            logp, back = found[:, 0], found[:, 1]
             missing = np.isnan(logp)
             logp[missing] = unknown if k == 0 else (backs[self.head[k][missing]] + lower[self.tail[k][missing]])
             lower, backs = logp, back
@@ -129,17 +136,21 @@ class Grams:
 
 
 def chunks(texts: Iterable[str | None]) -> Iterator[tuple[list[int], Grams]]:
-    """Grams of some texts at a time, with the places of the texts among all; empty ones are left out."""
+    """Grams of some texts at a time, with the places of the texts among all; empty ones are left out.
+
+    A long text comes in pieces that share ORDER - 1 characters, so that each n-gram of the highest order is in one.
+    """
     at, held, size = [], [], 0
     for i, text in enumerate(texts):
         p = padded(text)
-        if p:
+        for start in range(0, len(p) - ORDER + 1, CHUNK_CHARS):
+            piece = p[start : start + CHUNK_CHARS + ORDER - 1]
             at.append(i)
-            held.append(p)
-            size += len(p)
-        if size >= CHUNK_CHARS:
-            yield at, Grams(held)
-            at, held, size = [], [], 0
+            held.append(piece)
+            size += len(piece)
+            if size >= CHUNK_CHARS:
+                yield at, Grams(held)
+                at, held, size = [], [], 0
     if held:
         yield at, Grams(held)
 
@@ -228,13 +239,18 @@ def _texts(rows: pa.Table) -> Iterator[str | None]:
         yield None if (raw := x.as_py()) is None else unpack.decompress(raw).decode("utf-8")
 
 
-def _asked(rows: pa.Table) -> pa.Table:
+def _wanted(rows: pa.Table) -> list[str]:
+    """The distinct n-grams of a block, in order."""
     wanted: set[str] = set()
     for _, grams in chunks(_texts(rows)):
         for k in range(ORDER):
             wanted.update(grams.strings(k, np.flatnonzero(grams.real[k])))
-    block = rows.column("block")[0].as_py()
-    return pa.table({"block": pa.array([block] * len(wanted), pa.int32()), "gram": pa.array(wanted, pa.string())})
+    return sorted(wanted)
+
+
+def _asked(rows: pa.Table) -> pa.Table:
+    wanted, block = _wanted(rows), rows.column("block")[0].as_py()
+    return pa.table({"block": pa.array([block] * len(wanted), pa.int32()), "number": pa.array(range(len(wanted)), pa.int32()), "gram": pa.array(wanted, pa.string())})
 
 
 def scored(docs: DataFrame, model: DataFrame, unknown: float) -> DataFrame:
@@ -243,46 +259,59 @@ def scored(docs: DataFrame, model: DataFrame, unknown: float) -> DataFrame:
     blocks = max(1, -(-total // BLOCK_CHARS))
     dealt = docs.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks)).cast("int"))
     dealt = dealt.mapInArrow(_shrunk, "doc_id bigint, lang string, block int, packed binary").repartition(blocks, "block")
-    asked = dealt.groupBy("block").applyInArrow(_asked, "block int, gram string")
-    told = asked.join(model, "gram").select("block", "gram", F.col("logp").cast("float").alias("logp"), F.col("back").cast("float").alias("back"))
+    asked = dealt.groupBy("block").applyInArrow(_asked, "block int, number int, gram string")
+    told = asked.join(model, "gram").select("block", "number", *[F.round(F.col(c) * 1000).cast("smallint").alias(c) for c in ("logp", "back")])
 
     def answer(rows: pa.Table, told: pa.Table) -> pa.Table:
-        logs = [math.nan if x is None else x for x in told.column("logp").to_pylist()]
-        known = dict(zip(told.column("gram").to_pylist(), zip(logs, told.column("back").to_pylist(), strict=True), strict=True))
+        number = {g: i for i, g in enumerate(_wanted(rows))}
+        logs = np.full((len(number), 2), (np.nan, 0.0))
+        for i, name in enumerate(("logp", "back")):
+            known = told.column(name)
+            some = known.is_valid().to_numpy()
+            logs[told.column("number").to_numpy()[some], i] = known.drop_null().to_numpy() / 1000
         logp, n = np.zeros(rows.num_rows), np.zeros(rows.num_rows, np.int64)
         for at, grams in chunks(_texts(rows)):
-            logp[at] = grams.scores(known, unknown)
-            n[at] = grams.ends - grams.starts - (ORDER - 1)
+            np.add.at(logp, at, grams.scores(number, logs, unknown))
+            np.add.at(n, at, grams.ends - grams.starts - (ORDER - 1))
         return pa.table({"doc_id": rows.column("doc_id"), "lang": rows.column("lang"), "n": pa.array(n), "logp": pa.array(logp)})
 
     return dealt.groupBy("block").cogroup(told.groupBy("block")).applyInArrow(answer, "doc_id bigint, lang string, n bigint, logp double")
 
 
+def held_out() -> F.Column:
+    return F.pmod(F.xxhash64(F.col("doc_id"), F.lit("held out")), F.lit(HELD_OUT)) == 0
+
+
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """doc_id, lang, perplexity, threshold and kept of each row of docs (doc_id, text, lang)."""
+    """doc_id, lang, perplexity, least, threshold and kept of each row of docs (doc_id, text, lang)."""
     tune(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
     ids = cut_lineage(labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").cast("bigint").alias("doc_id")).where("doc_id is not null").distinct())
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    model, unknown = fit(docs.join(few, "doc_id", "left_semi"))
+    few = sized(ids)
+    model, unknown = fit(docs.where(~held_out()).join(few, "doc_id", "left_semi"))
     if model.isEmpty():
-        return docs.select("doc_id", "lang", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
+        return docs.select("doc_id", "lang", *[F.lit(None).cast("double").alias(c) for c in ("perplexity", "least", "threshold")], F.lit(True).alias("kept"))
     scores = cut_lineage(scored(docs, model, unknown))
     trusted = cut_lineage(scores.where("n > 0").join(few, "doc_id", "left_semi"))
-    means = trusted.groupBy("lang").agg((-F.sum("logp") / F.sum("n")).alias("mean"))  # a row for each language
-    whole = trusted.agg((-F.sum("logp") / F.sum("n")).alias("mean")).collect()[0]["mean"]
+    hot = cut_lineage(hot_keys(scores, "lang"))
+    enough = trusted.where(held_out()).groupBy("lang").agg((F.count("*") >= MIN_HELD_OUT).alias("enough"))
+    measure = cut_lineage(lookup(trusted, enough, "lang", hot).where(held_out() | ~F.coalesce("enough", F.lit(False))))
+    means = measure.groupBy("lang").agg((-F.sum("logp") / F.sum("n")).alias("mean"))
+    whole = measure.agg((-F.sum("logp") / F.sum("n")).alias("mean")).collect()[0]["mean"]
 
     def steadied(rows: DataFrame) -> DataFrame:
-        rows = rows.join(F.broadcast(means), "lang", "left").withColumn("mean", F.coalesce("mean", F.lit(whole)))
+        rows = lookup(rows, means, "lang", hot).withColumn("mean", F.coalesce("mean", F.lit(whole)))
         return rows.withColumn("steady", (F.col("mean") * STEADY - F.col("logp")) / (STEADY + F.col("n")))
 
-    own = steadied(trusted)
-    limits = own.groupBy("lang").agg(F.percentile_approx("steady", QUANTILE, 10_000).alias("limit"))
-    overall = own.agg(F.percentile_approx("steady", QUANTILE, 10_000).alias("limit")).collect()[0]["limit"]
-    rows = steadied(scores).join(F.broadcast(limits), "lang", "left").withColumn("limit", F.coalesce("limit", F.lit(overall)) + math.log(SLACK))
-    return rows.select("doc_id", "lang", F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))).alias("perplexity"), F.exp("limit").alias("threshold"), ((F.col("n") == 0) | (F.col("steady") <= F.col("limit"))).alias("kept"))
+    own = cut_lineage(steadied(measure))
+    bounds = F.percentile_approx("steady", [LOW_QUANTILE, QUANTILE], 10_000).alias("bounds")
+    overall = own.agg(bounds).collect()[0]["bounds"]
+    rows = lookup(steadied(scores), own.groupBy("lang").agg(bounds), "lang", hot).withColumn("bounds", F.coalesce("bounds", F.array(*map(F.lit, overall))))
+    low, high = F.element_at("bounds", 1), F.element_at("bounds", 2)
+    kept = (F.col("n") == 0) | F.col("steady").between(low, high)
+    return rows.select("doc_id", "lang", F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))).alias("perplexity"), F.exp(low).alias("least"), F.exp(high).alias("threshold"), kept.alias("kept"))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return found.select("doc_id", "lang", F.round("perplexity", 4).alias("perplexity"), F.round("threshold", 4).alias("threshold"), "kept")
+    return found.select("doc_id", "lang", *[F.round(c, 4).alias(c) for c in ("perplexity", "least", "threshold")], "kept")

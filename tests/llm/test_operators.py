@@ -80,7 +80,9 @@ def brute_model(texts):
     return p
 
 
-def test_perplexity_is_that_of_a_plain_model(spark, docs):
+@pytest.mark.parametrize("chunk", [997, kneser_ney.CHUNK_CHARS])
+def test_perplexity_is_that_of_a_plain_model(spark, docs, monkeypatch, chunk):
+    monkeypatch.setattr(kneser_ney, "CHUNK_CHARS", chunk)  # long texts in pieces give the same
     trusted = docs.where("doc_id < 40")
     model, unknown = kneser_ney.fit(trusted)
     found = {r.doc_id: (r.n, r.logp) for r in kneser_ney.scored(docs.where("doc_id between 30 and 60").select("doc_id", "lang", "text"), model, unknown).collect()}
@@ -89,7 +91,7 @@ def test_perplexity_is_that_of_a_plain_model(spark, docs):
         t = kneser_ney.padded(t)
         grams = [t[i : i + kneser_ney.ORDER] for i in range(len(t) - kneser_ney.ORDER + 1)]
         assert found[doc][0] == len(grams)
-        assert found[doc][1] == pytest.approx(sum(math.log(p(g)) for g in grams), rel=1e-4)
+        assert found[doc][1] == pytest.approx(sum(math.log(p(g)) for g in grams), rel=1e-3)  # thousandths are passed on
 
 
 def test_probabilities_of_a_context_sum_to_one(spark, docs):
@@ -100,12 +102,14 @@ def test_probabilities_of_a_context_sum_to_one(spark, docs):
 
 def test_quality_of_odd_and_labelled_texts(spark, odd, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
+    loops = spark.createDataFrame([(10_000 + i, t, "en") for i, t in enumerate(["and " * 200, "1 2 3 4 5 " * 60, "zq xv wkk " * 80])], "doc_id bigint, text string, lang string")
+    assert kneser_ney.classify(docs.select("doc_id", "text", "lang").unionByName(loops), labels).where("doc_id >= 10000 and kept").count() == 0
     rows = kneser_ney.classify(odd, labels).collect()
     assert len(rows) == len(TEXTS) + 2 and all(r.kept for r in rows if r.perplexity is None)
     assert kneser_ney.classify(odd, nothing(spark, labels)).where("not kept").count() == 0
     assert kneser_ney.classify(nothing(spark, odd), labels).count() == 0
     judged = kneser_ney.classify(docs, labels).join(labels, "doc_id")
-    assert judged.where("quality = 1 and not kept").count() <= 0.02 * judged.where("quality = 1").count()
+    assert judged.where("quality = 1 and toxic = 0 and not kept").count() <= 0.02 * judged.where("quality = 1 and toxic = 0").count()
     assert judged.where("quality = 0 and not kept").count() >= 0.6 * judged.where("quality = 0").count()
 
 
