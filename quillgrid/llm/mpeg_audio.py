@@ -1,25 +1,30 @@
 """MPEG audio in a column: frames, tags, variable-bitrate tables, checksums.
 
-parse() walks a file's bytes: it passes tags, finds a frame header that a
-second one follows (or the end), steps from frame to frame and resynchronises
-when a header fails; it reads the Xing, Info or VBRI table, verifies each
-protected frame's CRC-16, and gives the exact number of samples and the offset
-of every frame for seeking. stored() writes a payload losslessly into the data
+parse() walks a file's bytes: it reads ID3 (1, 2.2 to 2.4, extended headers and
+unsynchronisation included) and APE tags, finds a frame header that a second
+one follows (or the end), steps from frame to frame and resynchronises when a
+header fails; in the free format the distance of two like headers is the size.
+It reads the Xing, Info or VBRI table with its seek points, encoder delay and
+padding, verifies each protected frame's CRC-16 in all three layers, and gives
+the exact number of samples and the offset of every frame for seeking. The
+duration is that of the samples without delay and padding. stored() writes a payload losslessly into the data
 parts of Layer III frames, PER_FRAME bytes each, behind a tag and a table of
 seek points; payload() reads it back from the parsed frames.
 
-Defined results: null bytes are parsed like empty ones (no frame); a null or
-empty text has a payload of padding alone; repeated rows get the same result
+Defined results: null bytes are parsed like empty ones (no frame); of two tags
+that tell the same thing the first counts; texts and media of any length are
+taken whole, each in one task; a null or empty text has a payload of padding alone; repeated rows get the same result
 each; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from fractions import Fraction
 
 import pyarrow as pa
@@ -28,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .common import table, tune
 
-#: kbit/s by (MPEG 1 or not, layer), for the bit-rate index; 0 is the free format, which isn't taken.
+#: kbit/s by (MPEG 1 or not, layer), for the bit-rate index; 0 is the free format.
 BITRATES = {
     (True, 1): (0, 32, 64, 96, 128, 160, 192, 224, 256, 288, 320, 352, 384, 416, 448),
     (True, 2): (0, 32, 48, 56, 64, 80, 96, 112, 128, 160, 192, 224, 256, 320, 384),
@@ -39,6 +44,13 @@ BITRATES = {
 }
 #: Samples a second by the two version bits.
 RATES = {3: (44100, 48000, 32000), 2: (22050, 24000, 16000), 0: (11025, 12000, 8000)}
+#: Bits that tell a subband's allocation, by Layer II table: (subbands from here on, bits), and where the table ends.
+ALLOCATION = {
+    "a": (((0, 4), (11, 3), (23, 2)), 27), "b": (((0, 4), (11, 3), (23, 2)), 30),
+    "c": (((0, 4), (2, 3)), 8), "d": (((0, 4), (2, 3)), 12), "low": (((0, 4), (4, 3), (11, 2)), 30),
+}
+#: Longest frame of the free format, in bytes.
+FREE = 1 << 14
 PER_FRAME = 576
 #: MPEG 1, Layer III, protected, 224 kbit/s, 48 kHz, stereo: 672 bytes, of which 38 are header, checksum and side information.
 HEADER = bytes((0xFF, 0xFA, 0xC4, 0x00))
@@ -55,6 +67,9 @@ class Header:
     size: int
     samples: int
     mono: bool
+    kbits: int = 0
+    bound: int = 32
+    padding: int = 0
 
     @property
     def side(self) -> int:
@@ -68,6 +83,7 @@ class Audio:
 
     tags: dict[str, str] = field(default_factory=dict)
     table: dict[str, int] = field(default_factory=dict)
+    points: list[int] = field(default_factory=list)
     offsets: list[int] = field(default_factory=list)
     headers: list[Header] = field(default_factory=list)
     samples: int = 0
@@ -83,15 +99,35 @@ def header(data: bytes, at: int) -> Header | None:
         return None
     b1, b2, b3 = data[at + 1 : at + 4]
     version, layer, index, rate = b1 >> 3 & 3, 4 - (b1 >> 1 & 3), b2 >> 4, b2 >> 2 & 3
-    if version == 1 or layer == 4 or index in (0, 15) or rate == 3 or b3 & 3 == 2:
+    if version == 1 or layer == 4 or index == 15 or rate == 3 or b3 & 3 == 2:
         return None
-    hertz, bits, pad = RATES[version][rate], 1000 * BITRATES[version == 3, layer][index], b2 >> 1 & 1
+    hertz, kbits, pad = RATES[version][rate], BITRATES[version == 3, layer][index], b2 >> 1 & 1
     if layer == 1:
-        size, samples = (12 * bits // hertz + pad) * 4, 384
+        samples, pad = 384, 4 * pad
+        size = 12 * 1000 * kbits // hertz * 4 + pad
     else:
         samples = 1152 if layer == 2 or version == 3 else 576
-        size = samples // 8 * bits // hertz + pad
-    return Header(version, layer, not b1 & 1, hertz, size, samples, b3 >> 6 == 3)
+        size = samples // 8 * 1000 * kbits // hertz + pad
+    joint = (b3 >> 4 & 3) * 4 + 4 if b3 >> 6 == 1 else 32
+    return Header(version, layer, not b1 & 1, hertz, size if kbits else 0, samples, b3 >> 6 == 3, kbits, joint, pad)
+
+
+def alike(a: Header, b: Header | None) -> bool:
+    return b is not None and (b.version, b.layer, b.rate) == (a.version, a.layer, a.rate)
+
+
+def free_size(data: bytes, at: int, end: int, h: Header) -> int:
+    """Bytes of the free-format frame at a place, without padding: up to the next header like it, behind which another or the end comes at the same distance; else 0."""
+    place = at + 4
+    while 0 <= (place := data.find(b"\xff", place, min(end, at + FREE))):
+        n = header(data, place)
+        if alike(h, n) and n.kbits == 0 and n.protected == h.protected:
+            size = place - at - h.padding
+            last = place + size + n.padding
+            if last == end or alike(h, header(data, last)):
+                return size
+        place += 1
+    return 0
 
 
 def _table() -> list[int]:
@@ -114,58 +150,166 @@ def crc16(data: bytes, crc: int = 0xFFFF) -> int:
 
 
 #: Checksums by what they protect; frames of one file mostly repeat it.
-_known: dict[bytes, int] = {}
+_known: dict[tuple[bytes, int], int] = {}
+
+
+def crc_bits(data: bytes, bits: int, crc: int = 0xFFFF) -> int:
+    """The checksum of the first bits of data."""
+    crc = crc16(data[: bits // 8], crc)
+    for i in range(bits % 8):
+        bit = data[bits // 8] >> 7 - i & 1
+        crc = (crc << 1 ^ (0x8005 if (crc >> 15) ^ bit else 0)) & 0xFFFF
+    return crc
+
+
+def _bits(data: bytes, at: int, n: int) -> int:
+    """n bits of data from bit at on."""
+    whole = int.from_bytes(data[at // 8 : (at + n + 7) // 8], "big")
+    return whole >> -(at + n) % 8 & (1 << n) - 1
+
+
+def allocation_table(h: Header) -> str:
+    """The Layer II table of a frame, by sample rate and kbit/s of a channel."""
+    each = h.kbits if h.mono else h.kbits // 2
+    if h.version != 3:
+        return "low"
+    if 56 <= each <= 80 or each >= 56 and h.rate == 48000:
+        return "a"
+    if each >= 96 or not h.kbits:
+        return "b" if h.rate != 48000 else "a"
+    return "d" if h.rate == 32000 else "c"
+
+
+def protected_bits(data: bytes, h: Header) -> int:
+    """Bits behind the checksum that it covers; data begins there."""
+    if h.layer == 3:
+        return 8 * h.side
+    channels, used = (1 if h.mono else 2), 0
+    if h.layer == 1:
+        bound = 32 if h.mono else h.bound
+        return 4 * (bound * channels + 32 - bound)
+    steps, last = ALLOCATION[allocation_table(h)]
+    at = 0
+    for band in range(last):
+        width = next(w for first, w in reversed(steps) if band >= first)
+        shared = channels == 2 and band >= h.bound
+        for _ in range(1 if shared else channels):
+            used += (channels if shared else 1) * (_bits(data, at, width) > 0)
+            at += width
+    return at + 2 * used
 
 
 def checksum_fits(data: bytes, at: int, h: Header) -> bool | None:
-    """Whether a protected Layer III frame's CRC-16 fits; None where it isn't verified."""
-    if not h.protected or h.layer != 3 or at + 6 + h.side > len(data):
+    """Whether a protected frame's CRC-16 fits; None where there is none, or the data ends before."""
+    if not h.protected or at + 6 > len(data):
+        return None
+    body = data[at + 6 : at + 6 + 256]
+    bits = protected_bits(body, h)
+    if bits > 8 * len(body):
         return None
-    covered = data[at + 2 : at + 4] + data[at + 6 : at + 6 + h.side]
+    covered = (data[at + 2 : at + 4] + body[: (bits + 7) // 8], bits)
     if covered not in _known:
         if len(_known) > 4096:
             _known.clear()
-        _known[covered] = crc16(covered)
+        _known[covered] = crc_bits(covered[0], 16 + bits)
     return _known[covered] == data[at + 4] << 8 | data[at + 5]
 
 
+def _safe(raw: bytes) -> int:
+    """A number of seven bits a byte."""
+    n = 0
+    for byte in raw:
+        n = n << 7 | byte & 0x7F
+    return n
+
+
+def _text(body: bytes) -> str:
+    name = ("latin-1", "utf-16", "utf-16-be", "utf-8")[min(body[0], 3)]
+    return body[1:].decode(name, "replace").rstrip("\0")
+
+
+def _id3(data: bytes, at: int, stop: int, tags: dict[str, str]) -> None:
+    """Text frames of an ID3v2 tag that begins at a place."""
+    major, flags, raw = data[at + 3], data[at + 5], data[at + 10 : stop]
+    if flags & 0x80 and major < 4:
+        raw = raw.replace(b"\xff\0", b"\xff")
+    p = 0
+    if flags & 0x40 and major >= 3:  # an extended header
+        p = _safe(raw[:4]) if major >= 4 else 4 + int.from_bytes(raw[:4], "big")
+    name, wide = (3, 6) if major == 2 else (4, 10)
+    while p + wide <= len(raw) and raw[p : p + name].isalnum():
+        size = int.from_bytes(raw[p + 3 : p + 6], "big") if major == 2 else _safe(raw[p + 4 : p + 8]) if major >= 4 else int.from_bytes(raw[p + 4 : p + 8], "big")
+        body, own = raw[p + wide : p + wide + size], raw[p + 9] if major >= 4 else 0
+        if own & 1:  # the length stands in front
+            body = body[4:]
+        if own & 2:
+            body = body.replace(b"\xff\0", b"\xff")
+        if raw[p : p + 1] == b"T" and body and not own & 0x0C:
+            tags.setdefault(raw[p : p + name].decode("latin-1"), _text(body))
+        p += wide + size
+
+
+def _ape(data: bytes, start: int, end: int, tags: dict[str, str]) -> int:
+    """Items of an APE tag whose foot ends at end; gives where the tag begins."""
+    if end - start < 32 or data[end - 32 : end - 24] != b"APETAGEX":
+        return end
+    size, items, flags = struct.unpack("<III", data[end - 20 : end - 8])
+    p = max(start, end - size)
+    first = max(start, p - 32) if flags >> 31 else p
+    for _ in range(items):
+        if p + 8 >= end - 32:
+            break
+        length, kind = struct.unpack("<II", data[p : p + 8])
+        stop = data.find(b"\0", p + 8, end - 32)
+        if stop < 0:
+            break
+        if kind >> 1 & 3 == 0:
+            tags.setdefault(data[p + 8 : stop].decode("latin-1"), data[stop + 1 : min(end - 32, stop + 1 + length)].decode("utf-8", "replace"))
+        p = stop + 1 + length
+    return first
+
+
 def _tags(data: bytes, audio: Audio) -> tuple[int, int]:
-    """Read ID3 tags at the ends; gives the part that holds the audio."""
+    """Read the tags at the ends; gives the part that holds the audio."""
     start, end = 0, len(data)
     while data[start : start + 3] == b"ID3" and start + 10 <= end:
-        size = 0
-        for byte in data[start + 6 : start + 10]:
-            size = size << 7 | byte & 0x7F
-        stop, at, major = min(end, start + 10 + size), start + 10, data[start + 3]
-        while at + 10 <= stop and data[at : at + 4].isalnum():
-            raw = data[at + 4 : at + 8]
-            length = sum((b & 0x7F) << s for b, s in zip(raw, (21, 14, 7, 0), strict=True)) if major >= 4 else int.from_bytes(raw, "big")
-            body = data[at + 10 : min(stop, at + 10 + length)]
-            if data[at : at + 1] == b"T" and body:
-                name = ("latin-1", "utf-16", "utf-16-be", "utf-8")[min(body[0], 3)]
-                audio.tags[data[at : at + 4].decode("latin-1")] = body[1:].decode(name, "replace").rstrip("\0")
-            at += 10 + length
+        stop = min(end, start + 10 + _safe(data[start + 6 : start + 10]))
+        _id3(data, start, stop, audio.tags)
         start = stop + (10 if data[start + 5] & 0x10 else 0)
+    old = {}
     if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
-        audio.tags.setdefault("TIT2", data[end + 3 : end + 33].decode("latin-1").rstrip("\0 "))
+        old = {"TIT2": data[end + 3 : end + 33].decode("latin-1").rstrip("\0 ")}
+    end = _ape(data, start, end, audio.tags)
+    audio.tags = old | audio.tags
     return start, end
 
 
-def _vbr(data: bytes, at: int, h: Header) -> dict[str, int] | None:
-    """Frames and bytes that a Xing, Info or VBRI table in this frame tells."""
-    for name, place in (("Xing", at + 4 + h.side), ("Info", at + 4 + h.side), ("Xing", at + 6 + h.side), ("Info", at + 6 + h.side)):
-        if data[place : place + 4] == name.encode() and place + 16 <= len(data):
-            flags = int.from_bytes(data[place + 4 : place + 8], "big")
-            found, p = {}, place + 8
+def _vbr(data: bytes, at: int, h: Header) -> tuple[dict[str, int], list[int]] | None:
+    """What a Xing, Info or VBRI table in this frame tells, and the offsets in the audio that it gives for seeking."""
+    for name, place in itertools.product((b"Xing", b"Info"), (at + 4 + h.side, at + 6 + h.side)):
+        if data[place : place + 4] == name and place + 8 <= len(data):
+            flags, p = int.from_bytes(data[place + 4 : place + 8], "big"), place + 8
+            found, points = {"variable": int(name == b"Xing")}, []
             for bit, key in ((1, "frames"), (2, "bytes")):
                 if flags & bit:
                     found[key] = int.from_bytes(data[p : p + 4], "big")
                     p += 4
-            return found | {"variable": int(name == "Xing")}
+            if flags & 4:
+                points = [x * found.get("bytes", 0) // 256 for x in data[p : p + 100]]
+                p += 100
+            if flags & 8:
+                found["quality"] = int.from_bytes(data[p : p + 4], "big")
+                p += 4
+            if data[p : p + 4] in (b"LAME", b"Lavf", b"Lavc") and p + 24 <= at + h.size:
+                gap = int.from_bytes(data[p + 21 : p + 24], "big")
+                found |= {"delay": gap >> 12, "padding": gap & 0xFFF}
+            return found, points
     place = at + 36
-    if data[place : place + 4] == b"VBRI" and place + 18 <= len(data):
-        return {"bytes": int.from_bytes(data[place + 10 : place + 14], "big"), "frames": int.from_bytes(data[place + 14 : place + 18], "big"), "variable": 1}
+    if data[place : place + 4] == b"VBRI" and place + 26 <= len(data):
+        delay, _, size, frames, entries, scale, wide, _ = struct.unpack(">HHIIHHHH", data[place + 6 : place + 26])
+        steps = [int.from_bytes(data[i : i + wide], "big") * scale for i in range(place + 26, min(len(data), place + 26 + entries * wide), max(1, wide))]
+        return {"bytes": size, "frames": frames, "variable": 1, "delay": delay}, list(itertools.accumulate(steps, initial=0))[:-1]
     return None
 
 
@@ -173,13 +317,16 @@ def parse(data: bytes | None) -> Audio:
     """Frames, tags, table and checksums of MPEG audio bytes."""
     data, audio = data or b"", Audio()
     at, end = _tags(data, audio)
-    synced = False
+    synced, free = False, 0
     while at + 4 <= end:
         h = header(data, at)
+        if h is not None and not h.kbits:
+            if not synced or not free:
+                free = free_size(data, at, end, h)
+            h = replace(h, size=free + h.padding) if free else None
         fits = h is not None and at + h.size <= end
         if fits and not synced:  # one header alone may be chance
-            nxt = header(data, at + h.size)
-            fits = at + h.size == end or nxt is not None and (nxt.version, nxt.layer, nxt.rate) == (h.version, h.layer, h.rate)
+            fits = at + h.size == end or alike(h, header(data, at + h.size))
         if not fits:
             synced = False
             step = data.find(b"\xff", at + 1, end)
@@ -188,7 +335,7 @@ def parse(data: bytes | None) -> Audio:
             continue
         synced = True
         if not audio.headers and not audio.table and h.layer == 3 and (found := _vbr(data, at, h)) is not None:
-            audio.table = found
+            audio.table, audio.points = found
         else:
             audio.offsets.append(at)
             audio.headers.append(h)
@@ -198,10 +345,10 @@ def parse(data: bytes | None) -> Audio:
             audio.failed += ok is False
         at += h.size
     audio.skipped += max(0, end - at)
-    if audio.headers and len({h.rate for h in audio.headers}) == 1:
-        audio.duration = Fraction(audio.samples, audio.headers[0].rate)
-    else:
-        audio.duration = sum((Fraction(h.samples, h.rate) for h in audio.headers), Fraction(0))
+    silent = min(audio.samples, audio.table.get("delay", 0) + audio.table.get("padding", 0))
+    audio.duration = sum((Fraction(h.samples, h.rate) for h in audio.headers), Fraction(0)) if len({h.rate for h in audio.headers}) > 1 else Fraction(audio.samples, audio.headers[0].rate) if audio.headers else Fraction(0)
+    if silent:
+        audio.duration -= Fraction(silent, audio.headers[0].rate)
     return audio
 
 
@@ -263,10 +410,10 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [parse(x) for x in batch.column("media").to_pylist()]
         columns = [
             pa.array([a.samples for a in found], pa.int64()), pa.array([a.duration.numerator for a in found], pa.int64()), pa.array([a.duration.denominator for a in found], pa.int64()),
-            pa.array([a.offsets for a in found], pa.list_(pa.int64())), pa.array([a.checked for a in found], pa.int64()), pa.array([a.failed for a in found], pa.int64()), pa.array([a.skipped for a in found], pa.int64()),
+            pa.array([a.offsets for a in found], pa.list_(pa.int64())), pa.array([a.points for a in found], pa.list_(pa.int64())), pa.array([a.checked for a in found], pa.int64()), pa.array([a.failed for a in found], pa.int64()), pa.array([a.skipped for a in found], pa.int64()),
             pa.array([list(a.tags.items()) for a in found], pa.map_(pa.string(), pa.string())), pa.array([list(a.table.items()) for a in found], pa.map_(pa.string(), pa.int64())),
         ]
-        yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", "samples", "seconds_over", "seconds_under", "offsets", "checked", "failed", "skipped", "tags", "table"])
+        yield pa.RecordBatch.from_arrays([batch.column("id"), *columns], names=["id", "samples", "seconds_over", "seconds_under", "offsets", "points", "checked", "failed", "skipped", "tags", "table"])
 
 
 def parsed(media: DataFrame, id_column: str, media_column: str) -> DataFrame:
@@ -274,7 +421,7 @@ def parsed(media: DataFrame, id_column: str, media_column: str) -> DataFrame:
     tune(media.sparkSession)
     kind = dict(media.dtypes)[id_column]
     rows = media.select(F.col(id_column).alias("id"), F.col(media_column).alias("media"))
-    return rows.mapInArrow(_parsed, f"id {kind}, samples bigint, seconds_over bigint, seconds_under bigint, offsets array<bigint>, checked bigint, failed bigint, skipped bigint, tags map<string,string>, table map<string,bigint>").withColumnRenamed("id", id_column)
+    return rows.mapInArrow(_parsed, f"id {kind}, samples bigint, seconds_over bigint, seconds_under bigint, offsets array<bigint>, points array<bigint>, checked bigint, failed bigint, skipped bigint, tags map<string,string>, table map<string,bigint>").withColumnRenamed("id", id_column)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

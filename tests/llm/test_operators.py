@@ -11,6 +11,7 @@ import lzma
 import math
 import random
 import re
+import struct
 import time
 import urllib.parse
 import zlib
@@ -670,6 +671,78 @@ def test_frames_are_found_again_behind_junk_and_checked():
     assert mpeg_audio.parse(None).offsets == [] and mpeg_audio.parse(b"\xff" * 5000).offsets == []
 
 
+def plain_crc(bits):
+    crc = 0xFFFF
+    for b in bits:
+        crc = (crc << 1 & 0xFFFF) ^ (0x8005 if (crc >> 15) ^ int(b) else 0)
+    return crc
+
+
+def spelt(data):
+    return "".join(f"{b:08b}" for b in data)
+
+
+@pytest.mark.parametrize(("head", "bits"), [("fffc9400", 4 * 64), ("fffc94c0", 4 * 32), ("fffc9450", 4 * (8 * 2 + 24)), ("fffca4c0", None), ("fffca400", None), ("fff48400", None)])
+def test_checksums_of_layers_one_and_two(head, bits):
+    rng, head = random.Random(head), bytes.fromhex(head)
+    layer = 1 if bits else 2
+    head = bytes((head[0], head[1] & 0xF9 | (6 if layer == 1 else 4), *head[2:]))
+    h = mpeg_audio.header(head, 0)
+    assert (h.layer, h.protected) == (layer, True)
+    frames = []
+    for _ in range(3):
+        body = rng.randbytes(h.size - 6)
+        if layer == 2:  # allocation fields of the table, then two bits for each that isn't zero
+            widths = {"a": [4] * 11 + [3] * 12 + [2] * 4, "low": [4] * 4 + [3] * 7 + [2] * 19, "b": [4] * 11 + [3] * 12 + [2] * 7}[mpeg_audio.allocation_table(h)]
+            flat, at, used = spelt(body), 0, 0
+            for w in widths:
+                for _ in range(1 if h.mono else 2):
+                    used += "1" in flat[at : at + w]
+                    at += w
+            bits = at + 2 * used
+        frames.append(head + plain_crc(spelt(head[2:4]) + spelt(body)[:bits]).to_bytes(2, "big") + body)
+    data = b"".join(frames)
+    audio = mpeg_audio.parse(data)
+    assert (audio.checked, audio.failed, len(audio.offsets)) == (3, 0, 3)
+    bad = bytearray(data)
+    bad[7] ^= 0x10
+    assert mpeg_audio.parse(bytes(bad)).failed == 1
+
+
+def test_free_format_and_tables_with_delay():
+    head = bytes.fromhex("fffb0440")
+    frames = b"".join(head + bytes([7] * 700) for _ in range(5))
+    audio = mpeg_audio.parse(b"xx" + frames)
+    assert audio.offsets == [2 + 704 * i for i in range(5)] and audio.samples == 5 * 1152
+    head = bytes.fromhex("fffbc400")
+    size = mpeg_audio.header(head, 0).size
+    info = b"Xing" + (15).to_bytes(4, "big") + (4).to_bytes(4, "big") + (5 * size).to_bytes(4, "big") + bytes(range(100)) + (50).to_bytes(4, "big") + b"LAME3.100".ljust(21, b"\0") + (576 << 12 | 1000).to_bytes(3, "big")
+    data = (head + bytes(32) + info).ljust(size, b"\0") + (head + bytes(size - 4)) * 4
+    audio = mpeg_audio.parse(data)
+    assert audio.table == {"variable": 1, "frames": 4, "bytes": 5 * size, "quality": 50, "delay": 576, "padding": 1000}
+    assert audio.points == [i * 5 * size // 256 for i in range(100)] and audio.duration * 48000 == 4 * 1152 - 1576
+    vbri = b"VBRI" + struct.pack(">HHHIIHHHH", 1, 100, 0, 3 * size, 2, 3, 2, 2, 1) + struct.pack(">HHH", 10, 20, 30)
+    audio = mpeg_audio.parse((head + bytes(32) + vbri).ljust(size, b"\0") + (head + bytes(size - 4)) * 2)
+    assert audio.points == [0, 20, 60] and (audio.table["frames"], audio.table["delay"], len(audio.offsets)) == (2, 100, 2)
+
+
+def test_tags_of_all_kinds():
+    frames = (bytes.fromhex("fffbc400") + bytes(668)) * 3
+
+    def tag(major, flags, body):
+        n = len(body)
+        return b"ID3" + bytes((major, 0, flags, n >> 21 & 127, n >> 14 & 127, n >> 7 & 127, n & 127)) + body
+
+    two = tag(2, 0, b"TT2" + (6).to_bytes(3, "big") + b"\0title")
+    three = tag(3, 0xC0, (6).to_bytes(4, "big") + bytes(6) + b"TPE1" + (4).to_bytes(4, "big") + b"\0\0" + b"\0a\xff\0b")
+    four = tag(4, 0x40, bytes((0, 0, 0, 6)) + b"\1\0" + b"TALB" + bytes((0, 0, 0, 8)) + b"\0\3" + (3).to_bytes(4, "big") + b"\3x\xc3\xa9")
+    item = struct.pack("<II", 3, 0) + b"Genre\0pop"
+    foot = b"APETAGEX" + struct.pack("<IIIIQ", 2000, len(item) + 32, 1, 0, 0)
+    audio = mpeg_audio.parse(two + three + four + frames + item + foot + b"TAG" + b"old".ljust(125, b"\0"))
+    assert audio.tags == {"TT2": "title", "TPE1": "a\xffb", "TALB": "xé", "Genre": "pop", "TIT2": "old"}
+    assert len(audio.offsets) == 3 and audio.skipped == 0
+
+
 def test_media_of_odd_rows(spark, odd):
     docs = odd.select("doc_id", "text", F.col("text").cast("binary").alias("media"))
     assert mpeg_audio.parsed(docs, "doc_id", "media").count() == len(TEXTS) + 2
