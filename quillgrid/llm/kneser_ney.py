@@ -37,8 +37,8 @@ from .common import cut_lineage, hot_keys, lookup, sized, table, tune
 
 ORDER = 5
 #: Code points of a block, about, and those that are taken at once.
-BLOCK_CHARS = 16_000_000
-CHUNK_CHARS = 1_000_000
+BLOCK_CHARS = 24_000_000
+CHUNK_CHARS = 4_000_000
 #: n-grams that a task remembers before it passes their counts on.
 HELD = 1_000_000
 #: One of so many trusted documents is held out of the counts, and thresholds come from these.
