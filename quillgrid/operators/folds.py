@@ -7,7 +7,8 @@ hundred tokens, which bounds a group.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections import Counter
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,7 +16,28 @@ from pyspark.sql import DataFrame
 
 
 def folded(rows: DataFrame, step: Callable[[pd.DataFrame], pd.DataFrame], schema: str, key: str = "doc_id") -> DataFrame:
-    return rows.groupBy(key).applyInPandas(lambda frame: step(frame), schema)  # defaults of step aren't further arguments
+    """step applied to the rows of each key.
+
+    Rows are dealt and sorted by key and go to Python many documents at a time;
+    there each document is a slice. The shuffle keeps the session's number of
+    partitions, since the work per byte is large.
+    """
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = None
+        for frame in frames:
+            frame = frame if rest is None else pd.concat([rest, frame], ignore_index=True)
+            keys = frame[key].to_numpy()
+            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+            bounds = [0, *cuts.tolist()]
+            if len(bounds) > 1:
+                yield pd.concat([step(frame.iloc[i:j]) for i, j in zip(bounds, bounds[1:], strict=False)], ignore_index=True)
+            rest = frame.iloc[bounds[-1] :]
+        if rest is not None and len(rest):
+            yield step(rest)
+
+    dealt = rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    return dealt.sortWithinPartitions(key).mapInPandas(run, schema)
 
 
 def _mid(frame: pd.DataFrame, axis: str) -> np.ndarray:
@@ -39,7 +61,8 @@ def cluster_rows(frame: pd.DataFrame) -> pd.DataFrame:
             mean_y, mean_h = sum_y / len(members), sum_h / len(members)
             common = min(mean_y + mean_h / 2, cy[i] + h[i] / 2) - max(mean_y - mean_h / 2, cy[i] - h[i] / 2)
             if common > 0 and min(h[i], mean_h) > 0 and common / min(h[i], mean_h) > 0.4:
-                rows[k] = (sum_y + cy[i], sum_h + h[i], [*members, i])
+                members.append(i)
+                rows[k] = (sum_y + cy[i], sum_h + h[i], members)
                 break
         else:
             rows.append((cy[i], h[i], [i]))
@@ -52,7 +75,8 @@ def _first_fit(values: np.ndarray, near: float) -> list[list[int]]:
     for i in np.argsort(values, kind="stable"):
         for k, (total, members) in enumerate(groups):
             if abs(values[i] - total / len(members)) <= near:
-                groups[k] = (total + values[i], [*members, i])
+                members.append(i)
+                groups[k] = (total + values[i], members)
                 break
         else:
             groups.append((values[i], [i]))
@@ -109,37 +133,39 @@ def multiline_merge(frame: pd.DataFrame) -> pd.DataFrame:
 
 
 def spans(frame: pd.DataFrame, close: float = 12, numeric_close: float = 40, least: float = 18, most: int = 22) -> pd.DataFrame:
-    """Column spans (start, stop, numeric share) joined where close, narrow ones dropped, at most so many kept."""
-    todo = [list(x) for x in frame.sort_values("start")[["start", "stop", "numeric"]].itertuples(index=False)]
+    """Column spans of a document's runs (start, stop, tokens, numbers), at most so many.
+
+    Runs join where they are close, or a little further apart and both mostly
+    numbers; narrow ones then go. While there are too many the cheapest gap
+    goes, and one behind a narrow span costs less.
+    """
     out: list[list[float]] = []
-    for start, stop, numeric in todo:
-        if out and (start - out[-1][1] < close or (start - out[-1][1] < numeric_close and numeric > 0.6 and out[-1][2] > 0.6)):
-            out[-1] = [out[-1][0], max(out[-1][1], stop), (out[-1][2] + numeric) / 2]
+    for run in frame.sort_values("start", kind="stable")[["start", "stop", "tokens", "numbers"]].itertuples(index=False):
+        last, gap = (out[-1], run.start - out[-1][1]) if out else (None, 0)
+        if last and (gap < close or gap < numeric_close and last[3] > 0.6 * last[2] and run.numbers > 0.6 * run.tokens):
+            out[-1] = [min(last[0], run.start), max(last[1], run.stop), last[2] + run.tokens, last[3] + run.numbers]
         else:
-            out.append([start, stop, numeric])
+            out.append(list(run))
     out = [s for s in out if s[1] - s[0] >= least]
-    while len(out) > most:  # the cheapest gap goes; one beside a narrow span costs less
-        cost = [(b[0] - a[1]) * (0.8 if min(a[1] - a[0], b[1] - b[0]) < 30 else 1.0) for a, b in zip(out, out[1:], strict=False)]
-        k = int(np.argmin(cost))
-        out[k : k + 2] = [[out[k][0], out[k + 1][1], (out[k][2] + out[k + 1][2]) / 2]]
+    while len(out) > most:
+        cost = [(b[0] - a[1]) * (0.8 if a[1] - a[0] < 1.5 * least else 1.0) for a, b in zip(out, out[1:], strict=False)]
+        k = cost.index(min(cost))
+        out[k : k + 2] = [[min(out[k][0], out[k + 1][0]), max(out[k][1], out[k + 1][1]), out[k][2] + out[k + 1][2], out[k][3] + out[k + 1][3]]]
     doc = frame["doc_id"].iloc[0]
-    return pd.DataFrame([(doc, i, int(a), int(b)) for i, (a, b, _) in enumerate(out)], columns=["doc_id", "span_no", "start", "stop"])
+    return pd.DataFrame([(doc, i, int(s[0]), int(s[1])) for i, s in enumerate(out)], columns=["doc_id", "span_no", "start", "stop"])
 
 
 def table_columns(frame: pd.DataFrame) -> pd.DataFrame:
-    """Columns of a table's tokens (row_no, box, numeric, start and stop of the occupied run): the spans, split where rows have several tokens in one."""
-    runs = frame.groupby(["start", "stop"], as_index=False)["numeric"].mean().assign(doc_id=frame["doc_id"].iloc[0])
-    found = spans(runs, close=0, numeric_close=0, least=0, most=len(frame))
-    starts = found["start"].to_numpy(float)
-    frame = frame.assign(span=np.searchsorted(starts, frame["start"].to_numpy(float), side="right") - 1).sort_values(["span", "row_no", "min_x", "ord"])
-    frame["place"] = frame.groupby(["span", "row_no"]).cumcount()
+    """Columns of a table's tokens (row_no, ord, box, start of the occupied run): the runs, split where most rows have several tokens in one."""
+    runs: dict[int, dict[int, list[tuple[int, int]]]] = {}
+    for start, row, a, _, b in sorted(zip(*(frame[c].tolist() for c in ("start", "row_no", "min_x", "ord", "max_x")), strict=True)):
+        runs.setdefault(start, {}).setdefault(row, []).append((a, b))
     boxes: list[list[int]] = []
-    for _, part in frame.groupby("span"):
-        size = part.groupby("row_no").size()
-        counts = size.value_counts()
-        k = int(counts.index[counts == counts.max()].max())  # so many tokens most rows have, the more on ties
-        whole = part[part["row_no"].isin(size.index[size == k])]
-        boxes += [[int(one["min_x"].min()), int(one["max_x"].max())] for _, one in whole.groupby("place")]
+    for rows in runs.values():
+        sizes = Counter(map(len, rows.values()))
+        k = max(n for n, c in sizes.items() if c == max(sizes.values()))  # so many tokens most rows have, the more on ties
+        whole = [x for x in rows.values() if len(x) == k]
+        boxes += [[min(x[i][0] for x in whole), max(x[i][1] for x in whole)] for i in range(k)]
     for a, b in zip(boxes, boxes[1:], strict=False):
         a[1] = max(a[0] + 1, min(a[1], b[0] - 1))  # a text may run into the next column
     doc = frame["doc_id"].iloc[0]

@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +10,7 @@ from ..functions import geometry, predicates
 from ..operators import assign, folds, report
 from ..operators import rows as row_ops
 from ..sources import derived
+from ..sources.staging import written
 from .sql import ROWS, with_tokens
 from .text import CLASSED
 
@@ -32,20 +30,12 @@ def cells(spark: SparkSession, tokens: DataFrame) -> DataFrame:
     return row_bands(tokens).join(F.broadcast(boxes(spark)))  # eight columns by definition of the page
 
 
-def cut(frame: DataFrame) -> DataFrame:
-    """The frame, written to the shared checkpoint folder and read from there, so that plans of later steps stay small."""
-    context, where = frame.sparkSession.sparkContext, frame.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(where or os.path.join(tempfile.gettempdir(), "checkpoints"))
-    return frame.checkpoint()
-
-
 def found_rows(tokens: DataFrame) -> DataFrame:
     """Tokens (doc_id, ord, text, box) with the row_no that their boxes and texts give: clusters, continuation lines merged."""
     found = folds.folded(tokens.select("doc_id", "ord", "min_x", "max_x", "min_y", "max_y"), folds.cluster_rows, "doc_id bigint, ord bigint, row_index bigint")
-    placed = cut(tokens.join(found.withColumnRenamed("row_index", "row_no"), ["doc_id", "ord"]))
+    placed = written(tokens.join(found.withColumnRenamed("row_index", "row_no"), ["doc_id", "ord"]))
     into = _merged(row_ops.visual_rows(placed))
-    return cut(placed.join(into, ["doc_id", "row_no"]).drop("row_no").withColumnRenamed("merged_into", "row_no"))
+    return written(placed.join(into, ["doc_id", "row_no"]).drop("row_no").withColumnRenamed("merged_into", "row_no"))
 
 
 def _merged(rows: DataFrame) -> DataFrame:
@@ -61,7 +51,7 @@ def found_columns(rows: DataFrame) -> DataFrame:
     runs = report.occupied_runs(body, 3).select(F.col("doc_id").alias("d"), "start", "stop")
     middle = (F.col("min_x") + F.col("max_x")) / 2
     inside = body.join(runs, (F.col("doc_id") == F.col("d")) & (middle >= F.col("start")) & (middle <= F.col("stop")))
-    inside = inside.select("doc_id", "row_no", "ord", "min_x", "max_x", "start", "stop", F.coalesce(predicates.is_numeric_like(F.col("text")), F.lit(False)).cast("double").alias("numeric"))
+    inside = inside.select("doc_id", "row_no", "ord", "min_x", "max_x", "start")
     return folds.folded(inside, folds.table_columns, "doc_id bigint, col_no bigint, min_x bigint, max_x bigint")
 
 
@@ -70,8 +60,8 @@ def found_cells(tokens: DataFrame) -> DataFrame:
     rows = found_rows(tokens)
     bands = rows.groupBy("doc_id", "row_no").agg(F.min("min_y").alias("min_y"), F.max("max_y").alias("max_y"))
     tokens = rows.drop("row_no")
-    owned = assign.token_cells(tokens, bands, assign.cell_grid(bands, cut(found_columns(rows))))
-    return cut(tokens.join(owned, ["doc_id", "ord"]))
+    owned = assign.token_cells(tokens, bands, assign.cell_grid(bands, written(found_columns(rows))))
+    return written(tokens.join(owned, ["doc_id", "ord"]))
 
 
 def bbox_union(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,17 +92,17 @@ def _owned(spark: SparkSession, tokens: DataFrame) -> DataFrame:
 
 
 def token_cell_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = derived.tokens(spark, sf_dir)
+    tokens = written(derived.tokens(spark, sf_dir))
     return _owned(spark, tokens).select("doc_id", "ord", "cell_row", "cell_col", F.floor(F.col("score") * 1000 + 0.5).cast("bigint").alias("score"), "strategy")
 
 
 def nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = assign.neighbours(derived.tokens(spark, sf_dir))
+    found = assign.neighbours(written(derived.tokens(spark, sf_dir)))
     return found.groupBy("doc_id", "dir").agg(F.count("*").alias("n"), F.sum("other").alias("others"), F.sum("distance2").alias("distance2"))
 
 
 def orphan_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = derived.tokens(spark, sf_dir)
+    tokens = written(derived.tokens(spark, sf_dir))
     astray = (F.col("doc_id") + F.col("ord")) % 11 == 0  # beyond every cell
     tokens = tokens.withColumn("max_x", F.when(astray, 2000 + F.col("max_x") - F.col("min_x")).otherwise(F.col("max_x"))).withColumn("min_x", F.when(astray, 2000).otherwise(F.col("min_x")))
     lost = assign.orphans(tokens, _owned(spark, tokens))
@@ -120,7 +110,7 @@ def orphan_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = derived.tokens(spark, sf_dir)
+    tokens = written(derived.tokens(spark, sf_dir))
     return report.coverage(tokens, _owned(spark, tokens))
 
 
@@ -248,6 +238,9 @@ _NEAR = f"""near AS (SELECT a.doc_id, a.ord, b.ord AS other, CASE WHEN dx < 0 TH
 closest AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY doc_id, ord, dir ORDER BY d2, other) = 1)"""
 
 ORACLES = {
+    "row_clusters": with_tokens("SELECT doc_id, count(DISTINCT row_no) AS n_rows FROM tokens GROUP BY doc_id"),
+    "graph_rows": with_tokens("SELECT doc_id, count(DISTINCT row_no) AS n_rows FROM tokens GROUP BY doc_id"),
+    "x_smoothed_runs": with_tokens("SELECT doc_id, count(*) AS runs, sum(b - a)::BIGINT AS wide FROM (SELECT doc_id, run, min(a) AS a, max(b) AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY a, b) AS run FROM (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS new FROM (SELECT DISTINCT doc_id, min_x - 7 AS a, max_x + 7 AS b FROM tokens))) GROUP BY doc_id, run) GROUP BY doc_id"),
     "bbox_union": with_tokens("SELECT doc_id, min(min_x) AS min_x, max(max_x) AS max_x, min(min_y) AS min_y, max(max_y) AS max_y FROM tokens GROUP BY doc_id"),
     "skew_median": with_tokens("SELECT doc_id, CAST(floor(CASE WHEN abs(m) >= 0.01 THEN greatest(-pi() / 4, least(pi() / 4, m)) ELSE 0 END * 100000 + 0.5) AS BIGINT) AS skew FROM (SELECT doc_id, median(atan2((ord * 7) % 13 - 4, max_x - min_x)) AS m FROM tokens GROUP BY doc_id)"),
     "cell_grid": with_tokens("SELECT doc_id, count(*) AS n_cells, sum((max_x - min_x) * (hi - lo))::BIGINT AS area FROM (SELECT doc_id, col_no, min(min_x) AS min_x, max(max_x) AS max_x FROM tokens GROUP BY doc_id, col_no) JOIN bands USING (doc_id) GROUP BY doc_id", _BANDS),

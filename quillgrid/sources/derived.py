@@ -28,21 +28,33 @@ def money(minor: Column) -> Column:
     return F.concat(F.floor(minor / 100).cast("bigint").cast("string"), F.lit("."), F.lpad((minor % 100).cast("string"), 2, "0"))
 
 
-def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row for each order line, numbered within its order, with integer arithmetic."""
-    part = spark.read.parquet(f"{sf_dir}/part.parquet").select("p_partkey", "p_name")
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with their product's name, numbered within their order; joined first, so that one shuffle by order is left.
+
+    That shuffle keeps the session's number of partitions: a line becomes some
+    ten tokens, which the bytes that adaptive coalescing goes by don't tell.
+    """
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("part"), "p_name")
     raw = spark.read.parquet(f"{sf_dir}/lineitem.parquet").selectExpr(
         "l_orderkey as doc_id", "l_linenumber", "l_partkey as part", "l_suppkey as supplier", "l_shipdate",
         "cast(round(l_extendedprice * 100) as bigint) as gross", "cast(round(l_quantity) as bigint) as qty",
         "cast(round(l_discount * 100) as bigint) as disc", "cast(round(l_tax * 100) as bigint) as tax",
     )
     order = Window.partitionBy("doc_id").orderBy("l_linenumber", "part", "supplier", "gross", "qty", "disc", "tax", "l_shipdate")
-    numbered = raw.withColumn("ord", F.row_number().over(order)).join(part, F.col("part") == F.col("p_partkey"))
-    return numbered.selectExpr(
-        "doc_id", "ord", "part", "supplier", "concat(p_name, ' ', element_at(array('TAB', 'SYP', 'INJ', 'CAP'), cast(part % 4 as int) + 1)) as product",
-        "qty", "gross", "disc", "tax", "(gross + qty div 2) div qty as rate", "(gross * (100 - disc) + 50) div 100 as amount",
-        "concat('B', lpad(cast(supplier as string), 5, '0')) as batch", "date_format(l_shipdate, 'MM/yy') as expiry", "cast(30040000 + part % 1000 as string) as hsn",
-    )
+    dealt = raw.join(part, "part").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id")
+    return dealt.withColumn("ord", F.row_number().over(order))
+
+
+LINE = (
+    "doc_id", "ord", "part", "supplier", "concat(p_name, ' ', element_at(array('TAB', 'SYP', 'INJ', 'CAP'), cast(part % 4 as int) + 1)) as product",
+    "qty", "gross", "disc", "tax", "(gross + qty div 2) div qty as rate", "(gross * (100 - disc) + 50) div 100 as amount",
+    "concat('B', lpad(cast(supplier as string), 5, '0')) as batch", "date_format(l_shipdate, 'MM/yy') as expiry", "cast(30040000 + part % 1000 as string) as hsn",
+)
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each order line, numbered within its order, with integer arithmetic."""
+    return _numbered(spark, sf_dir).selectExpr(*LINE)
 
 
 def quantity_text(part: Column, qty: Column) -> Column:
@@ -59,16 +71,26 @@ def footers(rows: DataFrame) -> DataFrame:
 
 
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, row_no (0: header), col_no, ord, text and box of every token."""
-    rows = lines(spark, sf_dir)
+    """doc_id, row_no (0: header), col_no, ord, text and box of every token.
+
+    One pass over the lines: each line writes its own row, the first also the
+    header, the last also the totals, which windows over the order give.
+    """
+    whole = Window.partitionBy("doc_id")
+    rows = lines(spark, sf_dir).withColumn("n", F.max("ord").over(whole)).withColumn("sub", F.sum("amount").over(whole)).withColumn("half", F.sum(F.expr("(amount * tax + 100) div 200")).over(whole))
     comma = F.when(F.col("part") % 17 == 0, F.translate(money(F.col("amount")), ".", ",")).otherwise(money(F.col("amount")))
-    texts = {"product": F.col("product"), "batch": F.col("batch"), "expiry": F.col("expiry"), "hsn": F.col("hsn"), "qty": quantity_text(F.col("part"), F.col("qty")), "rate": money(F.col("rate")), "disc": F.concat(F.col("disc").cast("string"), F.lit(".00")), "amount": comma}
-    body = rows.select("doc_id", F.col("ord").alias("row_no"), "part", F.posexplode(F.array(*texts.values())).alias("col_no", "text"))
-    body = body.withColumn("jitter", (F.col("part") * 31 + F.col("col_no")) % 3 - 1).drop("part")
-    head = rows.where("ord = 1").select("doc_id", F.lit(0).alias("row_no"), F.posexplode(F.array(*[F.lit(c[1]) for c in COLUMNS])).alias("col_no", "text"), F.lit(0).cast("bigint").alias("jitter"))
-    feet = footers(rows).select("doc_id", "row_no", F.explode(F.array(F.struct(F.lit(5).alias("c"), F.col("label").alias("t")), F.struct(F.lit(7).alias("c"), money(F.col("value")).alias("t")))).alias("x"))
-    feet = feet.select("doc_id", "row_no", F.col("x.c").alias("col_no"), F.col("x.t").alias("text"), F.lit(0).cast("bigint").alias("jitter"))
-    return placed(head.unionByName(body).unionByName(feet))
+    texts = (F.col("product"), F.col("batch"), F.col("expiry"), F.col("hsn"), quantity_text(F.col("part"), F.col("qty")), money(F.col("rate")), F.concat(F.col("disc").cast("string"), F.lit(".00")), comma)
+
+    def token(row: Column, col: int, text: Column, jitter: Column | None = None) -> Column:
+        return F.struct(row.cast("int").alias("row_no"), F.lit(col).alias("col_no"), text.alias("text"), (F.lit(0) if jitter is None else jitter).cast("bigint").alias("jitter"))
+
+    body = F.array(*[token(F.col("ord"), i, t, (F.col("part") * 31 + i) % 3 - 1) for i, t in enumerate(texts)])
+    head = F.array(*[token(F.lit(0), i, F.lit(c[1])) for i, c in enumerate(COLUMNS)])
+    values = (F.col("sub"), F.col("half"), F.col("half"), F.col("sub") + 2 * F.col("half"))
+    feet = F.array(*[token(F.col("n") + 1 + k, c, t) for k, (name, v) in enumerate(zip(FOOTERS, values, strict=True)) for c, t in ((5, F.lit(name)), (7, money(v)))])
+    none = F.filter(body, lambda x: F.lit(False))
+    written = F.concat(body, F.when(F.col("ord") == 1, head).otherwise(none), F.when(F.col("ord") == F.col("n"), feet).otherwise(none))
+    return placed(rows.select("doc_id", F.explode(written).alias("x")).select("doc_id", "x.*"))
 
 
 def placed(rows: DataFrame) -> DataFrame:

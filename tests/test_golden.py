@@ -114,8 +114,11 @@ def test_row_clusters_like_plain_loops(seed):
 
 
 def test_folds_on_small_inputs():
-    bands = pd.DataFrame({"doc_id": 1, "start": [0, 10, 50, 300, 330], "stop": [40, 60, 70, 320, 360], "numeric": [0, 0, 0, 0.9, 0.9]})
+    bands = pd.DataFrame({"doc_id": 1, "start": [0, 10, 50, 300, 330], "stop": [40, 60, 70, 320, 360], "tokens": 10, "numbers": [0, 0, 0, 9, 9]})
     assert folds.spans(bands)[["start", "stop"]].values.tolist() == [[0, 70], [300, 360]]
+    row = pd.DataFrame({"doc_id": 1, "start": [0, 60, 117, 173], "stop": [26, 88, 144, 200], "tokens": 1, "numbers": 0})
+    # gaps 34, 29 and 29: only the first stands behind a span under 27 pixels, and costs 27.2
+    assert folds.spans(row, most=3)[["start", "stop"]].values.tolist() == [[0, 88], [117, 144], [173, 200]]
     assert folds.stable_bands(bands)[["start", "stop"]].values.tolist() == [[0, 70], [300, 320], [330, 360]]
     columns = pd.DataFrame({"doc_id": 1, "col_no": [0, 1, 2], "min_x": [0, 90, 200], "max_x": [100, 190, 300], "filled": [2, 9, 4]})
     assert folds.stabilised_columns(columns).kept_col.tolist() == [1, 1, 2]
