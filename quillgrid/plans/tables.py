@@ -9,15 +9,16 @@ from ..functions import predicates
 from ..operators import finance, report, score, semantics
 from ..operators import rows as row_ops
 from ..sources import derived
+from ..sources.staging import written
 from .finance import _MATH, _SPOILT
 from .sql import ROWS, with_lines, with_tokens
 from .text import CLASSED, ROLED, with_roles
 
 
 def _roled_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = derived.tokens(spark, sf_dir)
+    tokens = written(derived.tokens(spark, sf_dir))
     rows = with_roles(row_ops.visual_rows(tokens)).select("doc_id", "row_no", "row_role")
-    return tokens.join(rows, ["doc_id", "row_no"])
+    return written(tokens.join(rows, ["doc_id", "row_no"]))
 
 
 def _items(cells: DataFrame) -> DataFrame:
@@ -38,11 +39,7 @@ def column_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def semantic_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = _roled_cells(spark, sf_dir)
-    items = _items(cells)
-    bounds = cells.groupBy("doc_id").agg(F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x"))
-    counts = items.groupBy("doc_id").agg(F.count_distinct("row_no").alias("items"))
-    return semantics.ranked(semantics.profile(items), counts, bounds)
+    return semantics.of_cells(_roled_cells(spark, sf_dir))
 
 
 def semantic_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +48,7 @@ def semantic_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def semantic_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = _roled_cells(spark, sf_dir)
-    found = semantics.outliers(cells, semantic_ranking(spark, sf_dir))
+    found = semantics.outliers(cells, semantics.of_cells(cells))
     return found.groupBy("col_no", "outlier").agg(F.count("*").alias("n"))
 
 
@@ -196,16 +193,28 @@ def _share(k: str, p: int) -> str:
 
 
 _STRONG = f"(alpha * 100 >= 28 * chars OR {_share('expiry', 35)} OR {_share('batch', 35)} OR {_share('hsn', 35)} OR {_share('rate', 55)})"
-_MEANT = f"""placed AS (SELECT p.*, items, (x2 - 2 * n * t_min) * 50 AS place, greatest(1, t_max - t_min) AS span, support >= CASE WHEN items >= 2 THEN 2 ELSE 1 END AS enough FROM profile p JOIN (SELECT doc_id, count(DISTINCT row_no) AS items FROM cells WHERE row_role = 'item_row' GROUP BY doc_id) USING (doc_id)
+_HEAD = [("product", "PRODUCT|ITEM|DESCRIPTION|PARTICULARS?"), ("batch", "BATCH"), ("expiry", "EXP(?:IRY)?"), ("hsn", "HSN"), ("quantity", "QTY|QUANTITY"), ("free_quantity", "FREE"), ("mrp", "MRP"), ("rate", "RATE"), ("discount", "DIS|DISC|DISCOUNT|TD"), ("gst", "GST|CGST|SGST|IGST"), ("amount", "AMOUNT|AMT|VALUE")]
+_CONTEXT = "SELECT doc_id, col_no, count(*) FILTER (regexp_matches(upper(text), '\\b(?:SUB\\s*TOTAL|GRAND\\s*TOTAL|ROUND\\s*OFF|ROUNDOFF|DISCOUNT|LESS|CGST|SGST|IGST|GST\\s*SUMMARY|AMOUNT\\s+IN\\s+WORDS|NET\\s*(?:AMT|AMOUNT|PAYABLE))\\b')) AS footer_signs, count(*) FILTER (regexp_matches(text, '^\\d[\\d,]*\\.\\d{1,3}%?$')) AS outside_money FROM cells WHERE row_role IN ('footer_summary_row', 'tax_summary_row', 'metadata_row') GROUP BY doc_id, col_no"
+_MEANT = f"""placed AS (SELECT p.*, items, t_min, (x2 - 2 * n * t_min) * 50 AS place, greatest(1, t_max - t_min) AS span, support >= CASE WHEN items >= 2 THEN 2 ELSE 1 END AS enough FROM profile p JOIN (SELECT doc_id, count(DISTINCT row_no) AS items FROM cells WHERE row_role = 'item_row' GROUP BY doc_id) USING (doc_id)
   JOIN (SELECT doc_id, min(min_x) AS t_min, max(max_x) AS t_max FROM cells GROUP BY doc_id) USING (doc_id)),
 hards AS (SELECT *, CASE WHEN enough AND {_share('expiry', 35)} THEN 'expiry' WHEN enough AND {_share('hsn', 35)} THEN 'hsn' WHEN enough AND {_share('batch', 35)} AND alpha * 100 >= 12 * chars THEN 'batch'
     WHEN enough AND ({_share('gst', 45)} OR {_share('rate', 55)}) AND place >= 65 * n * span AND n_money * 100 <= 70 * n THEN 'gst' WHEN alpha * 100 >= 35 * chars AND place <= 55 * n * span THEN 'product'
     WHEN enough AND ((place < 55 * n * span AND ({_share('compound', 25)} OR (NOT {_share('money', 45)} AND alpha * 100 <= 50 * chars AND NOT {_STRONG} AND {_share('qty', 45)} AND alpha * 100 <= 25 * chars AND NOT {_share('money', 35)}))) OR ({_share('qty', 45)} AND alpha * 100 <= 20 * chars AND NOT {_share('money', 35)} AND NOT {_STRONG})) THEN '~quantity' END AS hard FROM placed),
 kinds AS (SELECT *, CASE WHEN hard = '~quantity' THEN 'q' WHEN hard IS NULL AND enough AND NOT {_STRONG} AND {_share('money', 45)} AND alpha * 100 <= 18 * chars AND NOT {_share('rate', 55)}
     AND ((place >= 55 * n * span AND n_expiry = 0 AND n_batch = 0 AND n_hsn = 0) OR (NOT {_share('expiry', 25)} AND NOT {_share('batch', 25)} AND NOT {_share('hsn', 25)})) THEN 'm' ELSE 'o' END AS kind FROM hards),
-meant AS (SELECT doc_id, col_no, n, support, CASE WHEN kind = 'q' AND k = 1 THEN 'quantity' WHEN kind = 'q' AND k = 2 THEN 'free_quantity' WHEN kind = 'q' THEN 'unknown' WHEN kind = 'o' THEN coalesce(hard, 'unknown') WHEN k = c THEN 'amount' WHEN n_discount > 0 THEN 'discount'
-    WHEN c = 2 THEN 'rate' WHEN k = 1 THEN 'mrp' WHEN k = 2 THEN 'rate' ELSE 'taxable_value' END AS meaning FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY x2::DOUBLE / n, col_no) AS k, count(*) OVER (PARTITION BY doc_id, kind) AS c FROM kinds))"""
-_HEAD = [("product", "PRODUCT|ITEM|DESCRIPTION|PARTICULARS?"), ("batch", "BATCH"), ("expiry", "EXP(?:IRY)?"), ("hsn", "HSN"), ("quantity", "QTY|QUANTITY"), ("free_quantity", "FREE"), ("mrp", "MRP"), ("rate", "RATE"), ("discount", "DIS|DISC|DISCOUNT|TD"), ("gst", "GST|CGST|SGST|IGST"), ("amount", "AMOUNT|AMT|VALUE")]
+told AS (SELECT *, CASE WHEN kind = 'q' AND k = 1 THEN 'quantity' WHEN kind = 'q' AND k = 2 THEN 'free_quantity' WHEN kind = 'q' THEN NULL WHEN kind = 'o' THEN hard WHEN k = c THEN 'amount' WHEN n_discount > 0 THEN 'discount'
+    WHEN c = 2 THEN 'rate' WHEN k = 1 THEN 'mrp' WHEN k = 2 THEN 'rate' ELSE 'taxable_value' END AS told FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, kind ORDER BY x2::DOUBLE / n, col_no) AS k, count(*) OVER (PARTITION BY doc_id, kind) AS c FROM kinds)),
+heads AS (SELECT doc_id, col_no, meaning, count(*) AS votes FROM cells JOIN (VALUES {", ".join(f"('{m}', '\\b(?:{p})\\b')" for m, p in _HEAD)}) v(meaning, p) ON regexp_matches(upper(text), p) WHERE row_role = 'header_row' GROUP BY ALL),
+points AS (SELECT t.*, coalesce(footer_signs, 0) AS signs, (x2::DOUBLE / (2 * n) - t_min) / span AS r, n_money::DOUBLE / n AS mr, alpha::DOUBLE / chars AS ad, {_STRONG} AS strong, {", ".join(f"coalesce((SELECT least(3.0::DOUBLE, votes * 2.0::DOUBLE) FROM heads h WHERE h.doc_id = t.doc_id AND h.col_no = t.col_no AND h.meaning = '{m}'), 0.0::DOUBLE) AS h_{m}" for m, _ in _HEAD)}
+  FROM told t LEFT JOIN ({_CONTEXT}) USING (doc_id, col_no)),
+moneyed AS (SELECT *, CASE WHEN mr >= 0.45::DOUBLE AND ad <= 0.18::DOUBLE THEN mr * 2 ELSE 0.0::DOUBLE END AS m, least(1.5::DOUBLE, signs * 0.5::DOUBLE) AS penalty FROM points),
+scores AS (SELECT *, [CASE WHEN ad >= 0.35::DOUBLE AND r <= 0.55::DOUBLE THEN 2 + ad * 3 ELSE 0.0::DOUBLE END + CASE WHEN n_long > 0 AND r <= 0.65::DOUBLE THEN 1.5::DOUBLE ELSE 0.0::DOUBLE END + h_product, n_batch::DOUBLE / n * 4 + h_batch, n_expiry::DOUBLE / n * 5 + h_expiry, n_hsn::DOUBLE / n * 5 + h_hsn,
+    n_qty::DOUBLE / n * 3 + h_quantity + CASE WHEN kind = 'q' AND {_share('compound', 25)} THEN n_compound::DOUBLE / n * 3.0::DOUBLE ELSE 0.0::DOUBLE END, 0.0::DOUBLE + h_free_quantity, m * greatest(0.2::DOUBLE, 1 - r) + h_mrp, m + h_rate, n_discount * 2.0::DOUBLE + h_discount, greatest(0.0::DOUBLE, m * r - penalty),
+    greatest(0.0::DOUBLE, n_gst::DOUBLE / n * 3.5::DOUBLE + h_gst - penalty), greatest(0.0::DOUBLE, m * (1 + r) + h_amount - penalty), 0.0::DOUBLE] AS s, {list(semantics.MEANINGS)} AS names FROM moneyed),
+named AS (SELECT *, coalesce(told, CASE WHEN list_max(s) <= 0 OR (names[list_position(s, list_max(s))] = 'amount' AND strong) THEN 'unknown' ELSE names[list_position(s, list_max(s))] END) AS meaning FROM scores),
+owned AS (SELECT *, CASE WHEN told IS NULL THEN s[list_position(names, meaning)] WHEN kind = 'm' THEN greatest(s[list_position(names, meaning)], mr) ELSE greatest(s[list_position(names, meaning)], 1.0::DOUBLE) END AS own FROM named),
+meant AS (SELECT doc_id, col_no, n, support, meaning, CAST(floor(greatest(0.0::DOUBLE, least(0.95::DOUBLE, CASE WHEN told IS NOT NULL THEN greatest(margin, least(0.85::DOUBLE, own)) ELSE margin END)) * 1000 + 0.5) AS BIGINT) AS confidence
+  FROM (SELECT *, (own - list_sort(s)[-2]) / greatest(1.0::DOUBLE, list_reduce(s, lambda a, x: a + x)) AS margin FROM owned))"""
 _BATCH = "len(list_filter(regexp_extract_all(up, '[A-Z0-9-]+'), lambda w: length(w) BETWEEN 5 AND 20 AND regexp_matches(w, '[A-Z]') AND regexp_matches(w, '\\d')))"
 
 
@@ -232,10 +241,14 @@ _TRIPLE = "spoilt AS (SELECT * REPLACE (CASE WHEN part % 17 = 0 THEN amount * 3
 ORACLES = {
     "column_profile": with_tokens("SELECT * FROM profile", *_PROFILE),
     "header_votes": with_tokens("SELECT col_no, meaning, count(*) AS votes FROM cells JOIN (VALUES " + ", ".join(f"('{m}', '\\b(?:{p})\\b')" for m, p in _HEAD) + ") v(meaning, p) ON regexp_matches(upper(text), p) WHERE row_role = 'header_row' GROUP BY col_no, meaning", ROWS, ROLED, _CELLS),
-    "column_context": with_tokens("SELECT doc_id, col_no, count(*) FILTER (regexp_matches(upper(text), '\\b(?:SUB\\s*TOTAL|GRAND\\s*TOTAL|ROUND\\s*OFF|ROUNDOFF|DISCOUNT|LESS|CGST|SGST|IGST|GST\\s*SUMMARY|AMOUNT\\s+IN\\s+WORDS|NET\\s*(?:AMT|AMOUNT|PAYABLE))\\b')) AS footer_signs, count(*) FILTER (regexp_matches(text, '^\\d[\\d,]*\\.\\d{1,3}%?$')) AS outside_money FROM cells WHERE row_role IN ('footer_summary_row', 'tax_summary_row', 'metadata_row') GROUP BY doc_id, col_no", ROWS, ROLED, _CELLS),
-    "semantic_ranking": with_tokens("SELECT doc_id, col_no, n, support, meaning FROM meant", *_PROFILE, _MEANT),
+    "column_context": with_tokens(_CONTEXT, ROWS, ROLED, _CELLS),
+    "semantic_ranking": with_tokens("SELECT doc_id, col_no, n, support, meaning, confidence FROM meant", *_PROFILE, _MEANT),
     "semantic_histogram": with_tokens("SELECT col_no, meaning, count(*) AS n FROM meant GROUP BY col_no, meaning", *_PROFILE, _MEANT),
     "semantic_outliers": with_tokens("SELECT col_no, meaning IN ('quantity', 'free_quantity', 'mrp', 'rate', 'discount', 'taxable_value', 'gst', 'amount') AND trim(text) <> '' AND NOT regexp_matches(upper(trim(text)), '^[ \\d+*X.,₹$RS%\\s()-]+$') AS outlier, count(*) AS n FROM cells JOIN meant USING (doc_id, col_no) GROUP BY col_no, outlier", *_PROFILE, _MEANT),
+    "base_votes": with_tokens("""SELECT col_no, meaning, max(CAST(floor(v * 1000 + 0.5) AS BIGINT)) AS most FROM (SELECT col_no, unnest(['batch', 'expiry', 'hsn', 'quantity', 'gst', 'discount', 'product', 'mrp', 'rate', 'taxable_value', 'amount']) AS meaning,
+  unnest([n_batch::DOUBLE / n * 4, n_expiry::DOUBLE / n * 5, n_hsn::DOUBLE / n * 5, n_qty::DOUBLE / n * 3, n_gst::DOUBLE / n * 3.5::DOUBLE, n_discount * 2.0::DOUBLE, CASE WHEN ad >= 0.35::DOUBLE AND r <= 0.55::DOUBLE THEN 2 + ad * 3 ELSE 0.0::DOUBLE END + CASE WHEN n_long > 0 AND r <= 0.65::DOUBLE THEN 1.5::DOUBLE ELSE 0.0::DOUBLE END, m * greatest(0.2::DOUBLE, 1 - r), m, m * r, m * (1 + r)]) AS v
+  FROM (SELECT *, CASE WHEN n_money::DOUBLE / n >= 0.45::DOUBLE AND ad <= 0.18::DOUBLE THEN n_money::DOUBLE / n * 2 ELSE 0.0::DOUBLE END AS m FROM (SELECT *, 50.0::DOUBLE * x2 / n / 792 / 100 AS r, alpha::DOUBLE / chars AS ad FROM profile))) GROUP BY col_no, meaning""", *_PROFILE),
+    "json_grids": with_tokens("SELECT doc_id, md5(CAST(to_json(list(r ORDER BY row_no)) AS VARCHAR)) AS grid_md5 FROM (SELECT doc_id, row_no, list(text ORDER BY col_no, text) AS r FROM tokens GROUP BY doc_id, row_no) GROUP BY doc_id"),
     "main_table_score": with_tokens("SELECT doc_id, table_id, n_rows, product_rows, diverse_rows, batches, hsns, sums, quantities, score10 FROM scored", ROWS, ROLED, _REGIONS),
     "table_route": with_tokens("SELECT table_id, table_type, count(*) AS n FROM routed GROUP BY table_id, table_type", ROWS, ROLED, _REGIONS, _ROUTED),
     "failure_causes": with_lines("SELECT CASE WHEN part % 17 = 0 THEN 'decimal_comma' WHEN part % 10 = 1 THEN 'pack_read_as_quantity' WHEN part % 10 = 0 THEN 'free_units_counted' WHEN disc * 100 = rate THEN 'column_shift' ELSE 'none' END AS cause, count(*) AS n, count(DISTINCT doc_id) AS docs FROM lines GROUP BY 1"),
