@@ -10,8 +10,10 @@ from ..functions import predicates, quantity, scalars
 from ..operators import audit, finance, score, semantics
 from ..operators import rows as row_ops
 from ..sources import derived
+from ..sources.staging import written
 from . import layout, text
-from .sql import ROWS, with_lines, with_tokens
+from .finance import _MATH
+from .sql import FOOTERS, LINES, ROWS, with_lines, with_tokens
 
 
 def row_drop_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,26 +76,46 @@ def ownership_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def invoice_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document from tokens to a judged invoice: rows, columns, cells, roles, meanings, row arithmetic, totals, confidence."""
-    return invoices(derived.tokens(spark, sf_dir))
+    """Each document from tokens to a judged invoice: rows, columns, cells, roles, meanings, row arithmetic, totals, confidence.
+
+    One amount in some twenty has a digit too many, which the arithmetic has to find.
+    """
+    tokens = derived.tokens(spark, sf_dir)
+    last = F.max("row_no").over(Window.partitionBy("doc_id"))
+    spoilt = (F.col("col_no") == 7) & (F.col("row_no") > 0) & (F.col("row_no") <= F.col("_last") - 4) & ((F.col("doc_id") + F.col("row_no")) % 23 == 0)
+    return invoices(tokens.withColumn("_last", last).withColumn("text", F.when(spoilt, F.concat(F.lit("9"), "text")).otherwise(F.col("text"))))
+
+
+def meanings(cells: DataFrame) -> DataFrame:
+    """Meaning of each column: what its header says, else what semantics.ranked() tells from its cells.
+
+    The ranking alone takes the first column of sums for a price and the next
+    for the rate, whatever stands above them; a header that can be read is the
+    better witness. (The query semantic_ranking has the ranking itself.)
+    """
+    votes = semantics.header_votes(cells.where("row_role = 'header_row'"))
+    place = F.array_position(F.array(*map(F.lit, semantics.MEANINGS)), F.col("meaning"))
+    heads = votes.groupBy("doc_id", "col_no").agg(F.min_by("meaning", F.struct(-F.col("votes"), place)).alias("head"))
+    ranked = semantics.of_cells(cells).select("doc_id", "col_no", "meaning")
+    return ranked.join(heads, ["doc_id", "col_no"], "left").select("doc_id", "col_no", F.coalesce("head", "meaning").alias("meaning"))
 
 
 def invoices(tokens: DataFrame) -> DataFrame:
     """The judged invoice of each document, from the texts and boxes of its tokens alone."""
-    tokens = tokens.select("doc_id", "ord", "text", "min_x", "max_x", "min_y", "max_y")
+    tokens = written(tokens.select("doc_id", "ord", "text", "min_x", "max_x", "min_y", "max_y"))
     cells = layout.found_cells(tokens).select("doc_id", F.col("cell_row").alias("row_no"), F.col("cell_col").alias("col_no"), "ord", "text", "min_x", "max_x", "min_y", "max_y")
     roles = text.with_roles(row_ops.visual_rows(cells)).select("doc_id", "row_no", "row_role")
-    cells = cells.join(roles, ["doc_id", "row_no"])
-    items = cells.where("row_role = 'item_row'")
-    meanings = semantics.ranked(semantics.profile(items), items.groupBy("doc_id").agg(F.count_distinct("row_no").alias("items")), cells.groupBy("doc_id").agg(F.min("min_x").alias("min_x"), F.max("max_x").alias("max_x")))
-    meant = items.join(meanings.select("doc_id", "col_no", "meaning"), ["doc_id", "col_no"])
+    cells = written(cells.join(roles, ["doc_id", "row_no"]))
+    meant = semantics.outliers(cells.where("row_role = 'item_row'"), meanings(cells))
+    page = Window.partitionBy("doc_id")
     value = lambda m: F.max(F.when(F.col("meaning") == m, F.col("text")))
-    rows = meant.groupBy("doc_id", "row_no").agg(F.count("*").alias("populated"), value("quantity").alias("q"), value("rate").alias("r"), value("amount").alias("a"), value("gst").alias("d"))
-    minor = lambda c: F.floor(scalars.to_decimal(F.col(c)) * 100).cast("bigint")
-    rows = rows.select("doc_id", "row_no", "populated", quantity.parsed(F.col("q"))["billed"].cast("bigint").alias("qty"), F.when(F.col("r").isNotNull(), minor("r")).alias("rate"), F.when(F.col("a").isNotNull(), minor("a")).alias("amount"), F.coalesce(F.expr("cast(try_cast(d as double) as bigint)"), F.lit(0)).alias("disc"))
+    rows = meant.groupBy("doc_id", "row_no").agg(F.count("*").alias("populated"), value("quantity").alias("q"), value("rate").alias("r"), value("amount").alias("a"), value("discount").alias("d"), F.count_if("outlier").alias("outliers"))
+    minor = lambda c: F.when(F.col(c).isNotNull(), F.floor(scalars.to_decimal(F.col(c)) * 100).cast("bigint"))
+    missing = sum((F.max(F.col(c).isNotNull()).over(page) == F.lit(False)).cast("int") for c in ("q", "r", "a"))
+    rows = rows.select("doc_id", "row_no", "populated", "outliers", F.max("populated").over(page).alias("n_cells"), missing.alias("missing"), quantity.parsed(F.col("q"))["billed"].cast("bigint").alias("qty"), minor("r").alias("rate"), minor("a").alias("amount"), F.coalesce(F.expr("cast(try_cast(d as double) as bigint)"), F.lit(0)).alias("disc"))
     checked = finance.row_math(rows)
     zero = F.lit(0)
-    stable = score.validated_rows(checked.select("doc_id", "row_no", F.lit("item_row").alias("row_role"), F.lit(8).alias("n_cells"), "populated", zero.alias("mismatches"), zero.alias("global_cells"), zero.alias("outliers"), zero.alias("missing"), "qty", "rate", "amount", F.coalesce("passed", F.lit(False)).alias("passed")))
+    stable = score.validated_rows(checked.select("doc_id", "row_no", F.lit("item_row").alias("row_role"), "n_cells", "populated", zero.alias("mismatches"), zero.alias("global_cells"), F.col("outliers").cast("int").alias("outliers"), "missing", "qty", "rate", "amount", F.coalesce("passed", F.lit(False)).alias("passed")))
     stable = stable.withColumn("confidence", score.row_confidence(F.lit(1.0), F.when(F.col("passed"), 1.0).otherwise(0.3), F.col("populated") / F.col("n_cells"), F.col("stability")))
     tables = score.table_confidence(stable, 0.9)
     sums = stable.groupBy("doc_id").agg(F.count("*").alias("rows"), F.count_if("passed").alias("passed"), F.sum("amount").alias("subtotal"))
@@ -132,5 +154,9 @@ ORACLES = {
   CAST(rate // 100 AS VARCHAR) || '.' || lpad(CAST(rate % 100 AS VARCHAR), 2, '0') AS rate, CAST(least(950, 480 + 55 * n + CASE WHEN 4 <= 1 THEN 120 ELSE 60 END) AS BIGINT) AS confidence
 FROM (SELECT *, CAST(amount // 100 AS VARCHAR) || '.' || lpad(CAST(amount % 100 AS VARCHAR), 2, '0') AS a, count(*) OVER (PARTITION BY doc_id) AS n FROM lines) WHERE n >= 3 AND 4 * 100 <= greatest(200, 35 * (n + 4))"""),
     "ownership_audit": with_tokens("SELECT doc_id, count(*) AS n, sum(own2 - near2)::BIGINT AS apart2 FROM (SELECT t.doc_id, abs(min_y + max_y - (226 + 48 * greatest(t.row_no - 1, 0))) AS own2, (SELECT min(abs(t.min_y + t.max_y - lo - hi)) FROM bands b WHERE b.doc_id = t.doc_id) AS near2 FROM tokens t WHERE (t.doc_id + t.ord) % 7 = 0) WHERE own2 - near2 >= 6 GROUP BY doc_id", layout._BANDS),
+    "invoice_pipeline": f"""WITH {LINES}, {FOOTERS}, spoilt AS (SELECT * REPLACE (CASE WHEN (doc_id + ord) % 23 = 0 THEN CAST('9' || CAST(amount AS VARCHAR) AS BIGINT) ELSE amount END AS amount) FROM lines), {_MATH}
+SELECT doc_id, count(*) AS rows, count(*) FILTER (passed) AS passed, sum(amount)::BIGINT AS subtotal, any_value(grand) AS expected, 0::BIGINT AS off, 'PASS' AS status,
+  CASE WHEN bool_or(passed) THEN 900::BIGINT ELSE 0::BIGINT END AS confidence, CASE WHEN bool_or(passed) THEN 'accept' ELSE 'quarantine' END AS gate
+FROM checked JOIN (SELECT doc_id, max(value) FILTER (label = 'GRAND TOTAL') AS grand FROM footers GROUP BY doc_id) USING (doc_id) GROUP BY doc_id""",
     "latest_event_by_user": "SELECT user_id, event_id, event_type, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1",
 }
