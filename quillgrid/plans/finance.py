@@ -99,6 +99,13 @@ _CELLS = """feet AS (SELECT doc_id, row_no, label, doc_id % 4 AS way, value, CAS
 found AS (SELECT doc_id, row_no, kind AS label, value, CASE WHEN way = 1 THEN 'same_cell_after_label' WHEN way = 2 AND kind IN ('sgst', 'cgst') THEN 'right_cell_after_tax_rate' WHEN way = 2 THEN 'same_cell_after_label' ELSE 'right_cell' END AS strategy,
   CASE WHEN way = 2 AND kind NOT IN ('sgst', 'cgst') THEN 250 ELSE value END AS told FROM feet)"""
 
+_FIRST, _SECOND = ("GRAND TOTAL", "NET AMOUNT", "NET PAYABLE", "TOTAL AMOUNT", "INVOICE TOTAL", "BILL AMOUNT"), ("NET VALUE", "TOTAL INVOICE", "FINAL AMOUNT", "TO PAY")
+
+
+def _near(phrase: str) -> str:
+    return f"floor(100 - 100 * levenshtein(label, '{phrase}')::DOUBLE / greatest(length(label), {len(phrase)}))"
+
+
 ORACLES = {
     "row_math_audit": with_lines(f", {_SPOILT}, {_MATH} SELECT formula, passed, count(*) AS n_rows, sum(amount)::BIGINT AS amount FROM checked GROUP BY formula, passed"),
     "duplicate_amount_rows": with_lines("SELECT doc_id, ord, amount, same_amount FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, amount // 100000) AS same_amount FROM lines) WHERE same_amount > 1"),
@@ -107,6 +114,8 @@ FROM (SELECT doc_id, subtotal + tax AS expected, CASE WHEN doc_id % 4 = 0 THEN s
     "subscore_rollup": with_lines(_ALL + f"SELECT *, CASE WHEN integrity >= 75 THEN 'PASS' WHEN integrity >= 50 THEN 'WARN' ELSE 'FAIL' END AS status FROM (SELECT *, (30 * math + 25 * totals + 15 * gst + 20 * structure + 10 * completeness) // 100 AS integrity FROM ({_SCORES}))"),
     "gst_ratio_check": with_lines(_ALL + "SELECT 100 * tax // greatest(subtotal, 1) AS percent, count(*) AS n FROM docs GROUP BY 1"),
     "label_candidates": with_footers(f", {_CELLS} SELECT doc_id, row_no, label, told AS value, strategy, CAST(1 AS BIGINT) AS ambiguity FROM found"),
+    "grand_total_rank": with_footers(f"""SELECT doc_id, row_no, CAST(words AS BIGINT) AS words, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, row_no) AS place FROM (SELECT *, CAST(floor(600 * words + 40000 * center_y::DOUBLE / greatest(span, 1)) AS BIGINT) AS score FROM (SELECT doc_id, row_no, label, 106 + 24 * row_no AS center_y, max(106 + 24 * row_no) OVER (PARTITION BY doc_id) AS span,
+  CASE WHEN regexp_matches(label, '{"|".join(_FIRST)}') THEN 100 ELSE greatest({", ".join([_near(p) for p in _FIRST] + [f"floor({_near(p)} * 4 / 5)" for p in _SECOND])}) END AS words FROM footers) WHERE words >= 65 OR contains(label, 'TOTAL'))"""),
     "tax_pair_match": with_footers(f""", {_CELLS}, shaken AS (SELECT * REPLACE (CASE WHEN label = 'cgst' AND doc_id % 5 = 0 THEN told + 100 * (doc_id % 3) ELSE told END AS told) FROM found)
 SELECT s.doc_id, s.row_no AS s_row, c.row_no AS c_row, s.told AS s, c.told AS c FROM shaken s JOIN shaken c ON s.doc_id = c.doc_id AND s.label = 'sgst' AND c.label = 'cgst' AND abs(s.told - c.told) <= 100"""),
 }

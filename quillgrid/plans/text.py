@@ -109,6 +109,12 @@ roled AS (SELECT *, CASE WHEN regexp_matches(up, '{_R_FOOT}') OR (money >= 2 AND
     WHEN money >= 1 AND alpha >= 1 THEN 'item_row' WHEN money >= 2 AND n_tokens >= 3 THEN 'item_row' ELSE 'unknown_row' END AS row_role FROM evidence)"""
 _ERR = [("TRANSIENT", "reduce_batch_size", 0), ("TRANSIENT", "retry_with_timeout", 1), ("RECOVERABLE", "use_heuristic_tsr", 2), ("RECOVERABLE", "upscale_and_retry", 3), ("RECOVERABLE", "use_graph_fallback", 4), ("RECOVERABLE", "continue_with_unknown_semantics", 5), ("FATAL", "reject_image", 6), ("FATAL", "reject_image", 7), ("FATAL", "unknown_error", 8)]
 
+#: Tokens with what they vote for.
+VOTED = f"""SELECT *, CASE WHEN expiry THEN 'expiry' WHEN regexp_matches(c, '^[A-Z0-9-]{{5,16}}$') AND regexp_matches(c, '[A-Z]') AND regexp_matches(c, '\\d') THEN 'batch' WHEN regexp_matches(c, '^\\d{{6,8}}$') THEN 'hsn'
+    WHEN regexp_matches(c, '^[₹$]?\\d[\\d,]*\\.\\d{{1,3}}%?$') THEN 'money' WHEN (regexp_matches(c, '^\\d+(?:[+*xX]\\d+|\\.\\d+)?$') AND length(c) <= 5) OR regexp_matches(c, '^\\d+$') THEN 'qty'
+    WHEN round(length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::DOUBLE / greatest(1, length(regexp_replace(text, '\\s', '', 'g'))), 4) > 0.55 THEN 'text' ELSE 'none' END AS vote
+  FROM (SELECT *, {_C} AS c, regexp_matches({_C}, '^\\d{{1,2}}[/-]\\d{{2,4}}$') AS expiry FROM tokens)"""
+
 ORACLES = {
     "decimal_comma_normalize": with_tokens("SELECT CASE WHEN NOT contains(text, '.') AND length(text) - length(replace(text, ',', '')) = 1 THEN regexp_replace(text, '\\b(\\d+),(\\d{2})\\b', '\\1.\\2', 'g') ELSE text END AS fixed, count(*) AS n FROM tokens WHERE col_no = 7 GROUP BY 1"),
     "decimal_candidates": """SELECT doc_id, len(v) AS n, CAST(list_sum(list_transform(v, lambda x: CAST(floor(CAST(x AS DECIMAL(20, 4)) * 10000) AS BIGINT))) AS BIGINT) AS total
@@ -121,10 +127,7 @@ FROM (SELECT doc_id, list_transform(list_transform(regexp_extract_all(text, '-?\
   count(*) FILTER (regexp_matches(k, '\\d+[\\d,]*\\.\\d+') OR (contains(k, '%') AND regexp_matches(k, '\\d')) OR regexp_matches(regexp_replace(k, '[,.]', '', 'g'), '^\\d+$')) AS is_numeric_like
 FROM (SELECT *, {_C} AS c, regexp_replace(text, '[ ₹$]|RS', '', 'g') AS k FROM tokens) GROUP BY col_no"""),
     "feature_votes": with_tokens(f"""SELECT col_no, vote, count(*) AS n, sum(CASE WHEN vote IN ('money', 'qty') THEN 2 * max_x ELSE min_x + max_x END)::BIGINT AS anchors2
-FROM (SELECT *, CASE WHEN expiry THEN 'expiry' WHEN regexp_matches(c, '^[A-Z0-9-]{{5,16}}$') AND regexp_matches(c, '[A-Z]') AND regexp_matches(c, '\\d') THEN 'batch' WHEN regexp_matches(c, '^\\d{{6,8}}$') THEN 'hsn'
-    WHEN regexp_matches(c, '^[₹$]?\\d[\\d,]*\\.\\d{{1,3}}%?$') THEN 'money' WHEN (regexp_matches(c, '^\\d+(?:[+*xX]\\d+|\\.\\d+)?$') AND length(c) <= 5) OR regexp_matches(c, '^\\d+$') THEN 'qty'
-    WHEN round(length(regexp_replace(text, '[^A-Za-z]', '', 'g'))::DOUBLE / greatest(1, length(regexp_replace(text, '\\s', '', 'g'))), 4) > 0.55 THEN 'text' ELSE 'none' END AS vote
-  FROM (SELECT *, {_C} AS c, regexp_matches({_C}, '^\\d{{1,2}}[/-]\\d{{2,4}}$') AS expiry FROM tokens)) GROUP BY col_no, vote"""),
+FROM ({VOTED}) GROUP BY col_no, vote"""),
     "row_class": with_tokens("SELECT doc_id, row_no, row_class FROM classed", ROWS, CLASSED),
     "row_roles": with_tokens("SELECT doc_id, " + ", ".join(f"count(*) FILTER (row_role = '{r}') AS {r}" for r in ("item_row", "header_row", "footer_summary_row", "tax_summary_row", "metadata_row", "unknown_row")) + " FROM roled GROUP BY doc_id", ROWS, ROLED),
     "error_classes": "SELECT type, action, type = 'TRANSIENT' AS retryable, count(*) AS n FROM events JOIN (VALUES " + ", ".join(f"('{t}', '{a}', {k})" for t, a, k in _ERR) + f") v(type, action, k) ON event_id % {len(MESSAGES)} = k WHERE event_type = 'error' GROUP BY type, action",
