@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 BLOCK = "struct<id:string,text:string,polygon:array<array<double>>,confidence:double>"
@@ -127,3 +128,28 @@ def latest(priors: DataFrame, changes: DataFrame, key: str, order: str) -> DataF
 def nested(json: F.Column, paths: tuple[str, ...]) -> F.Column:
     """The first of several places in a JSON text that holds something."""
     return F.coalesce(*[F.nullif(F.get_json_object(json, p), F.lit("")) for p in paths])
+
+
+def save_reports(reports: DataFrame, path: str, text: str = "markdown") -> None:
+    """Write one Markdown text a row, each a file's worth of lines, several documents a file."""
+    reports.select(F.col(text).alias("value")).write.mode("overwrite").text(path)
+
+
+def save_diagnostics(rows: DataFrame, path: str, kind: str) -> None:
+    """Write diagnostic rows (coverage, assignments, item rows) as JSON lines, a folder for each kind."""
+    rows.write.mode("overwrite").json(f"{path}/kind={kind}")
+
+
+#: What a saved result tells of a row whose arithmetic failed.
+FAILED_ROW = T.StructType([T.StructField("cause", T.StringType()), T.StructField("row_id", T.StringType()), T.StructField("cells", T.MapType(T.StringType(), T.StringType())), T.StructField("mapped_block_ids", T.ArrayType(T.StringType()))])
+BENCHMARK = T.StructType([T.StructField("metadata", T.StructType([T.StructField("topology_source", T.StringType()), T.StructField("failures", T.ArrayType(FAILED_ROW))]))])
+
+
+def benchmark_failures(spark: SparkSession, path: str, cause: str = "wrong column") -> DataFrame:
+    """Failures of one cause in saved results (JSON files), each once: file, topology, row_id, texts by meaning and block ids."""
+    raw = spark.read.schema(BENCHMARK).option("multiLine", True).json(path).withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
+    rows = raw.select("file", F.coalesce("metadata.topology_source", F.lit("unknown")).alias("topology"), F.explode("metadata.failures").alias("f"))
+    found = rows.where(F.contains(F.lower("f.cause"), F.lit(cause)))
+    once = found.withColumn("_json", F.to_json("f")).dropDuplicates(["file", "_json"])
+    names = ("product", "quantity", "free_quantity", "rate", "mrp", "gst", "amount")
+    return once.select("file", "topology", "f.row_id", *[F.col("f.cells")[n].alias(n) for n in names], F.coalesce("f.mapped_block_ids", F.array().cast("array<string>")).alias("block_ids"))

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.documents import PAGE
+from ..sources.documents import PAGE, uncached
 
 
 def page_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -23,11 +24,27 @@ def page_stream(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.regexp_replace(name, r"\.json$", "").alias("doc_id"), F.coalesce("text", "metadata.text").alias("text"), F.coalesce("blocks", "metadata.blocks").alias("blocks"))
 
 
+def stored(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """What Parquet files under a path hold; None where there are none yet."""
+    try:
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
+
+
 def run(pages: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Write transform(page batch) to out, one folder for each batch; a batch that runs again replaces its own."""
+    """Write transform(page batch) to out, one folder for each batch; a batch that runs again replaces its own.
+
+    Pages whose doc_id an earlier batch has written are passed over.
+    """
 
     def batch(rows: DataFrame, number: int) -> None:
-        transform(rows.dropDuplicates(["doc_id"])).write.mode("overwrite").parquet(f"{out}/batch={number}")
+        rows, known = rows.dropDuplicates(["doc_id"]), stored(rows.sparkSession, out)
+        if known is not None:
+            rows = uncached(rows, known.where(F.col("batch") != number))
+        transform(rows).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
     writer = pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
@@ -74,3 +91,33 @@ def trained(samples: DataFrame, columns: list[str], label: str = "is_correct", l
     r = model.transform(samples.where(held)).agg(F.count_if(hit).alias("hit"), F.count_if(said).alias("said"), F.count_if(F.col(label) == 1).alias("there")).collect()[0]
     f1 = 2 * r["hit"] / max(1, r["said"] + r["there"])
     return model if f1 >= gate else None
+
+
+def learn(samples: DataFrame, buffer: str, model: str, checkpoint: str, columns: list[str], label: str = "is_correct", least: int = 100) -> StreamingQuery:
+    """Add each batch of samples to a buffer and train on all of it; a model that passes the gate replaces the one that is saved.
+
+    A batch that runs again replaces its own samples, so that the buffer can be replayed.
+    """
+
+    def batch(rows: DataFrame, number: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{buffer}/from={number}")
+        found = trained(stored(rows.sparkSession, buffer), columns, label, least)
+        if found is not None:
+            found.write().overwrite().save(model)
+
+    return samples.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def scored(features: DataFrame, model: str) -> DataFrame:
+    """Chance that a token's cell is right, by the saved model, else by predicted_confidence()."""
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.functions import vector_to_array
+
+    try:
+        found = PipelineModel.load(model)
+    except Exception as e:  # the loader's error depends on the file system
+        if "not exist" not in str(e) and "No such file" not in str(e):
+            raise
+        return predicted_confidence(features)
+    said = found.transform(features).withColumn("confidence", vector_to_array("probability")[1])
+    return said.select(*features.columns, "confidence")

@@ -79,3 +79,38 @@ def test_learner_gate(spark):
     assert jobs.trained(samples.limit(50), ["a", "b"]) is None
     assert jobs.trained(samples, ["a", "b"]) is not None
     assert [r.confidence for r in jobs.predicted_confidence(spark.createDataFrame([("row_scoped",), ("neighbor_row",), ("x",)], "strategy string")).collect()] == [1.0, 0.85, 0.5]
+
+
+def test_pages_of_earlier_batches_are_passed_over(spark, tmp_path):
+    source, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
+    source.mkdir()
+    for name, text in (("a", "first"), ("b", "second")):
+        write(source, f"{name}.json", {"text": text})
+        stream = jobs.page_stream(spark, str(source)).withColumn("doc_id", F.lit("same"))
+        jobs.run(stream, lambda d: d.select("doc_id", "text"), out, state).awaitTermination()
+    assert [r.text for r in spark.read.parquet(out).collect()] == ["first"]
+
+
+def test_a_learner_keeps_samples_and_model(spark, tmp_path):
+    source, buffer, model, state = (str(tmp_path / x) for x in ("in", "buffer", "model", "state"))
+    features = spark.createDataFrame([(15.0, 1.0, "x"), (2.0, 1.0, "row_scoped")], "a double, b double, strategy string")
+    assert [r.confidence for r in jobs.scored(features, model).collect()] == [0.5, 1.0]
+    samples = spark.range(400).selectExpr("cast(id % 20 as double) as a", "cast(id % 7 as double) as b", "cast(id % 20 >= 10 as double) as is_correct")
+    for n in (60, 340):
+        samples.limit(n).coalesce(1).write.mode("append").parquet(source)
+        jobs.learn(spark.readStream.schema(samples.schema).parquet(source), buffer, model, state, ["a", "b"]).awaitTermination()
+    assert jobs.stored(spark, buffer).count() == 400 and jobs.stored(spark, str(tmp_path / "none")) is None
+    good, bad = (r.confidence for r in jobs.scored(features, model).orderBy("strategy", ascending=False).collect())
+    assert good > 0.8 > 0.2 > bad
+
+
+def test_reports_and_failures_of_files(spark, tmp_path):
+    failed = {"cause": "cell assignment to Wrong Column", "row_id": "r1", "cells": {"product": "p", "rate": "5.00"}, "mapped_block_ids": ["b1"]}
+    write(tmp_path, "r.json", {"metadata": {"topology_source": "graph", "failures": [failed, failed, {"cause": "other"}]}})
+    write(tmp_path, "s.json", {"text": "no failures"})
+    (found,) = documents.benchmark_failures(spark, f"{tmp_path}/*.json").collect()
+    assert (found.file, found.topology, found.row_id, found.product, found.rate, found.mrp, found.block_ids) == ("r.json", "graph", "r1", "p", "5.00", None, ["b1"])
+    documents.save_reports(spark.createDataFrame([("# A\n| x |",)], "markdown string"), str(tmp_path / "md"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "md")).collect()] == ["# A", "| x |"]
+    documents.save_diagnostics(spark.createDataFrame([(1, True)], "doc_id int, passed boolean"), str(tmp_path / "json"), "coverage")
+    assert spark.read.json(str(tmp_path / "json")).where("kind = 'coverage' and passed").count() == 1
