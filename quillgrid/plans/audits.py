@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import predicates, quantity, scalars
-from ..operators import audit, finance, score, semantics
+from ..operators import audit, engine, finance, score, semantics
 from ..operators import rows as row_ops
 from ..sources import derived
 from ..sources.staging import written
@@ -103,7 +103,7 @@ def meanings(cells: DataFrame) -> DataFrame:
 def invoices(tokens: DataFrame) -> DataFrame:
     """The judged invoice of each document, from the texts and boxes of its tokens alone."""
     tokens = written(tokens.select("doc_id", "ord", "text", "min_x", "max_x", "min_y", "max_y"))
-    cells = layout.found_cells(tokens).select("doc_id", F.col("cell_row").alias("row_no"), F.col("cell_col").alias("col_no"), "ord", "text", "min_x", "max_x", "min_y", "max_y")
+    cells = engine.heuristic(tokens).owned.select("doc_id", F.col("cell_row").alias("row_no"), F.col("cell_col").alias("col_no"), "ord", "text", "min_x", "max_x", "min_y", "max_y")
     roles = text.with_roles(row_ops.visual_rows(cells)).select("doc_id", "row_no", "row_role")
     cells = written(cells.join(roles, ["doc_id", "row_no"]))
     meant = semantics.outliers(cells.where("row_role = 'item_row'"), meanings(cells))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import audits, evidence, finance, layout, orient, tables, text
+from . import audits, engines, evidence, finance, layout, orient, tables, text
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (finance, text, layout, tables, audits, orient, evidence):
+for _module in (finance, text, layout, tables, audits, orient, evidence, engines):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

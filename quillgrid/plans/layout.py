@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import geometry, predicates
-from ..operators import assign, folds, report
+from ..operators import assign, engine, folds, report
 from ..operators import rows as row_ops
 from ..sources import derived
 from ..sources.staging import written
@@ -30,40 +29,6 @@ def cells(spark: SparkSession, tokens: DataFrame) -> DataFrame:
     return row_bands(tokens).join(F.broadcast(boxes(spark)))  # eight columns by definition of the page
 
 
-def found_rows(tokens: DataFrame) -> DataFrame:
-    """Tokens (doc_id, ord, text, box) with the row_no that their boxes and texts give: clusters, continuation lines merged."""
-    found = folds.folded(tokens.select("doc_id", "ord", "min_x", "max_x", "min_y", "max_y"), folds.cluster_rows, "doc_id bigint, ord bigint, row_index bigint")
-    placed = written(tokens.join(found.withColumnRenamed("row_index", "row_no"), ["doc_id", "ord"]))
-    into = _merged(row_ops.visual_rows(placed))
-    return written(placed.join(into, ["doc_id", "row_no"]).drop("row_no").withColumnRenamed("merged_into", "row_no"))
-
-
-def _merged(rows: DataFrame) -> DataFrame:
-    rows = rows.select("doc_id", "row_no", "min_x", "min_y", "max_y", F.regexp_count("text", F.lit(r"\d+")).alias("numbers"), F.col("text").rlike(r"\d\.\d{2}\b").alias("priced"))
-    return folds.folded(rows, folds.multiline_merge, "doc_id bigint, row_no bigint, merged_into bigint")
-
-
-def found_columns(rows: DataFrame) -> DataFrame:
-    """Columns of each document: occupied runs of the rows that hold at least half as many tokens as the fullest."""
-    page = Window.partitionBy("doc_id")
-    size = F.count("*").over(Window.partitionBy("doc_id", "row_no"))
-    body = rows.withColumn("_n", size).withColumn("_most", F.max("_n").over(page)).where("_n * 2 >= _most").drop("_n", "_most")
-    runs = report.occupied_runs(body, 3).select(F.col("doc_id").alias("d"), "start", "stop")
-    middle = (F.col("min_x") + F.col("max_x")) / 2
-    inside = body.join(runs, (F.col("doc_id") == F.col("d")) & (middle >= F.col("start")) & (middle <= F.col("stop")))
-    inside = inside.select("doc_id", "row_no", "ord", "min_x", "max_x", "start")
-    return folds.folded(inside, folds.table_columns, "doc_id bigint, col_no bigint, min_x bigint, max_x bigint")
-
-
-def found_cells(tokens: DataFrame) -> DataFrame:
-    """Tokens with the cell_row and cell_col that text and boxes alone give."""
-    rows = found_rows(tokens)
-    bands = rows.groupBy("doc_id", "row_no").agg(F.min("min_y").alias("min_y"), F.max("max_y").alias("max_y"))
-    tokens = rows.drop("row_no")
-    owned = assign.token_cells(tokens, bands, assign.cell_grid(bands, written(found_columns(rows))))
-    return written(tokens.join(owned, ["doc_id", "ord"]))
-
-
 def bbox_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return derived.tokens(spark, sf_dir).groupBy("doc_id").agg(*row_ops.box_union())
 
@@ -211,7 +176,7 @@ def anchor_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multiline_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _merged(row_ops.visual_rows(derived.tokens(spark, sf_dir)).where("row_no > 0"))
+    return engine.merged(row_ops.visual_rows(derived.tokens(spark, sf_dir)).where("row_no > 0"))
 
 
 QUERIES = {f.__name__: f for f in (bbox_union, skew_median, cell_grid, token_row_assign, token_cell_assign, nearest_neighbours, orphan_tokens, token_coverage, item_band_interval_join, nearest_row_asof, nearest_column, positional_zip, phase_shift, contiguous_segments, legacy_multiline_merge, reading_order_text, baseline_lines, reading_inversion, row_interval, x_occupancy, x_smoothed_runs, row_clusters, graph_rows, graph_columns, anchor_clusters, multiline_merge)}
