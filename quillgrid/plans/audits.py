@@ -146,7 +146,15 @@ _REPAIR = """rows0 AS (SELECT doc_id, row_no, min_y + max_y AS center, text AS p
 tops AS (SELECT doc_id, min(center) AS top, coalesce(min(gap), 0) AS step, count(*) AS n FROM (SELECT *, lead(center) OVER (PARTITION BY doc_id ORDER BY row_no) - center AS gap FROM rows0) GROUP BY doc_id),
 leads AS (SELECT doc_id, arg_max(text, min_y + max_y) AS lead_text FROM tokens JOIN tops USING (doc_id) WHERE col_no = 0 AND row_no > 0 AND row_no < CASE WHEN doc_id % 2 = 0 THEN 1 ELSE 2 END AND n >= 3 AND min_y + max_y < top AND (top - min_y - max_y) * 2 <= 3 * step GROUP BY doc_id)"""
 
+_TEXTS = """texts AS (SELECT *, CAST(rate // 100 AS VARCHAR) || '.' || lpad(CAST(rate % 100 AS VARCHAR), 2, '0') AS r, CASE WHEN part % 17 = 0 THEN replace(a0, '.', ',') ELSE a0 END AS a, CASE part % 10 WHEN 0 THEN CAST(qty AS VARCHAR) || '+1' WHEN 1 THEN '1*10 ' || CAST(qty AS VARCHAR) ELSE CAST(qty AS VARCHAR) END AS q
+  FROM (SELECT *, CAST(amount // 100 AS VARCHAR) || '.' || lpad(CAST(amount % 100 AS VARCHAR), 2, '0') AS a0 FROM lines))"""
+_CAUSES = f"""SELECT CASE WHEN part % 23 = 0 THEN 'product column missing' WHEN regexp_matches(upper(product), '{audit.NON_ITEM}') THEN 'row is not a true item row' WHEN part % 19 = 0 THEN 'qty cell contains product/header/footer text' WHEN regexp_matches(told, '\\d+\\.\\d+\\.\\d+') THEN 'rate/amount columns merged' WHEN part % 29 = 0 THEN 'cell assignment to wrong column'
+  WHEN abs(qty::DOUBLE * CAST(r AS DOUBLE) - CAST(replace(regexp_replace(told, '^(\\d+),(\\d{{2}})$', '\\1.\\2'), ',', '') AS DOUBLE)) > 1 THEN 'GST/discount affecting calculation' ELSE 'unknown' END AS cause, count(*) AS n FROM (SELECT *, CASE WHEN part % 13 = 0 THEN r || a ELSE a END AS told FROM texts) GROUP BY 1"""
+_PATTERNS = """SELECT CASE WHEN part % 17 = 0 AND part % 7 <> 6 THEN 'amount decimal-comma normalization issue' WHEN part % 7 = 2 THEN 'qty received amount-like value' WHEN part % 7 = 4 THEN 'free_qty received price-like value' WHEN part % 7 = 5 THEN 'GST received quantity/free quantity'
+  WHEN part % 7 = 6 OR abs(CAST(a AS DOUBLE) - CAST(r AS DOUBLE)) <= 0.01::DOUBLE THEN 'amount received rate' WHEN part % 7 = 1 THEN 'product received numeric-only value' WHEN part % 7 = 3 THEN 'quantity missing but rate/amount present' ELSE 'unknown wrong-column pattern' END AS pattern, count(*) AS n FROM texts GROUP BY 1"""
 ORACLES = {
+    "row_failure_causes": with_lines(f", {_TEXTS} {_CAUSES}"),
+    "wrong_columns": with_lines(f", {_TEXTS} {_PATTERNS}"),
     "row_drop_reasons": with_tokens(_DROPS, ROWS),
     "header_roles": with_tokens("SELECT text, CASE text WHEN 'HSN' THEN 'hsn' WHEN 'QTY' THEN 'qty' WHEN 'DISC' THEN 'discount' ELSE 'none' END AS role, count(*) AS n FROM tokens WHERE row_no = 0 GROUP BY text"),
     "phase_shift_repair": with_tokens("SELECT doc_id, row_no, product, CASE WHEN lead_text IS NOT NULL THEN coalesce(lag(product) OVER (PARTITION BY doc_id ORDER BY row_no), lead_text) ELSE product END AS repaired FROM rows0 LEFT JOIN leads USING (doc_id)", _REPAIR),

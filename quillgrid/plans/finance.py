@@ -116,6 +116,7 @@ FROM (SELECT doc_id, subtotal + tax AS expected, CASE WHEN doc_id % 4 = 0 THEN s
     "label_candidates": with_footers(f", {_CELLS} SELECT doc_id, row_no, label, told AS value, strategy, CAST(1 AS BIGINT) AS ambiguity FROM found"),
     "grand_total_rank": with_footers(f"""SELECT doc_id, row_no, CAST(words AS BIGINT) AS words, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, row_no) AS place FROM (SELECT *, CAST(floor(600 * words + 40000 * center_y::DOUBLE / greatest(span, 1)) AS BIGINT) AS score FROM (SELECT doc_id, row_no, label, 106 + 24 * row_no AS center_y, max(106 + 24 * row_no) OVER (PARTITION BY doc_id) AS span,
   CASE WHEN regexp_matches(label, '{"|".join(_FIRST)}') THEN 100 ELSE greatest({", ".join([_near(p) for p in _FIRST] + [f"floor({_near(p)} * 4 / 5)" for p in _SECOND])}) END AS words FROM footers) WHERE words >= 65 OR contains(label, 'TOTAL'))"""),
+    "rejected_candidates": with_footers(f", {_CELLS} SELECT label, CASE WHEN label IN ('sgst', 'cgst') AND told * 5 > sub THEN 'implausible' WHEN label = 'parsed_grand_total' AND strategy <> 'same_cell_after_label' AND told * 10 < sub * 3 THEN 'implausible' END AS reason, count(*) AS n FROM found JOIN sums USING (doc_id) GROUP BY 1, 2"),
     "tax_pair_match": with_footers(f""", {_CELLS}, shaken AS (SELECT * REPLACE (CASE WHEN label = 'cgst' AND doc_id % 5 = 0 THEN told + 100 * (doc_id % 3) ELSE told END AS told) FROM found)
 SELECT s.doc_id, s.row_no AS s_row, c.row_no AS c_row, s.told AS s, c.told AS c FROM shaken s JOIN shaken c ON s.doc_id = c.doc_id AND s.label = 'sgst' AND c.label = 'cgst' AND abs(s.told - c.told) <= 100"""),
 }

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import orientation
+from ..operators import evidence, orientation
 from ..sources import derived
 from .sql import with_tokens
 
 
 def page_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return orientation.orientation(derived.tokens(spark, sf_dir)).groupBy("turn").agg(F.count("*").alias("n"), F.sum("score").alias("score"))
+    """The turn that rows speak for, where the boxes agree with confidence; else none."""
+    tokens = derived.tokens(spark, sf_dir)
+    gate = evidence.applied_turn(evidence.box_turn(orientation.turned(tokens))).select("doc_id", F.col("turn").alias("sure"))
+    found = orientation.orientation(tokens).join(gate, "doc_id")
+    return found.groupBy(F.when(F.col("turn") == F.col("sure"), F.col("turn")).otherwise(0).alias("turn")).agg(F.count("*").alias("n"))
 
 
 def financial_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,6 +44,7 @@ def result_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (page_orientation, financial_cells, anchored_items, headed_rows, result_shapes)}
 ORACLES = {
+    "page_orientation": with_tokens("SELECT 0 AS turn, count(DISTINCT doc_id) AS n FROM tokens"),
     "financial_cells": with_tokens("SELECT col_no, kind, count(*) AS n FROM tokens JOIN (VALUES ('totals', 'TOTAL|NET|PAYABLE'), ('taxes', 'GST|TAX|CESS'), ('discounts', 'DISC|LESS'), ('amounts', '\\d+\\.\\d{2}')) v(kind, p) ON regexp_matches(upper(text), p) GROUP BY col_no, kind"),
     "anchored_items": with_tokens("SELECT doc_id, item, count(*) AS rows, sum(n)::BIGINT AS tokens FROM (SELECT *, sum(anchor::INT) OVER (PARTITION BY doc_id ORDER BY row_no)::BIGINT AS item FROM (SELECT doc_id, row_no, max(regexp_matches(text, '^\\d{7,9}$') AND ord % 3 <> 0) AS anchor, count(*) AS n FROM tokens GROUP BY doc_id, row_no)) WHERE item > 0 GROUP BY doc_id, item"),
     "headed_rows": with_tokens("SELECT doc_id, row_no, max(text) FILTER (col_no = 7) AS amount, max(text) FILTER (col_no = 0) AS product, count(*) AS n FROM tokens WHERE row_no > 0 GROUP BY doc_id, row_no"),
