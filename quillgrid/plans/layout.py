@@ -176,7 +176,10 @@ def anchor_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multiline_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return engine.merged(row_ops.visual_rows(derived.tokens(spark, sf_dir)).where("row_no > 0"))
+    """Rows, numbered by two, some of which go on in a line below: which row each belongs to."""
+    rows = row_ops.visual_rows(derived.tokens(spark, sf_dir)).where("row_no > 0").select("doc_id", (F.col("row_no") * 2).alias("row_no"), "text", "min_x", "min_y", "max_y")
+    below = rows.where((F.col("doc_id") + F.col("row_no")) % 6 == 0).select("doc_id", (F.col("row_no") + 1).alias("row_no"), F.lit("extra strength").alias("text"), F.lit(50).cast("bigint").alias("min_x"), (F.col("max_y") + 2).alias("min_y"), (F.col("max_y") + 16).alias("max_y"))
+    return engine.merged(rows.unionByName(below))
 
 
 QUERIES = {f.__name__: f for f in (bbox_union, skew_median, cell_grid, token_row_assign, token_cell_assign, nearest_neighbours, orphan_tokens, token_coverage, item_band_interval_join, nearest_row_asof, nearest_column, positional_zip, phase_shift, contiguous_segments, legacy_multiline_merge, reading_order_text, baseline_lines, reading_inversion, row_interval, x_occupancy, x_smoothed_runs, row_clusters, graph_rows, graph_columns, anchor_clusters, multiline_merge)}
@@ -203,6 +206,7 @@ _NEAR = f"""near AS (SELECT a.doc_id, a.ord, b.ord AS other, CASE WHEN dx < 0 TH
 closest AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY doc_id, ord, dir ORDER BY d2, other) = 1)"""
 
 ORACLES = {
+    "multiline_merge": with_tokens("SELECT doc_id, 2 * row_no AS row_no, 2 * row_no AS merged_into FROM visual WHERE row_no > 0 UNION ALL SELECT doc_id, 2 * row_no + 1, 2 * row_no FROM visual WHERE row_no > 0 AND (doc_id + 2 * row_no) % 6 = 0", ROWS),
     "row_clusters": with_tokens("SELECT doc_id, count(DISTINCT row_no) AS n_rows FROM tokens GROUP BY doc_id"),
     "graph_rows": with_tokens("SELECT doc_id, count(DISTINCT row_no) AS n_rows FROM tokens GROUP BY doc_id"),
     "x_smoothed_runs": with_tokens("SELECT doc_id, count(*) AS runs, sum(b - a)::BIGINT AS wide FROM (SELECT doc_id, run, min(a) AS a, max(b) AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY a, b) AS run FROM (SELECT *, CASE WHEN a > max(b) OVER (PARTITION BY doc_id ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1 THEN 1 ELSE 0 END AS new FROM (SELECT DISTINCT doc_id, min_x - 7 AS a, max_x + 7 AS b FROM tokens))) GROUP BY doc_id, run) GROUP BY doc_id"),

@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import predicates
-from ..operators import finance, report, score, semantics
+from ..functions import predicates, quantity, scalars
+from ..operators import audit, finance, report, score, semantics
 from ..operators import rows as row_ops
 from ..sources import derived
 from ..sources.staging import written
+from . import audits
 from .finance import _MATH, _SPOILT
 from .sql import ROWS, with_lines, with_tokens
 from .text import CLASSED, ROLED, with_roles
@@ -85,11 +86,12 @@ def table_route(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def failure_causes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Why row arithmetic fails: what the row lacks, a comma for a dot, a number in another column, or the numbers themselves."""
-    lines = derived.lines(spark, sf_dir)
-    part = F.col("part")
-    cause = F.when(part % 17 == 0, "decimal_comma").when(part % 10 == 1, "pack_read_as_quantity").when(part % 10 == 0, "free_units_counted").when(F.col("disc") * 100 == F.col("rate"), "column_shift").otherwise("none")
-    return lines.groupBy(cause.alias("cause")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
+    """Why the arithmetic of rows fails, told from their cells; some amounts have a digit too many."""
+    rows = audits._pivoted(spark, sf_dir).withColumn("told", F.when((F.col("doc_id") + F.col("row_no")) % 23 == 0, F.concat(F.lit("9"), "7")).otherwise(F.col("7")))
+    minor = lambda c: F.floor(scalars.to_decimal(F.col(c)) * 100).cast("bigint")
+    read = rows.select("*", quantity.parsed(F.col("4"))["billed"].cast("bigint").alias("qty"), minor("5").alias("rate"), minor("told").alias("amount"), F.expr("cast(try_cast(`6` as double) as bigint)").alias("disc"))
+    cause = audit.failure_cause(F.lit("item_row"), F.col("0"), F.col("4"), F.col("5"), F.col("told"), F.lit(False), F.lit(0))
+    return finance.row_math(read).where("not passed").groupBy(cause.alias("cause")).agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("docs"))
 
 
 def stability_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -251,7 +253,8 @@ ORACLES = {
     "json_grids": with_tokens("SELECT doc_id, md5(CAST(to_json(list(r ORDER BY row_no)) AS VARCHAR)) AS grid_md5 FROM (SELECT doc_id, row_no, list(text ORDER BY col_no, text) AS r FROM tokens GROUP BY doc_id, row_no) GROUP BY doc_id"),
     "main_table_score": with_tokens("SELECT doc_id, table_id, n_rows, product_rows, diverse_rows, batches, hsns, sums, quantities, score10 FROM scored", ROWS, ROLED, _REGIONS),
     "table_route": with_tokens("SELECT table_id, table_type, count(*) AS n FROM routed GROUP BY table_id, table_type", ROWS, ROLED, _REGIONS, _ROUTED),
-    "failure_causes": with_lines("SELECT CASE WHEN part % 17 = 0 THEN 'decimal_comma' WHEN part % 10 = 1 THEN 'pack_read_as_quantity' WHEN part % 10 = 0 THEN 'free_units_counted' WHEN disc * 100 = rate THEN 'column_shift' ELSE 'none' END AS cause, count(*) AS n, count(DISTINCT doc_id) AS docs FROM lines GROUP BY 1"),
+    "failure_causes": with_lines(f""", spoilt AS (SELECT * REPLACE (CASE WHEN (doc_id + ord) % 23 = 0 THEN CAST('9' || CAST(amount AS VARCHAR) AS BIGINT) ELSE amount END AS amount) FROM lines), {_MATH}
+SELECT CASE WHEN regexp_matches(upper(product), '{audit.NON_ITEM}') THEN 'row is not a true item row' WHEN abs(qty * rate - amount) > 100 THEN 'GST/discount affecting calculation' ELSE 'unknown' END AS cause, count(*) AS n, count(DISTINCT doc_id) AS docs FROM checked WHERE NOT passed GROUP BY 1"""),
     "row_stability": with_lines(f", {_TRIPLE}, {_MATH}, {_STABLE} SELECT CAST(floor(stability * 1000 + 0.5) AS BIGINT) AS stability, count(*) AS n FROM stable GROUP BY 1"),
     "confidence_hierarchy": with_lines(f""", {_TRIPLE}, {_MATH}, {_STABLE} SELECT doc_id, CAST(floor(t * 100 + 0.5) AS BIGINT) AS confidence, isolated, CASE WHEN t >= 0.75 THEN 'accept' WHEN t >= 0.45 THEN 'repair_candidate' ELSE 'quarantine' END AS gate FROM (
   SELECT doc_id, round(coalesce(median(CASE WHEN stability >= 0.5 THEN c END) * 0.8::DOUBLE, 0), 3) AS t, count(*) FILTER (stability < 0.5) AS isolated FROM (SELECT *, round(least(0.9::DOUBLE, CASE WHEN rate IS NOT NULL AND NOT passed THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END, populated / 8.0::DOUBLE) * stability, 3) AS c FROM stable) GROUP BY doc_id)"""),

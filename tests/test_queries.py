@@ -36,3 +36,8 @@ def test_rows_are_those_of_the_sql(spark, duck, name):
 
 def test_oracles_belong_to_queries():
     assert set(catalogue.ORACLES) <= set(catalogue.QUERIES)
+
+
+def test_pages_that_lie_on_their_side_are_found(spark):
+    rows = catalogue.QUERIES["page_turns"](spark, SF).collect()
+    assert {r.turn for r in rows if r.doc_id % 10 == 3} == {270} and {r.turn for r in rows if r.doc_id % 10 != 3} == {0}
