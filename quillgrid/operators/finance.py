@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions.scalars import decimals_in, minor_formula
 
+# Labels, words and rates as the results must have them.
 #: Labels of footer rows by the value that they name.
 LABELS = {
     "parsed_subtotal": r"(?i)\bSUB\s*TOTAL\b|\bSUBTOTAL\b", "discount": r"(?i)\bDISCOUNT\b|\bLESS\s+DIS|\bLESS\s+TD\b|\bTD\b|\bTRADE\s+DISCOUNT\b|\bLESS\s+TRADE\s+DISCOUNT\b",

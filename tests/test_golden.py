@@ -8,9 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillgrid.functions import geometry, predicates, quantity, scalars
-from quillgrid.operators import assign, audit, finance, folds, report, score
+from quillgrid.operators import assign, audit, engine, finance, folds, report, score
 from quillgrid.operators import rows as row_ops
-from quillgrid.plans import audits, layout
+from quillgrid.plans import audits
 from quillgrid.sources import derived
 
 QUANTITIES = [
@@ -172,7 +172,7 @@ def test_invoices_need_no_row_or_column_numbers(spark):
     moved = {c: (F.col(c) * (x if c.endswith("x") else y) + 211).cast("bigint") for c in ("min_x", "max_x", "min_y", "max_y")}
     pages = written.withColumns(moved).cache()
     bare = pages.select("doc_id", (F.col("ord") * 3 + 5).alias("ord"), "text", "min_x", "max_x", "min_y", "max_y")
-    found = {(r.doc_id, (r.ord - 5) // 3): (r.cell_row, r.cell_col) for r in layout.found_cells(bare).collect()}
+    found = {(r.doc_id, (r.ord - 5) // 3): (r.cell_row, r.cell_col) for r in engine.heuristic(bare).owned.collect()}
     short = {r.doc_id for r in pages.select("doc_id").distinct().collect() if r.doc_id % 80 != 1}
     rows = pages.collect()
     right = sum(found.get((r.doc_id, r.ord)) == (r.row_no, r.col_no - (r.doc_id in short and r.col_no > 3)) for r in rows)
