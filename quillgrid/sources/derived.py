@@ -88,7 +88,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.array(*[token(F.lit(0), i, F.lit(c[1])) for i, c in enumerate(COLUMNS)])
     values = (F.col("sub"), F.col("half"), F.col("half"), F.col("sub") + 2 * F.col("half"))
     feet = F.array(*[token(F.col("n") + 1 + k, c, t) for k, (name, v) in enumerate(zip(FOOTERS, values, strict=True)) for c, t in ((5, F.lit(name)), (7, money(v)))])
-    none = F.filter(body, lambda x: F.lit(False))
+    none = F.array().cast("array<struct<row_no:int,col_no:int,text:string,jitter:bigint>>")
     written = F.concat(body, F.when(F.col("ord") == 1, head).otherwise(none), F.when(F.col("ord") == F.col("n"), feet).otherwise(none))
     return placed(rows.select("doc_id", F.explode(written).alias("x")).select("doc_id", "x.*"))
 
