@@ -14,10 +14,12 @@ from . import (
     language_id,
     mpeg_audio,
     packing,
+    piece_bpe,
     secret_scan,
     simhash,
     surrogates,
     tree_bpe,
+    turn_repair,
     weak_supervision,
 )
 
@@ -32,6 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mpeg_audio": mpeg_audio.query,
     "op9_bitsliced_simhash": simhash.query,
     "op10_weak_supervision": weak_supervision.query,
+    "op11_repair_grammar": turn_repair.query,
+    "op12_piece_offsets": piece_bpe.query,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {}
