@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 import corpus_pipeline
 
 from . import (
+    collocations,
     html_extract,
     kneser_ney,
     language_id,
@@ -36,6 +37,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_weak_supervision": weak_supervision.query,
     "op11_repair_grammar": turn_repair.query,
     "op12_piece_offsets": piece_bpe.query,
+    "op13_phrase_subtrees": collocations.query,
     "pipeline": corpus_pipeline.run,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op13_phrase_subtrees": collocations.ORACLE_SQL}
