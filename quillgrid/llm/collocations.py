@@ -338,8 +338,11 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     counts = phrases.select("id", "n")
     cuts = [F.struct(F.lit(k).alias("k"), _part(0, k).alias("first"), F.when(F.col("size") == s, _part(k, s - k)).alias("rest"), F.lit(s).alias("of")) for s in (2, 3, 4) for k in range(1, s)]
     cut = candidates.select("id", F.col("n").alias("a"), "size", F.explode(F.filter(F.array(*cuts), lambda c: c["of"] == F.col("size"))).alias("c")).select("id", "a", F.col("c.k").alias("k"), F.col("c.first").alias("first"), F.col("c.rest").alias("rest"))
+    cut = cut_lineage(cut)  # a look-up reads its input for the hot keys and for both sides, so that plans would double at each
     cut = lookup(cut, counts.select(F.col("id").alias("first"), F.col("n").alias("l")), "first", hot_keys(cut, "first"))
+    cut = cut_lineage(cut)
     cut = lookup(cut, counts.select(F.col("id").alias("rest"), F.col("n").alias("r")), "rest", hot_keys(cut, "rest"))
+    cut = cut_lineage(cut)
     wide = lambda c: F.col(c).cast("decimal(19,0)")
     cut = cut.withColumn("both", wide("l") + wide("r")).withColumn("score", F.expr(f"cast(a as decimal(19,0)) * {FACTOR} div both"))
     scored = cut.groupBy("id").agg(F.min(F.struct("score", "k", "a", "l", "r")).alias("c")).select("id", "c.a", "c.l", "c.r", "c.score")
@@ -347,7 +350,7 @@ def mine(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFrame:
     covers = candidates.where("size > 2").select(F.col("n").alias("longer"), F.explode(F.filter(F.array(*inner), lambda c: c["of"] == F.col("size"))).alias("c"))
     covers = covers.groupBy(F.col("c.id").alias("id")).agg(F.max("longer").alias("longer"))
     kept = scored.join(covers, "id", "left").where(F.col("longer").isNull() | (wide("longer") * 100 < wide("a") * COVER)).drop("longer")
-    spelt = kept.select("*", F.posexplode(F.split("id", " ")).alias("place", "w")).withColumn("key", F.col("w").cast("bigint")).drop("w")
+    spelt = cut_lineage(kept).select("*", F.posexplode(F.split("id", " ")).alias("place", "w")).withColumn("key", F.col("w").cast("bigint")).drop("w")
     spelt = lookup(spelt, words, "key", hot_keys(spelt, "key"))
     spelt = spelt.groupBy("id", "a", "l", "r", "score").agg(F.min("lang").alias("lang"), F.array_sort(F.collect_list(F.struct("place", "word"))).alias("words"))
     spelt = spelt.select("lang", F.array_join(F.transform("words", lambda w: w["word"]), " ").alias("phrase"), "a", "l", "r", "score")
