@@ -269,20 +269,24 @@ def _ape(data: bytes, start: int, end: int, tags: dict[str, str]) -> int:
     return first
 
 
-def _tags(data: bytes, audio: Audio) -> tuple[int, int]:
-    """Read the tags at the ends; gives the part that holds the audio."""
+def _front_tags(data: bytes, audio: Audio) -> int:
+    """Read the tags in front; gives where they end."""
     start, end = 0, len(data)
     while data[start : start + 3] == b"ID3" and start + 10 <= end:
         stop = min(end, start + 10 + _safe(data[start + 6 : start + 10]))
         _id3(data, start, stop, audio.tags)
         start = stop + (10 if data[start + 5] & 0x10 else 0)
-    old = {}
+    return start
+
+
+def _tail_tags(data: bytes, start: int) -> tuple[int, dict[str, str]]:
+    """Where tags at the end would begin, and what they would say. They are tags only if no frame reaches into them."""
+    end, old, tags = len(data), {}, {}
     if end - start >= 128 and data[end - 128 : end - 125] == b"TAG":
         end -= 128
         old = {"TIT2": data[end + 3 : end + 33].decode("latin-1").rstrip("\0 ")}
-    end = _ape(data, start, end, audio.tags)
-    audio.tags = old | audio.tags
-    return start, end
+    end = _ape(data, start, end, tags)
+    return end, old | tags
 
 
 def _vbr(data: bytes, at: int, h: Header) -> tuple[dict[str, int], list[int]] | None:
@@ -316,14 +320,17 @@ def _vbr(data: bytes, at: int, h: Header) -> tuple[dict[str, int], list[int]] |
 def parse(data: bytes | None) -> Audio:
     """Frames, tags, table and checksums of MPEG audio bytes."""
     data, audio = data or b"", Audio()
-    at, end = _tags(data, audio)
-    synced, free = False, 0
+    at = _front_tags(data, audio)
+    tail, late = _tail_tags(data, at)
+    end, synced, free = tail, False, 0
     while at + 4 <= end:
         h = header(data, at)
         if h is not None and not h.kbits:
             if not synced or not free:
                 free = free_size(data, at, end, h)
             h = replace(h, size=free + h.padding) if free else None
+        if h is not None and synced and end == tail < at + h.size and (at + h.size == len(data) or alike(h, header(data, at + h.size))):
+            end, late = len(data), {}  # a frame that goes on to the end or to another frame holds what looked like a tag
         fits = h is not None and at + h.size <= end
         if fits and not synced:  # one header alone may be chance
             fits = at + h.size == end or alike(h, header(data, at + h.size))
@@ -345,6 +352,7 @@ def parse(data: bytes | None) -> Audio:
             audio.failed += ok is False
         at += h.size
     audio.skipped += max(0, end - at)
+    audio.tags = late | audio.tags
     silent = min(audio.samples, audio.table.get("delay", 0) + audio.table.get("padding", 0))
     audio.duration = sum((Fraction(h.samples, h.rate) for h in audio.headers), Fraction(0)) if len({h.rate for h in audio.headers}) > 1 else Fraction(audio.samples, audio.headers[0].rate) if audio.headers else Fraction(0)
     if silent:
