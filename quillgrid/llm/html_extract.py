@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -60,6 +59,8 @@ COMMENT = frozenset("comment comments commentlist commentary disqus respond repl
 NEVER = frozenset("ad ads adbox adslot advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion cookie cookies consent gdpr comment comments commentlist commentary disqus respond replies reply footer popup modal newsletter subscribe subscription signup login paywall share sharing sharebar social breadcrumb breadcrumbs pagination pager navbar navigation nav menu notice notices alert alerts outbrain taboola hidden".split())
 RATHER_NOT = frozenset("sidebar sidebars side rail aside widget widgets header masthead banner toolbar related recommended recommendations recommend topbar foot tags meta byline overlay skip".split())
 GOOD = frozenset("article content main post entry story text body page".split())
+#: Words that turn a longer name into something told about the page.
+TOLD = frozenset("has with without no not open closed enabled disabled allowed".split())
 WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
 PARAGRAPHS = frozenset("p pre blockquote td li dd div section article main body h2 h3 h4 figcaption".split())
 
@@ -77,7 +78,9 @@ class Node:
 def tree(source: str) -> tuple[Node, list[Node]]:
     """The root, and all elements in page order."""
     root = Node("#root", None)
-    nodes, open_, count = [root], [root], Counter()
+    nodes, open_ = [root], [root]
+    places: dict[str, list[int]] = {}  # where each tag is open, and where blocks are
+    blocks: list[int] = []
     at, end, sectioned = 0, len(source), source.rfind("]]>")
 
     def text(raw: str) -> None:
@@ -86,18 +89,18 @@ def tree(source: str) -> tuple[Node, list[Node]]:
 
     def cut(i: int) -> None:
         """The element that is open at i ends, and with it those inside."""
-        count.subtract(n.tag for n in open_[i:])
+        for n in open_[i:]:
+            places[n.tag].pop()
+            if n.tag in BLOCK:
+                blocks.pop()
         del open_[i:]
 
+    def last(tags: set[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
     def close(tags: set[str], inside: set[str]) -> None:
-        if not any(count[t] > 0 for t in tags):
-            return
-        for i in range(len(open_) - 1, 0, -1):
-            if open_[i].tag in tags:
-                cut(i)
-                return
-            if open_[i].tag in inside:
-                return
+        if (i := last(tags)) > last(inside):
+            cut(i)
 
     while at < end:
         m = (SECTIONED if at <= sectioned else MARKUP).search(source, at)
@@ -113,12 +116,9 @@ def tree(source: str) -> tuple[Node, list[Node]]:
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            for i in range(len(open_) - 1, 0, -1) if count[tag] > 0 else ():
-                if open_[i].tag == tag:
-                    cut(i)
-                    break
-                if tag not in BLOCK and open_[i].tag in BLOCK:
-                    break  # an inline end doesn't end blocks
+            i = last({tag})
+            if i and (tag in BLOCK or not blocks or i > blocks[-1]):  # an inline end doesn't end blocks
+                cut(i)
             continue
         if tag in BLOCK:
             close({"p"}, {"table", "td", "th", "button", "object"})
@@ -131,8 +131,10 @@ def tree(source: str) -> tuple[Node, list[Node]]:
             stop = RAW_END[tag].search(source, at)
             at = stop.end() if stop else end
         elif tag not in VOID:
+            places.setdefault(tag, []).append(len(open_))
+            if tag in BLOCK:
+                blocks.append(len(open_))
             open_.append(node)
-            count[tag] += 1
     return root, nodes
 
 
@@ -140,78 +142,108 @@ def attributes(node: Node) -> dict[str, str]:
     return {k.lower(): html.unescape(a or b or c) for k, a, b, c in ATTRIBUTE.findall(node.attributes)}
 
 
-def words_of(node: Node) -> tuple[dict[str, str], set[str]]:
-    """Attributes, and the words of class and id."""
+def words_of(node: Node) -> tuple[dict[str, str], set[str], set[str]]:
+    """Attributes, words that are a class or id of their own, and words of longer names. A name such as has-menu or comments-open says nothing about the element."""
     if not node.attributes:
-        return {}, set()
+        return {}, set(), set()
     a = attributes(node)
-    return a, {w.lower() for w in WORD.findall(f"{a.get('class', '')} {a.get('id', '')}")}
+    alone, parts = set(), set()
+    for name in f"{a.get('class', '')} {a.get('id', '')}".split():
+        words = [w.lower() for w in WORD.findall(name)]
+        if len(words) == 1:
+            alone.update(words)
+        elif not TOLD.intersection(words):
+            parts.update(words)
+    return a, alone, parts
+
+
+def page_headers(nodes: list[Node]) -> set[int]:
+    """Headers of the page, not of a post: they stand beside the page's parts or hold some of them."""
+    parts = frozenset(("nav", "main", "article", "footer", "aside", "form"))
+    holders, posts, found = set(), set(), set()
+    for node in nodes[1:]:  # parents before children
+        if node.tag in parts:
+            holders.add(id(node.parent))
+        if node.parent.tag in ("article", "main") or id(node.parent) in posts:
+            posts.add(id(node))
+    for node in nodes[1:]:
+        if node.tag == "header" and id(node) not in posts and (node.parent.tag in ("body", "html", "#root") or id(node.parent) in holders or id(node) in holders):
+            found.add(id(node))
+    return found
 
 
-def page_header(node: Node) -> bool:
-    """Whether a header is that of the page, not of a post: it stands beside the page's parts or holds some of them."""
-    parts = ("nav", "main", "article", "footer", "aside", "form")
-    if node.parent is None or node.parent.tag in ("body", "html", "#root") or any(isinstance(x, Node) and x.tag in parts for x in node.parent.children):
-        return True
-    return any(isinstance(x, Node) and x.tag in parts for x in node.children)
+def no_main_text(node: Node, holds_article: bool, frame: bool, header: bool = False, most: bool = False) -> bool:
+    """Whether an element can't hold main text, by its name, role, class and id.
 
-
-def no_main_text(node: Node, holds_article: bool, frame: bool) -> bool:
-    """Whether an element can't hold main text, by its name, role, class and id."""
+    A word of a longer name (nav-wrapper, market-share) doesn't count against
+    an element that holds most of the page's paragraphs.
+    """
     if node.tag in NO_TEXT and not frame:
         return True
     if node.tag in ("html", "body"):
         return False
-    a, words = words_of(node)
+    a, alone, parts = words_of(node)
     if a.get("role", "").lower() in NO_ROLE or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
         return True
-    if words & COMMENT and not (node.tag in ("article", "main") and words & GOOD):
+    words = alone | parts
+    if words & COMMENT and not holds_article and not (node.tag in ("article", "main") and words & GOOD):
         return True
     if node.tag in ("article", "main") or holds_article or frame:
         return False
-    if node.tag == "header":
-        up = node.parent
-        while up is not None and up.tag not in ("article", "main"):
-            up = up.parent
-        if up is None and page_header(node):
-            return True
-    return bool(words & NEVER) or bool(words & RATHER_NOT) and not words & GOOD
+    if header:
+        return True
+    if most:
+        words = alone
+    return bool(words & NEVER) or bool(words & RATHER_NOT) and not (alone | parts) & GOOD
+
+
+def text_size(node: Node) -> int:
+    return sum(len(x.strip()) for x in node.children if isinstance(x, str))
 
 
 def frames(nodes: list[Node]) -> set[int]:
     """Forms around an article, or around most of the page's paragraphs."""
-    if not any(n.tag in FRAMES for n in nodes):
-        return set()
+    form: dict[int, int] = {}  # the nearest form around an element
     said: dict[int, int] = {}
     articles, total = set(), 0
-    for node in nodes:
+    for node in nodes[1:]:  # parents before children
+        around = id(node.parent) if node.parent.tag in FRAMES else form.get(id(node.parent))
+        if around is not None:
+            form[id(node)] = around
         if node.tag == "p":
-            total += (size := sum(len(x.strip()) for x in node.children if isinstance(x, str)))
-        if node.tag in ("p", "article", "main"):
-            up = node.parent
-            while up is not None:
-                if up.tag in FRAMES:
-                    if node.tag == "p":
-                        said[id(up)] = said.get(id(up), 0) + size
-                    else:
-                        articles.add(id(up))
-                    break
-                up = up.parent
+            total += (size := text_size(node))
+            if around is not None:
+                said[around] = said.get(around, 0) + size
+        elif node.tag in ("article", "main") and around is not None:
+            articles.add(around)
     return articles | {i for i, n in said.items() if n > 200 and 2 * n > total}
 
 
+def holders_of_most(nodes: list[Node]) -> set[int]:
+    """Elements with over half of the text of the page's paragraphs, or of all its text where it has none."""
+    said: dict[int, int] = {}
+    paragraphs = any(n.tag == "p" for n in nodes)
+    for node in reversed(nodes):  # children before parents
+        own = text_size(node) if node.tag not in RAW and (not paragraphs or node.tag == "p") else 0
+        size = said[id(node)] = said.get(id(node), 0) + own
+        if node.parent is not None and size:
+            said[id(node.parent)] = said.get(id(node.parent), 0) + size
+    return {i for i, n in said.items() if n and 2 * n > said[id(nodes[0])]}
+
+
 def weigh(nodes: list[Node]) -> None:
     """Drop what can't be main text, and give every other element its sizes and score."""
     holds = set()
     for node in nodes:
-        if node.tag in ("article", "main") and not no_main_text(node, True, False):
+        if node.tag in ("article", "main") and not no_main_text(node, False, False):
             up = node.parent
             while up is not None and id(up) not in holds:
                 holds.add(id(up))
                 up = up.parent
-    around = frames(nodes)
+    around, headers, most = frames(nodes), page_headers(nodes), holders_of_most(nodes)
     for node in nodes[1:]:
-        node.dropped = node.parent.dropped or no_main_text(node, id(node) in holds, id(node) in around)
+        i = id(node)
+        node.dropped = node.parent.dropped or no_main_text(node, i in holds, i in around, i in headers, i in most)
     own: dict[int, list[str]] = {}
     for node in reversed(nodes):  # children before parents
         if node.dropped:
