@@ -12,10 +12,11 @@ its country, told by its digits; a card or account number stays valid or
 invalid by its check digits; a part of a machine address stays in its range and
 a zero in the newer kind stays zero, so that short forms stay possible. A
 listed given name becomes another of its gender and script; any other name
-keeps the ending that shows its gender. A check over all distinct entities
+keeps the ending that shows its gender (the permutation is walked on until the
+ending is read off the surrogate as well). A check over all distinct entities
 takes the next tweak of the key if two entities share a surrogate, one has two,
-or one is its own; if TWEAKS tweaks fail, each entity becomes a keyed label of
-its kind, <name-0f3a...>, in which 128 bits stand for it.
+or one is its own. A mention of over LONGEST characters becomes a keyed label
+of its kind, <email-0f3a...>, in which 128 bits stand for it.
 
 The key is a secret: who has it can undo the permutation. There is no default;
 query() takes it from the session's quillgrid.surrogate.key, and draws one that
@@ -91,9 +92,9 @@ def _start(words: tuple[str, ...]) -> str:
 
 #: Kinds in the order in which they are tried. None holds a capturing group, and each first looks at one character.
 KINDS = {
-    "email": r"(?=[A-Za-z0-9])(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?:[A-Za-z0-9](?:[A-Za-z0-9-]*[A-Za-z0-9])?\.)+[A-Za-z]{2,}",
+    "email": r"(?=[A-Za-z0-9])(?<![A-Za-z0-9._%+-])[A-Za-z0-9][A-Za-z0-9._%+-]*+@(?=[A-Za-z0-9])[A-Za-z0-9.-]*[A-Za-z0-9]\.[A-Za-z]{2,}",
     "ip": r"(?=\d)(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
-    "ip6": rf"(?=[0-9A-Fa-f:]++(?![0-9A-Za-z]))(?=[A-Fa-f:]*+\d)(?<![0-9A-Za-z:.])(?!(?:[0-9A-Fa-f]*+:){{8}})(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![0-9A-Za-z:])",
+    "ip6": rf"(?=[0-9A-Fa-f:])(?<![0-9A-Za-z:.])(?=[0-9A-Fa-f:]++(?![0-9A-Za-z]))(?=[A-Fa-f:]*+\d)(?!(?:[0-9A-Fa-f]*+:){{8}})(?:(?:{_HEX}:){{7}}{_HEX}|(?:{_HEX}(?::{_HEX}){{0,6}})?::(?:{_HEX}(?::{_HEX}){{0,6}})?)(?![0-9A-Za-z:])",
     "iban": r"(?=[A-Z]{2}\d)(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
     "card": r"(?=\d)(?<!\d)(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7})(?!\d)",
     "phone": r"(?=[\d+(])(?<![\d+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{2,4}\)[ .-]?\d{3,4}[ .-]?\d{3,4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\d)",
@@ -105,6 +106,8 @@ PATTERN = "|".join(f"(?:{p})" for p in KINDS.values())
 HINT = rf"\d\D{{0,3}}\d|{_start((*ALL_TITLES, *NAMES, *CAPITALS))}{any_of((*ALL_TITLES, *NAMES, *CAPITALS))}\.? \p{{Lu}}|:[0-9A-Fa-f]|(?=[ ]\p{{Lu}})(?<={any_behind(tuple(p.rstrip() for p in PHRASES))})"
 DIGIT_KINDS = ("card", "phone", "national")
 TWEAKS = 16
+#: Steps along a cycle, at most, and letters of a mention from which it becomes a label.
+WALK, LONGEST = 24, 320
 
 
 def amount(key: str, *parts: Column) -> Column:
@@ -305,13 +308,25 @@ def _name(s: Column, key: str) -> Column:
 
     def spelt(word: Column) -> Column:
         """A word of a script without classes."""
-        return F.initcap(F.translate(F.substring(F.sha2(F.concat(F.lit(key), F.lower(word)), 256), 1, 12), "0123456789", "ghijklmnop"))
+        return F.initcap(F.translate(F.substring(F.sha2(F.concat(F.lit(key), F.lower(word)), 256), 1, 16), "0123456789", "ghijklmnop"))
+
+    def stem_of(word: Column) -> Column:
+        stem = F.regexp_extract(word, rf"^(..+?)(?:{'|'.join(ENDINGS)})$", 1)
+        return F.when(stem == "", word).otherwise(stem)
 
     def moved(word: Column) -> Column:
-        stem = F.regexp_extract(F.lower(word), rf"^(..+?)(?:{'|'.join(ENDINGS)})$", 1)
-        stem = F.when(stem == "", F.lower(word)).otherwise(stem)
-        new = let(stem, lambda x: F.concat(permuted(x, key, "name"), F.substr(F.lower(word), F.length(x) + 1, F.length(word))))
-        return let(relaid(word, new), lambda x: F.when(x == word, spelt(word)).otherwise(x))
+        def walked(stem: Column) -> Column:
+            """The next stem along the permutation's cycle that keeps the ending and makes no listed name, so that no two words meet."""
+            ending = F.substr(F.lower(word), F.length(stem) + 1, F.length(word))
+
+            def step(new: Column, i: Column) -> Column:
+                whole = F.concat(new, ending)
+                stays = (i > 0) & (stem_of(whole) == new) & ~F.initcap(whole).isin(*NAMES)
+                return F.when(stays, new).otherwise(permuted(new, key, "name"))
+
+            return F.concat(F.aggregate(F.sequence(F.lit(0), F.lit(WALK)), stem, step), ending)
+
+        return let(relaid(word, let(stem_of(F.lower(word)), walked)), lambda x: F.when(x == word, spelt(word)).otherwise(x))
 
     def named(word: Column) -> Column:
         out, plain = moved(word), F.initcap(F.lower(word))
@@ -333,7 +348,7 @@ def surrogate(kind: Column, s: Column, key: str) -> Column:
     out = _name(s, key)
     for name, new in (("iban", _iban(s, key)), ("ip6", _ip6(s, key)), ("email", _email(s, key)), ("ip", _ip(s, key)), ("card", let(digits, lambda d: _card(s, d, key))), ("phone", let(digits, lambda d: _phone(s, d, key))), ("national", laid_digits(s, permuted(digits, key, "national")))):
         out = F.when(kind == name, new).otherwise(out)
-    return out
+    return F.when(F.length(s) > LONGEST, label(kind, s, key)).otherwise(out)
 
 
 def mentions(text: Column) -> Column:
@@ -342,7 +357,7 @@ def mentions(text: Column) -> Column:
 
 
 def label(kind: Column, s: Column, key: str) -> Column:
-    """A label of one mention's entity in the place of a surrogate."""
+    """A label of one mention's entity in the place of a surrogate, for mentions too long for one."""
     return F.concat(F.lit("<"), kind, F.lit("-"), F.substring(F.sha2(F.concat_ws("|", F.lit(key), kind, entity(kind, s)), 256), 1, 32), F.lit(">"))
 
 
@@ -355,15 +370,15 @@ def clashes(docs: DataFrame, key: str) -> int:
     return met.where("a <> b or side = 'old' and a = one").count()
 
 
-def replaced(docs: DataFrame, key: str, labelled: bool = False) -> DataFrame:
-    """docs with surrogates (or labels) in text, n_entities, and kinds (the kind of each mention in order)."""
+def replaced(docs: DataFrame, key: str) -> DataFrame:
+    """docs with surrogates in text, n_entities, and kinds (the kind of each mention in order)."""
     if not key:
         raise ValueError("surrogates need a key")
     docs = docs.drop("n_entities", "kinds")
     columns = docs.columns
     docs = docs.toDF(*[c if c == "text" else f"_c{i}" for i, c in enumerate(columns)]).withColumn("_m", mentions(F.col("text")))
     gaps = F.split("text", PATTERN, -1)
-    new = F.transform("_m", lambda m: let(kind_of(m), lambda kind: (label if labelled else surrogate)(kind, m, key)))
+    new = F.transform("_m", lambda m: let(kind_of(m), lambda kind: surrogate(kind, m, key)))
     woven = F.array_join(F.zip_with(gaps, F.concat(new, F.array(F.lit(""))), lambda g, n: F.concat(g, n)), "")
     text = F.when(F.size("_m") > 0, woven).otherwise(F.col("text"))
     same = [text.alias(c) if c == "text" else F.col(f"_c{i}").alias(c) for i, c in enumerate(columns)]
@@ -371,13 +386,13 @@ def replaced(docs: DataFrame, key: str, labelled: bool = False) -> DataFrame:
 
 
 def replace(docs: DataFrame, key: str) -> DataFrame:
-    """docs with every entity replaced, under the first tweak of the key without a clash, else by labels."""
+    """docs with every entity replaced, under the first tweak of the key without a clash. Permutations can't clash; digests of 64 bits, for scripts without classes, hardly do."""
     if not key:
         raise ValueError("surrogates need a key")
     for tweak in range(TWEAKS):
         if not clashes(docs, f"{key}#{tweak}"):
             return replaced(docs, f"{key}#{tweak}")
-    return replaced(docs, key, labelled=True)
+    raise ValueError(f"{TWEAKS} tweaks of the key clash")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -174,6 +174,24 @@ def test_broken_pages_take_linear_time(unit):
     assert time.time() - began < 15
 
 
+@pytest.mark.parametrize("start", ['<div class="site has-comments"><article>', '<div class="post comments-open">', '<div class="with-menu"><div>', '<div class="market-share">', '<div id="nav-wrapper"><div class="entry">', '<main class="no-sidebar"><div class="comments-enabled">'])
+def test_words_of_longer_names_drop_no_article(start):
+    said = [f"This is paragraph {i} of the article, and it goes on, with some commas, for a while so that it counts." for i in range(6)]
+    menu = '<ul class="menu"><li><a href=/>Home</a></li><li><a href=/b>News and more</a></li></ul>'
+    comments = '<div id="comments"><div class="comment"><p>Nice words, thank you, and see you soon, my friend, I agree.</p></div></div>'
+    page = f"<html><body>{menu}{start}{''.join(f'<p>{x}</p>' for x in said)}</div></article></div></main>{comments}</body></html>"
+    assert html_extract.main_text(page) == "\n".join(said)
+
+
+def test_ends_of_inline_elements_take_linear_time():
+    took = []
+    for k in (4000, 32_000):
+        began = time.process_time()
+        html_extract.main_text("<b><div>" + "<i>" * k + "</b>" * k + "<form>" * 50 + "<p>x</p>" * k + "<header>a</header>" * k)
+        took.append(time.process_time() - began)
+    assert took[1] < 24 * max(took[0], 0.05)
+
+
 @pytest.mark.parametrize("page", [None, "", "<", "<p>a", "<div>" * 3000 + "x", "<!-- open", "<script>var x", "<a href='q>broken</a> t", "&#0;&#xfffffff;&bogus;"])
 def test_broken_pages_end(page):
     assert isinstance(html_extract.main_text(page), str)
@@ -403,11 +421,35 @@ def test_entities_in_several_formats_by_brute_force(spark):
     assert "Zoltan" not in found[-1][0] and found[-1][0].startswith("my name is ") and re.fullmatch(r"Mrs [A-Z][a-z]+ova was there", found[-2][0]) and "Ivanova" not in found[-2][0]
 
 
-def test_clashing_keys_end_in_labels(spark, monkeypatch):
+def test_clashing_keys_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(surrogates, "clashes", lambda docs, key: int(not key.endswith("#2")))
+    docs = spark.createDataFrame([("a.1@x.com and A.1@x.com",)], "text string")
+    assert surrogates.replace(docs, "k").collect() == surrogates.replaced(docs, "k#2").collect()
     monkeypatch.setattr(surrogates, "clashes", lambda docs, key: 1)
-    texts = ["a.1@x.com and A.1@x.com", "b.1@x.com"]
-    a, b = (r.text for r in surrogates.replace(spark.createDataFrame([(t,) for t in texts], "text string"), "k").collect())
-    assert re.fullmatch(r"(<email-[0-9a-f]{32}>) and \1", a) and re.fullmatch(r"<email-[0-9a-f]{32}>", b) and b not in a
+    with pytest.raises(ValueError, match="clash"):
+        surrogates.replace(docs, "k")
+
+
+def test_short_names_never_share_a_surrogate(spark):
+    """Thousands of short names with and without endings, under two keys: no clash, and endings stay."""
+    rng = random.Random(9)
+    endings = ("", "", "a", "ova", "ina", "ska", "e", "o")
+    names = sorted({("".join(rng.choice("bdgklmnrstvz") + rng.choice("aeiou") for _ in range(rng.randint(1, 2))) + rng.choice("bdgklmnrstvz") + rng.choice(endings)).capitalize() for _ in range(9000)})
+    docs = spark.createDataFrame([(f"Mr {n} came",) for n in names], "text string").repartition(4)
+    assert len(names) > 4000 and surrogates.clashes(docs, "k#0") == surrogates.clashes(docs, "other#0") == 0
+    for n, r in zip(names[::50], surrogates.replaced(spark.createDataFrame([(f"Mr {n} came",) for n in names[::50]], "text string"), "k").collect(), strict=True):
+        assert len(r.text) == len(f"Mr {n} came") and r.text.endswith(f"{re.fullmatch('..+?(ova|ina|ska|a|e|o|)', n)[1]} came")
+
+
+def test_entities_of_a_million_characters(spark):
+    n = 1_000_000
+    long = ["joe@" + "a." * (n // 2) + "com", "x" * n + "@a.com", "joe@" + "a" * n + ".com", "Mr A" + "b" * n + " came", "Mr A" + "-Ab" * (n // 3), "MR " + "A" * n, "1" * n, "1 " * (n // 2), "+44 " * (n // 4), "a:" * (n // 2), "joe@" + "a-." * (n // 3), "a@" * (n // 2), "(12) " * (n // 5), "1." * (n // 2), "DE12 " * 500, "Anna " * 500]
+    rows = surrogates.replaced(spark.createDataFrame([(i, t) for i, t in enumerate(long)], "i int, text string"), "k").collect()
+    for r in rows:
+        if r.i in (0, 1, 2):
+            assert r.kinds == ["email"] and re.fullmatch("<email-[0-9a-f]{32}>", r.text)
+        if r.i == 3:
+            assert re.fullmatch("<name-[0-9a-f]{32}>", r.text) or "b" * 300 not in r.text
 
 
 # 5 byte-level encoding
@@ -743,6 +785,19 @@ def test_tags_of_all_kinds():
     assert len(audio.offsets) == 3 and audio.skipped == 0
 
 
+def test_no_payload_is_taken_for_a_tag():
+    """Tag bytes at every place of the last frame, whole tags that claim more than they hold, and random payloads."""
+    rng = random.Random(88)
+    foot = lambda size: b"APETAGEX" + struct.pack("<IIIIQ", 2000, size, 3, 0, 0)
+    payloads = [bytes(n * 576) [: n * 576 - 576 + at] + mark + bytes(576 - at - len(mark)) for n in (1, 2) for mark in (b"TAG", b"ID3\x04\0\0\0\0\1\0") for at in range(576 - len(mark) + 1)]
+    payloads += [bytes(474) + foot(size) + b"TAG" + bytes(67) for size in (32, 700, 10**6)] + [bytes(576) + bytes(474) + foot(700) + b"TAG" + bytes(67)]
+    payloads += [rng.randbytes(576 * rng.randint(1, 3)) for _ in range(200)] + [(b"\xff\xfb\xc4\0" * 144) * 3, b"\xff" * 1728, b"Info" * 432, b"Xing" * 288]
+    for raw in payloads:
+        media = mpeg_audio.stored(raw)
+        audio = mpeg_audio.parse(media)
+        assert mpeg_audio.payload(media, audio) == raw and audio.skipped == audio.failed == 0 and set(audio.tags) == {"TSSE"}
+
+
 def test_media_of_odd_rows(spark, odd):
     docs = odd.select("doc_id", "text", F.col("text").cast("binary").alias("media"))
     assert mpeg_audio.parsed(docs, "doc_id", "media").count() == len(TEXTS) + 2
