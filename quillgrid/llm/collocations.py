@@ -44,9 +44,9 @@ BUDGET, GROUPS = 1 << 18, 1 << 16
 #: Bits of the filters of words and of pairs, as powers of two.
 WORD_BITS, PAIR_BITS = 24, 26
 #: Bytes that are split into words at a time, words in a row of keys, and distinct words that a task counts before it gives them out.
-SLICE, ROW, HELD = 1 << 22, 1 << 20, 400_000
-#: Places of the text that are counted together.
-TOGETHER = 1 << 21
+SLICE, ROW, HELD = 1 << 22, 1 << 20, 300_000
+#: Places of the text that are counted together, and rows that are given out together.
+TOGETHER, GIVEN = 1 << 20, 1 << 16
 # Fixed values of the task: characters that end a piece, the least count, and the factors of score and cover.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 LEAST, FACTOR, COVER, TOP = 30, 2_000_000, 80, 2000
@@ -177,6 +177,11 @@ def _gathered(batches: Iterator[pa.RecordBatch], made: Callable[[np.ndarray, int
         yield counted([np.concatenate(c) for c in zip(*held, strict=True)])
 
 
+def _given(names: list[str], columns: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(columns[0]), GIVEN):
+        yield pa.RecordBatch.from_arrays([pa.array(c[at : at + GIVEN]) for c in columns], names=names)
+
+
 def _pairs(words: Broadcast) -> Run:
     """Pairs of words that may be frequent, with their counts."""
 
@@ -188,7 +193,7 @@ def _pairs(words: Broadcast) -> Run:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (a, b), n in _gathered(batches, made):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(n)], names=["k1", "k2", "n"])
+            yield from _given(["k1", "k2", "n"], [a, b, n])
 
     return run
 
@@ -228,7 +233,7 @@ def _suffixes(pairs: Broadcast, heavy: Broadcast) -> Run:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for columns, n in _gathered(batches, made):
             group, whole = heavy.value.group(columns)
-            yield pa.RecordBatch.from_arrays([pa.array(group), *map(pa.array, columns), pa.array(n), pa.array(whole)], names=["group", *KEYS, "n", "whole"])
+            yield from _given(["group", *KEYS, "n", "whole"], [group, *columns, n, whole])
 
     return run
 
@@ -309,7 +314,8 @@ def frequent(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame, DataFra
     totals = cut_lineage(read.where("word is null and keys is null").groupBy("lang").agg(F.sum("n").alias("n")))
     keys = read.where("keys is not null").select("keys", "starts")
     pairs = keys.mapInArrow(_pairs(filter_of(words, ("key",), WORD_BITS)), "k1 bigint, k2 bigint, n bigint")
-    pairs = cut_lineage(pairs.groupBy("k1", "k2").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
+    # tasks have counted their own pairs, most of which are met once there: a second partial count would only fill memory
+    pairs = cut_lineage(pairs.repartition("k1", "k2").groupBy("k1", "k2").agg(F.sum("n").alias("n")).where(F.col("n") >= least))
     ones = pairs.groupBy("k1").agg(F.sum("n").alias("n"))
     total = pairs.agg(F.sum("n")).first()[0] or 0
     budget = max(BUDGET, -(-total // GROUPS))
