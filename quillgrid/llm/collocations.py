@@ -44,9 +44,9 @@ BUDGET, GROUPS = 1 << 18, 1 << 16
 #: Bits of the filters of words and of pairs, as powers of two.
 WORD_BITS, PAIR_BITS = 24, 26
 #: Bytes that are split into words at a time, words in a row of keys, and distinct words that a task counts before it gives them out.
-SLICE, ROW, HELD = 1 << 22, 1 << 20, 300_000
+SLICE, ROW, HELD = 1 << 20, 1 << 18, 150_000
 #: Places of the text that are counted together, and rows that are given out together.
-TOGETHER, GIVEN = 1 << 20, 1 << 16
+TOGETHER, GIVEN = 1 << 19, 1 << 15
 # Fixed values of the task: characters that end a piece, the least count, and the factors of score and cover.
 ENDS = b".,;:!?\n\x0b\x0c\r"
 LEAST, FACTOR, COVER, TOP = 30, 2_000_000, 80, 2000
