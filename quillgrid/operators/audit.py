@@ -67,11 +67,12 @@ def header_role(text: Column) -> Column:
     return out
 
 
-def failure_cause(role: Column, product: Column, qty: Column, rate: Column, amount: Column, missing_amount: Column, mismatches: Column) -> Column:
-    """The first of eight causes for which an item row's arithmetic fails."""
+def failure_cause(role: Column, product: Column, qty: Column, rate: Column, amount: Column, missing_amount: Column, mismatches: Column, parsed: Column | None = None) -> Column:
+    """The first of eight causes for which an item row's arithmetic fails. parsed is the quantity's parse, where a column holds it already."""
     text = lambda c: F.trim(F.coalesce(c, F.lit("")))
     letters = F.length(F.regexp_replace(text(qty), "[^A-Za-z]", ""))
-    q, r, a = quantity.parsed(qty), lenient_number(rate), lenient_number(F.regexp_replace(amount, r"^(\d+),(\d{2})$", "$1.$2"))
+    q = quantity.parsed(qty) if parsed is None else parsed
+    r, a = lenient_number(rate), lenient_number(F.regexp_replace(amount, r"^(\d+),(\d{2})$", "$1.$2"))
     unread = ((q["rejected"].isNotNull()) & (text(qty) != "")) | (r.isNull() & (text(rate) != "")) | (a.isNull() & (text(amount) != ""))
     return (
         F.when(missing_amount | (text(amount) == ""), "amount column missing").when(text(product) == "", "product column missing").when(F.upper(text(product)).rlike(NON_ITEM) | (role != "item_row"), "row is not a true item row")

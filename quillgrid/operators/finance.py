@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import fuzzy
 from ..functions.scalars import decimals_in, minor_formula
 
 # Labels, words and rates as the results must have them.
@@ -139,3 +140,29 @@ def grand_total_rank(cells: DataFrame) -> DataFrame:
     rows = cells.withColumn("words", words).withColumn("span", span).where((F.col("words") >= 65) | F.contains(text, F.lit("TOTAL")))
     rows = rows.withColumn("score", F.floor(600 * F.col("words") + 400 * 100 * F.col("center_y") / F.greatest(F.col("span"), F.lit(1))).cast("bigint"))
     return rows.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "row_no")))
+
+
+# What heads a grand total, surely and perhaps; the weight of the second list and the least score.
+SURE_TOTALS = ("GRAND TOTAL", "NET AMOUNT", "NET AMT", "NET PAYABLE", "BILL AMOUNT", "TOTAL AMT", "TOTAL PAYABLE", "PAYABLE AMOUNT", "INVOICE TOTAL", "GRAND TOTAL AMOUNT")
+LIKELY_TOTALS = ("NET VALUE", "TOTAL INVOICE", "FINAL AMOUNT", "TO PAY")
+SECOND, LEAST_WORDS = 0.8, 65
+
+
+def total_words(texts: DataFrame) -> DataFrame:
+    """(up, words): for each distinct upper-case text (up), how much it reads like the head of a grand total."""
+    sure = F.col("up").rlike("|".join(SURE_TOTALS))
+    return texts.select("up").distinct().withColumn("words", F.when(sure, 100.0).otherwise(F.greatest(*(w * fuzzy.best_weighted(F.col("up"), p) for w, p in ((1.0, SURE_TOTALS), (SECOND, LIKELY_TOTALS))))))
+
+
+def weighted_total_rank(cells: DataFrame) -> DataFrame:
+    """Cells that may hold the grand total by the weighted fuzzy ratio of their words and by how far down they are.
+
+    Distinct texts are scored once and met again by their text; how many there
+    are is known at run time only, which is where the way of the join is chosen.
+    """
+    cells = cells.withColumn("up", F.upper(F.trim(F.coalesce("text", F.lit("")))))
+    span = F.max("center_y").over(Window.partitionBy("doc_id"))
+    rows = cells.withColumn("span", span).join(total_words(cells), "up").where((F.col("words") >= LEAST_WORDS) | F.contains(F.col("up"), F.lit("TOTAL")))
+    down = F.when(F.col("span") > 0, 100 * F.col("center_y") / F.col("span")).otherwise(50)
+    rows = rows.withColumn("score", F.floor(1000 * (0.6 * F.col("words") + 0.4 * down) + 0.5).cast("bigint"))
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("score"), "row_no"))).drop("up", "span")

@@ -83,7 +83,21 @@ def grand_total_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return finance.grand_total_rank(feet).select("doc_id", "row_no", F.col("words").cast("bigint").alias("words"), "score", "place")
 
 
-QUERIES = {f.__name__: f for f in (row_math_audit, duplicate_amount_rows, invoice_subtotal_recon, subscore_rollup, gst_ratio_check, label_candidates, rejected_candidates, tax_pair_match, grand_total_rank)}
+#: How labels of totals may be misread, by the document (%).
+MISREAD = (("O", "0"), ("TOTAL", "TOTL"), ("GRAND", "GRAN"), ("SUB", "NET"), ("GRAND TOTAL", "Bill Amnt"))
+
+
+def weighted_total_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Footer rows, some with misread labels, ranked by how much they look like the grand total."""
+    feet = derived.footers(derived.lines(spark, sf_dir))
+    label = F.col("label")
+    for i, (old, new) in enumerate(MISREAD):
+        label = F.when(F.col("doc_id") % 7 == i, F.replace(F.col("label"), F.lit(old), F.lit(new))).otherwise(label)
+    cells = feet.select("doc_id", "row_no", label.alias("text"), (106 + 24 * F.col("row_no")).cast("bigint").alias("center_y"))
+    return finance.weighted_total_rank(cells).select("doc_id", "row_no", "text", F.floor(F.col("words") * 1000 + 0.5).cast("bigint").alias("words"), "score", "place")
+
+
+QUERIES = {f.__name__: f for f in (weighted_total_rank, row_math_audit, duplicate_amount_rows, invoice_subtotal_recon, subscore_rollup, gst_ratio_check, label_candidates, rejected_candidates, tax_pair_match, grand_total_rank)}
 
 _SPOILT = "spoilt AS (SELECT * REPLACE (CASE WHEN part % 17 = 0 THEN amount + 5000 ELSE amount END AS amount) FROM lines)"
 _MATH = """checked AS (SELECT *, CASE WHEN formula = 'zero_amount' THEN qty = 0 ELSE formula NOT IN ('math_failed', 'all_formulas_failed') END AS passed FROM (

@@ -70,6 +70,18 @@ def footers(rows: DataFrame) -> DataFrame:
     return sums.select("doc_id", "n", F.posexplode(values).alias("k", "value")).select("doc_id", (F.col("n") + 1 + F.col("k")).alias("row_no"), F.element_at(F.array(*map(F.lit, FOOTERS)), F.col("k") + 1).alias("label"), "value")
 
 
+def texts_of() -> tuple[Column, ...]:
+    """The eight texts that a line is written as."""
+    comma = F.when(F.col("part") % 17 == 0, F.translate(money(F.col("amount")), ".", ",")).otherwise(money(F.col("amount")))
+    return (F.col("product"), F.col("batch"), F.col("expiry"), F.col("hsn"), quantity_text(F.col("part"), F.col("qty")), money(F.col("rate")), F.concat(F.col("disc").cast("string"), F.lit(".00")), comma)
+
+
+def row_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, row_no, part and the texts 0 to 7 of each line's row, before they are placed as tokens."""
+    rows = lines(spark, sf_dir)
+    return rows.select("doc_id", F.col("ord").alias("row_no"), "part", *[t.alias(str(i)) for i, t in enumerate(texts_of())])
+
+
 def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, row_no (0: header), col_no, ord, text and box of every token.
 
@@ -78,8 +90,7 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     whole = Window.partitionBy("doc_id")
     rows = lines(spark, sf_dir).withColumn("n", F.max("ord").over(whole)).withColumn("sub", F.sum("amount").over(whole)).withColumn("half", F.sum(F.expr("(amount * tax + 100) div 200")).over(whole))
-    comma = F.when(F.col("part") % 17 == 0, F.translate(money(F.col("amount")), ".", ",")).otherwise(money(F.col("amount")))
-    texts = (F.col("product"), F.col("batch"), F.col("expiry"), F.col("hsn"), quantity_text(F.col("part"), F.col("qty")), money(F.col("rate")), F.concat(F.col("disc").cast("string"), F.lit(".00")), comma)
+    texts = texts_of()
 
     def token(row: Column, col: int, text: Column, jitter: Column | None = None) -> Column:
         return F.struct(row.cast("int").alias("row_no"), F.lit(col).alias("col_no"), text.alias("text"), (F.lit(0) if jitter is None else jitter).cast("bigint").alias("jitter"))

@@ -1,5 +1,6 @@
 """Golden cases of scalars, predicates and reports."""
 
+import json
 import random
 from decimal import Decimal
 
@@ -7,7 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillgrid.functions import geometry, predicates, quantity, scalars
+from quillgrid.functions import geometry, predicates, quantity, scalars, search
 from quillgrid.operators import assign, audit, engine, finance, folds, report, score
 from quillgrid.operators import rows as row_ops
 from quillgrid.plans import audits
@@ -179,3 +180,34 @@ def test_invoices_need_no_row_or_column_numbers(spark):
     assert short and right >= 0.98 * len(rows)
     judged = audits.invoices(bare).collect()
     assert len(judged) == len({r.doc_id for r in rows}) and {r.status for r in judged} == {"PASS"}
+
+
+def first_of_key(data, key, left=4):
+    if left < 0:
+        return None
+    if isinstance(data, dict) and key in data:
+        return data[key]
+    for value in data.values() if isinstance(data, dict) else data if isinstance(data, list) else ():
+        found = first_of_key(value, key, left - 1)
+        if found is not None:
+            return found
+    return None
+
+
+def test_keys_are_found_at_any_depth_as_by_a_plain_walk(spark):
+    """Random records with null and false values, texts that look like records, lists in lists, and depths beyond the bound."""
+    rng = random.Random(3)
+
+    def made(n):
+        r = rng.random()
+        if n == 0 or r < 0.2:
+            return rng.choice([1, 0, "x", '{"k": 9}', None, True, False, "", 2.5])
+        return {rng.choice("kzabc"): made(n - 1) for _ in range(rng.randint(0, 3))} if r < 0.7 else [made(n - 1) for _ in range(rng.randint(0, 3))]
+
+    docs = [made(7) for _ in range(500)]
+    rows = spark.createDataFrame([(i, json.dumps(d)) for i, d in enumerate(docs)] + [(-1, None), (-2, "{bad"), (-3, "")], "i int, j string")
+    found = {r.i: r.v for r in rows.select("i", search.find_key(F.col("j"), "k").alias("v")).collect()}
+    assert found[-1] is found[-2] is found[-3] is None
+    for i, d in enumerate(docs):
+        expected = first_of_key(d, "k")
+        assert found[i] == expected if expected is None or isinstance(expected, str) else json.loads(found[i]) == expected, d
