@@ -126,19 +126,6 @@ def confidence_hierarchy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.floor(F.col("table_confidence") * 100 + 0.5).cast("bigint").alias("confidence"), "isolated", predicates.gate(F.col("table_confidence")).alias("gate"))
 
 
-def topology_arbitration(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = derived.lines(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"), F.count_if(F.col("part") % 17 == 0).alias("bad"))
-
-    def candidate(prefix: str, rows: F.Column, bad: F.Column, missing: F.Column, fill: float) -> DataFrame:
-        c = docs.select("doc_id", rows.alias("n_rows"), (rows * 8).alias("n_tokens"), F.lit(fill).alias("fill"), F.lit(0.5).alias("stability"), missing.alias("missing"), F.lit(0).alias("mismatches"), F.lit(0).alias("structural"), bad.alias("math_failed"), rows.alias("item_rows"), (missing == 0).alias("has_amount"), F.when(bad == 0, 100).otherwise(0).alias("math_score"), F.when(bad == 0, "PASS").otherwise("FAIL").alias("status"))
-        c = score.candidate_rank(c)
-        return c.select("doc_id", *[F.col(x).alias(f"{prefix}_{y}") for x, y in (("n_rows", "rows"), ("n_tokens", "tokens"), ("has_amount", "has_amount"), ("status", "status"), ("missing", "missing"), ("rank1000", "rank1000"))])
-
-    h = candidate("h", F.col("n"), F.col("bad"), (F.col("doc_id") % 3).cast("int"), 0.75).withColumn("h_cols", F.when(F.col("doc_id") % 11 == 0, 2).otherwise(8)).withColumn("h_confidence", F.lit(0.5))
-    g = candidate("g", F.col("n") - (F.col("doc_id") % 2).cast("int"), F.col("bad"), F.lit(0), 0.5)
-    return score.arbitrated(h.join(g, "doc_id")).select("doc_id", "h_rank1000", "g_rank1000", "chosen")
-
-
 def ocr_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
     tokens = derived.tokens(spark, sf_dir)
     return tokens.groupBy("doc_id").agg(F.count_distinct("row_no").alias("n_rows"), F.count("*").alias("n_cells"), F.expr("100 * count(*) div count(distinct row_no)").alias("columns100"), F.sum(F.regexp_count("text", F.lit(r"\d+\.\d+\.\d+"))).alias("merged_numbers"))
@@ -177,7 +164,7 @@ def failure_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("formula", size).groupingSets([["formula"], ["place"], []], "formula", "place").agg(F.count("*").alias("n"))
 
 
-QUERIES = {f.__name__: f for f in (column_profile, header_votes, column_context, semantic_ranking, semantic_histogram, semantic_outliers, base_votes, main_table_score, table_route, failure_causes, stability_scores, row_stability, confidence_hierarchy, topology_arbitration, ocr_compare, dashboard_summary, markdown_tables, json_grids, serialized_markdown, vendor_prior, failure_counters)}
+QUERIES = {f.__name__: f for f in (column_profile, header_votes, column_context, semantic_ranking, semantic_histogram, semantic_outliers, base_votes, main_table_score, table_route, failure_causes, stability_scores, row_stability, confidence_hierarchy, ocr_compare, dashboard_summary, markdown_tables, json_grids, serialized_markdown, vendor_prior, failure_counters)}
 
 _CELLS = "cells AS (SELECT t.*, r.row_role FROM tokens t JOIN roled r USING (doc_id, row_no))"
 _F = """feats AS (SELECT *, regexp_matches(c, '^\\d{1,2}[/-]\\d{2,4}$') AS expiry, regexp_matches(c, '^\\d{6,8}$') AS hsn, regexp_matches(c, '^[₹$]?\\d[\\d,]*\\.\\d{1,3}%?$') AS money, regexp_matches(c, '^\\d+$') AS integer,
@@ -259,10 +246,6 @@ SELECT CASE WHEN regexp_matches(upper(product), '{audit.NON_ITEM}') THEN 'row is
     "row_stability": with_lines(f", {_TRIPLE}, {_MATH}, {_STABLE} SELECT CAST(floor(stability * 1000 + 0.5) AS BIGINT) AS stability, count(*) AS n FROM stable GROUP BY 1"),
     "confidence_hierarchy": with_lines(f""", {_TRIPLE}, {_MATH}, {_STABLE} SELECT doc_id, CAST(floor(t * 100 + 0.5) AS BIGINT) AS confidence, isolated, CASE WHEN t >= 0.75 THEN 'accept' WHEN t >= 0.45 THEN 'repair_candidate' ELSE 'quarantine' END AS gate FROM (
   SELECT doc_id, round(coalesce(median(CASE WHEN stability >= 0.5 THEN c END) * 0.8::DOUBLE, 0), 3) AS t, count(*) FILTER (stability < 0.5) AS isolated FROM (SELECT *, round(least(0.9::DOUBLE, CASE WHEN rate IS NOT NULL AND NOT passed THEN 0.3::DOUBLE ELSE 1.0::DOUBLE END, populated / 8.0::DOUBLE) * stability, 3) AS c FROM stable) GROUP BY doc_id)"""),
-    "topology_arbitration": with_lines("""SELECT doc_id, h AS h_rank1000, g AS g_rank1000, CASE WHEN (n < 3 AND n * 8 >= 15) OR doc_id % 11 = 0 THEN 'graph_fallback' WHEN NOT (gn * 2 < n) AND g - h >= 15000 THEN 'graph_candidate' ELSE 'heuristic' END AS chosen FROM (SELECT *,
-  CAST(floor((CASE WHEN bad = 0 THEN 100 ELSE 0 END + CASE WHEN doc_id % 3 = 0 THEN 30 ELSE 0 END + 0.5::DOUBLE * n + 0.05::DOUBLE * (n * 8) + 15.0 + 5.0 - (CASE WHEN bad > 0 THEN 30 ELSE 0 END + 15 * (doc_id % 3) + 5 * bad)) * 1000 + 0.5) AS BIGINT) AS h,
-  CAST(floor((CASE WHEN bad = 0 THEN 100 ELSE 0 END + 30 + 0.5::DOUBLE * gn + 0.05::DOUBLE * (gn * 8) + 10.0 + 5.0 - (CASE WHEN bad > 0 THEN 30 ELSE 0 END + 5 * bad + CASE WHEN gn = 0 THEN 35 ELSE 0 END)) * 1000 + 0.5) AS BIGINT) AS g
-  FROM (SELECT doc_id, count(*) AS n, count(*) - doc_id % 2 AS gn, count(*) FILTER (part % 17 = 0) AS bad FROM lines GROUP BY doc_id))"""),
     "ocr_compare": with_tokens("SELECT doc_id, count(DISTINCT row_no) AS n_rows, count(*) AS n_cells, 100 * count(*) // count(DISTINCT row_no) AS columns100, sum(len(regexp_extract_all(text, '\\d+\\.\\d+\\.\\d+')))::BIGINT AS merged_numbers FROM tokens GROUP BY doc_id"),
     "dashboard_summary": with_lines(f", {_TRIPLE}, {_MATH}, {_STABLE} SELECT count(*) AS invoices, sum(n)::BIGINT AS rows, sum(ok)::BIGINT AS passed, count(*) FILTER (ok = n) AS clean, count(*) FILTER (ok = 0) AS hopeless, max(n) AS most_rows, min(n) AS fewest_rows, sum(amount)::BIGINT AS amount, max(amount) AS largest, min(amount) AS smallest, min(least_s) AS least_stable, count(*) FILTER (least_s < 500) AS shaky, (100 * sum(ok) // sum(n))::BIGINT AS passed_percent, count(*) FILTER (n = 1) AS single_row FROM (SELECT doc_id, count(*) AS n, count(*) FILTER (passed) AS ok, sum(amount)::BIGINT AS amount, min(CAST(floor(stability * 1000 + 0.5) AS BIGINT)) AS least_s FROM stable GROUP BY doc_id)"),
     "markdown_tables": with_tokens("SELECT doc_id, md5(m) AS markdown_md5, length(m) AS n_chars FROM (SELECT doc_id, string_agg(line || CASE WHEN row_no = 0 THEN chr(10) || '|' || repeat(' --- |', n) ELSE '' END, chr(10) ORDER BY row_no) AS m FROM (SELECT doc_id, row_no, '| ' || string_agg(text, ' | ' ORDER BY col_no) || ' |' AS line, count(*) AS n FROM tokens GROUP BY doc_id, row_no) GROUP BY doc_id)"),
