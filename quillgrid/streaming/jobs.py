@@ -1,8 +1,8 @@
 """Streams of recognised pages: each once, through the same transforms, with priors and samples kept beside.
 
 Pages are independent, so a stream runs the batch transforms on each
-micro-batch. State that outlives a batch lives in Parquet that is only added
-to, under the batch's number, which makes a repeated batch harmless.
+micro-batch. Keys seen are state of the stream; other state that outlives a
+batch lives in Parquet under the batch's number, which makes a repeated batch harmless.
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..sources.documents import PAGE, uncached
+from ..sources.documents import PAGE, latest
 
 
 def page_stream(spark: SparkSession, path: str) -> DataFrame:
@@ -34,19 +34,22 @@ def stored(spark: SparkSession, path: str, schema: str | None = None) -> DataFra
         raise
 
 
-def run(pages: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
+def run(pages: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, once: bool = True, minutes: int | None = None) -> StreamingQuery:
     """Write transform(page batch) to out, one folder for each batch; a batch that runs again replaces its own.
 
-    Pages whose doc_id an earlier batch has written are passed over.
+    Pages whose doc_id has come before are passed over: keys seen are kept as
+    state, so that a batch costs what it holds, however much went before.
+    State lies with the checkpoint, which belongs to out; a batch that runs
+    again starts from the state before it. With minutes, a key is forgotten
+    after so long (pages need seen_at); without, state grows by a key a page,
+    for which spark.sql.streaming.stateStore.providerClass should name RocksDB.
     """
+    fresh = pages.dropDuplicates(["doc_id"]) if minutes is None else first_seen(pages, minutes)
 
     def batch(rows: DataFrame, number: int) -> None:
-        rows, known = rows.dropDuplicates(["doc_id"]), stored(rows.sparkSession, out)
-        if known is not None:
-            rows = uncached(rows, known.where(F.col("batch") != number))
         transform(rows).write.mode("overwrite").parquet(f"{out}/batch={number}")
 
-    writer = pages.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
+    writer = fresh.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
@@ -61,15 +64,60 @@ def event_windows(events: DataFrame, late: str = "10 minutes", wide: str = "1 ho
     return windowed.agg(F.count("*").alias("n"), F.floor(F.sum(F.round(F.col("value") * 100))).cast("bigint").alias("cents")).select(F.col("w.start").alias("start"), "event_type", "n", "cents")
 
 
-def learn_priors(tokens: DataFrame, priors: str, checkpoint: str, prior: Callable[[DataFrame], DataFrame]) -> StreamingQuery:
-    """Add the priors that each batch shows; readers take the latest of each vendor."""
+def learn_priors(tokens: DataFrame, priors: str, checkpoint: str, prior: Callable[[DataFrame], DataFrame], key: str = "vendor", every: int = 20) -> StreamingQuery:
+    """Add the priors that each batch shows as changes, and merge them into a new base every so many batches; current_priors() reads both."""
 
     def batch(rows: DataFrame, number: int) -> None:
-        prior(rows).withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{priors}/from={number}")
+        prior(rows).withColumn("batch", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{priors}/changes/from={number}")
+        if number % every == every - 1:
+            merge_priors(rows.sparkSession, priors, key)
 
     return tokens.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def _merges(spark: SparkSession, priors: str) -> list[int]:
+    """The last batches of the newest two bases that are whole, newest first."""
+    found = stored(spark, f"{priors}/merged", "upto bigint")
+    return [] if found is None else [r.upto for r in found.distinct().orderBy(F.desc("upto")).limit(2).collect()]
+
+
+def current_priors(spark: SparkSession, priors: str, key: str = "vendor") -> DataFrame | None:
+    """One row a key, that of the last batch which showed it; None before the first batch.
+
+    A base counts once its number stands in the list of merges, which is
+    written after it; until then the base before it and its changes are read.
+    """
+    merges = _merges(spark, priors)
+    changes = stored(spark, f"{priors}/changes")
+    if changes is None:
+        return stored(spark, f"{priors}/base/upto={merges[0]}") if merges else None
+    changes = (changes.where(F.col("from") > merges[0]) if merges else changes).drop("from")
+    return latest(spark.read.parquet(f"{priors}/base/upto={merges[0]}") if merges else changes.limit(0), changes, key, "batch")
+
+
+def merge_priors(spark: SparkSession, priors: str, key: str = "vendor", files: int = 8) -> None:
+    """Write a new base, in files by key, from the last one and the changes since; readers go on with the old one until it is listed.
+
+    What only the base before the last one was made of is removed, so that
+    readers that have begun on the last one can end.
+    """
+    merges, changes = _merges(spark, priors), stored(spark, f"{priors}/changes")
+    last = None if changes is None else changes.agg(F.max("from")).collect()[0][0]
+    if last is None or (merges and last <= merges[0]):
+        return
+    current_priors(spark, priors, key).repartition(files, key).write.mode("overwrite").parquet(f"{priors}/base/upto={last}")
+    spark.createDataFrame([(last,)], "upto bigint").coalesce(1).write.mode("append").parquet(f"{priors}/merged")
+    if merges:
+        old = [r["from"] for r in changes.where(F.col("from") <= merges[0]).select("from").distinct().collect()]  # a number for each batch of one merge
+        for path in [f"{priors}/changes/from={n}" for n in old] + [f"{priors}/base/upto={n}" for n in merges[1:]]:
+            _remove(spark, path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def predicted_confidence(features: DataFrame) -> DataFrame:
     """Chance that a token's cell is right, by how it was assigned, where no model has been trained."""
     known = F.when(F.col("strategy") == "row_scoped", 1.0).when(F.col("strategy") == "neighbor_row", 0.85).otherwise(0.5)
