@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import evidence, orientation
-from ..sources import derived
-from .sql import with_tokens
+from ..sources import derived, results
+from .sql import with_lines, with_tokens
 
 
 def page_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,8 +42,30 @@ def result_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shaped.groupBy("shape").agg(F.count("*").alias("n"), F.sum("passed").cast("bigint").alias("passed"), F.sum("failed").cast("bigint").alias("failed"), F.sum(F.col("grand_total").cast("bigint")).alias("grand_total"))
 
 
-QUERIES = {f.__name__: f for f in (page_orientation, financial_cells, anchored_items, headed_rows, result_shapes)}
+def result_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Figures of a result for each order, which in turns tells of its rows by validation, by its tables, or by a report alone."""
+    name = F.concat(F.lit("t"), F.col("doc_id").cast("string"))
+    row = F.struct(F.col("ord").cast("string").alias("row_id"), F.when(F.col("ord") > 1, "item_row").otherwise("header_row").alias("row_role"), (F.col("qty") % 4).alias("populated_count"))
+    docs = derived.lines(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(row)).alias("rows"))
+    lacks = F.when(F.col("n") % 2 == 1, F.array(F.lit("rate"), F.lit("amount"))).otherwise(F.array(F.lit("rate")))
+    validated = F.struct(F.col("n").alias("total_rows"), lacks.alias("missing_semantic_columns"), F.col("rows").alias("row_diagnostics"))
+    means = F.create_map(name, F.create_map(F.lit("c0"), F.lit("Product"), F.lit("c1"), F.lit("QTY"), F.lit("c2"), F.when(F.col("n") > 3, "expiry").otherwise("product")))
+    checked = F.struct(F.create_map(name, validated).alias("row_validation"), means.alias("final_column_semantics"), F.struct((F.col("doc_id") % 5).cast("string").alias("quarantined_cell_count")).alias("instrumentation"))
+    cells = F.transform("rows", lambda r: F.struct(r["row_id"].alias("row_id"), F.when(r["populated_count"] > 0, "x").otherwise(" ").alias("text")))
+    table = F.struct(name.alias("table_id"), F.lit("grid").alias("source_engine"), F.col("rows").alias("rows"), F.array(F.lit("a"), F.lit("b")).alias("columns"), cells.alias("cells"))
+    spare = F.struct(F.lit("spare").alias("table_id"), F.lit("none").alias("source_engine"), F.slice("rows", 1, 0).alias("rows"), F.array(F.lit("a")).alias("columns"), F.slice(cells, 1, 0).alias("cells"))
+    report = F.struct(F.struct(F.array(F.struct(name.alias("table_id"), F.col("n").alias("row_count"), (F.col("n") + 1).alias("column_count"))).alias("main_tables")).alias("topology_debug"), (F.col("n") / 16).alias("invoice_confidence"))
+    inner = F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(checked.alias("metrics")))).when(F.col("doc_id") % 3 == 1, F.to_json(F.struct(F.array(spare, table).alias("structured_tables")))).otherwise(F.to_json(F.struct(report.alias("metrics"))))
+    return results.topology_fields(docs.select("doc_id", F.concat(F.lit('{"metadata":'), inner, F.lit("}")).alias("result")))
+
+
+QUERIES = {f.__name__: f for f in (page_orientation, financial_cells, anchored_items, headed_rows, result_shapes, result_fields)}
 ORACLES = {
+    "result_fields": with_lines("""SELECT doc_id, CASE v WHEN 1 THEN 'grid' ELSE 'unknown' END AS topology_source, CASE v WHEN 2 THEN round(n / 16.0::DOUBLE, 3) ELSE 0.0::DOUBLE END AS invoice_confidence, 0::BIGINT AS raw_token_count, CASE v WHEN 1 THEN 2 ELSE 0 END::BIGINT AS table_count, 't' || doc_id AS main_table_id,
+  n AS main_table_row_count, CASE v WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE n + 1 END::BIGINT AS main_table_column_count, CASE v WHEN 0 THEN round(filled::DOUBLE / counted, 2) WHEN 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS avg_cells_per_item_row, CASE v WHEN 0 THEN few WHEN 1 THEN counted ELSE 0 END::BIGINT AS one_cell_item_rows_count,
+  false AS anchor_repair_enabled, 0::BIGINT AS before_column_count, 0::BIGINT AS after_column_count, CASE WHEN v > 0 THEN '' WHEN n > 3 THEN 'expiry:1, product:1, qty:1' ELSE 'product:2, qty:1' END AS final_semantic_breakdown, v = 0 AS has_product_column, false AS has_batch_column, v = 0 AND n > 3 AS has_expiry_column, v = 0 AS has_qty_column, false AS has_rate_column, false AS has_amount_column,
+  CASE v WHEN 0 THEN doc_id % 5 ELSE 0 END::BIGINT AS quarantined_cell_count, CASE WHEN v > 0 THEN 0 ELSE 1 + n % 2 END::BIGINT AS missing_semantic_columns_count, CASE WHEN v > 0 THEN '' WHEN n % 2 = 1 THEN 'rate,amount' ELSE 'rate' END AS missing_semantic_columns
+FROM (SELECT doc_id, doc_id % 3 AS v, max(n) AS n, count(*) AS counted, sum(qty % 4) AS filled, count(*) FILTER (qty % 4 <= 1) AS few FROM (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM lines) WHERE ord > 1 OR n = 1 GROUP BY doc_id)"""),
     "page_orientation": with_tokens("SELECT 0 AS turn, count(DISTINCT doc_id) AS n FROM tokens"),
     "financial_cells": with_tokens("SELECT col_no, kind, count(*) AS n FROM tokens JOIN (VALUES ('totals', 'TOTAL|NET|PAYABLE'), ('taxes', 'GST|TAX|CESS'), ('discounts', 'DISC|LESS'), ('amounts', '\\d+\\.\\d{2}')) v(kind, p) ON regexp_matches(upper(text), p) GROUP BY col_no, kind"),
     "anchored_items": with_tokens("SELECT doc_id, item, count(*) AS rows, sum(n)::BIGINT AS tokens FROM (SELECT *, sum(anchor::INT) OVER (PARTITION BY doc_id ORDER BY row_no)::BIGINT AS item FROM (SELECT doc_id, row_no, max(regexp_matches(text, '^\\d{7,9}$') AND ord % 3 <> 0) AS anchor, count(*) AS n FROM tokens GROUP BY doc_id, row_no)) WHERE item > 0 GROUP BY doc_id, item"),
