@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import evidence, orientation
+from ..operators import evidence, headers, orientation
 from ..sources import derived, results
 from .sql import with_lines, with_tokens
 
@@ -59,8 +59,24 @@ def result_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     return results.topology_fields(docs.select("doc_id", F.concat(F.lit('{"metadata":'), inner, F.lit("}")).alias("result")))
 
 
-QUERIES = {f.__name__: f for f in (page_orientation, financial_cells, anchored_items, headed_rows, result_shapes, result_fields)}
+def header_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bands of columns in hundredths of a pixel, from headers every other word of which stands on a second line on odd pages."""
+    second = F.when((F.col("row_no") == 0) & (F.col("doc_id") % 2 == 1) & (F.col("col_no") % 2 == 0), 12).otherwise(0)
+    tokens = derived.tokens(spark, sf_dir).withColumn("min_y", F.col("min_y") + second).withColumn("max_y", F.col("max_y") + second)
+    fine = lambda c: F.floor(F.col(c) * 100 + 0.5).cast("bigint").alias(c)
+    return headers.column_bands(headers.header_line(tokens)).select("doc_id", "band", fine("header_y"), fine("min_x"), fine("max_x"))
+
+
+QUERIES = {f.__name__: f for f in (page_orientation, financial_cells, anchored_items, headed_rows, result_shapes, result_fields, header_bands)}
+_HEADS = """heads AS (SELECT doc_id, ord, (min_x + max_x) / 2.0::DOUBLE AS x, (min_y + max_y) / 2.0::DOUBLE + CASE WHEN row_no = 0 AND doc_id % 2 = 1 AND col_no % 2 = 0 THEN 12 ELSE 0 END AS y, CASE text WHEN 'HSN' THEN 'hsn' WHEN 'QTY' THEN 'qty' WHEN 'DISC' THEN 'discount' WHEN 'CGST' THEN 'cgst' WHEN 'SGST' THEN 'sgst' END AS role FROM tokens WHERE text IN ('HSN', 'QTY', 'DISC', 'CGST', 'SGST')),
+line AS (SELECT doc_id, round_even(y / 10, 0) * 10 AS bucket FROM heads GROUP BY doc_id, round_even(y / 10, 0) * 10 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY sum(CASE WHEN role = 'hsn' THEN 2 ELSE 1 END) DESC, min(ord)) = 1),
+near AS (SELECT doc_id, avg(y) AS header_y, avg(x) FILTER (role = 'hsn') AS hsn, avg(x) FILTER (role = 'qty') AS qty, avg(x) FILTER (role = 'discount') AS disc, coalesce(avg(x) FILTER (role = 'cgst'), 650) AS cgst, coalesce(avg(x) FILTER (role = 'sgst'), 680) AS sgst FROM heads JOIN line USING (doc_id) WHERE abs(y - bucket) <= 18 GROUP BY doc_id),
+known AS (SELECT doc_id, header_y, coalesce(hsn, 286) AS hsn, coalesce(qty, 408) AS qty, coalesce(disc, 550) AS disc, cgst, sgst, lo, hi FROM near JOIN (SELECT doc_id, min(min_x) AS lo, max(max_x) AS hi FROM tokens GROUP BY doc_id) USING (doc_id)),
+ends AS (SELECT doc_id, header_y, unnest([{'band': 'sl_no', 'a': greatest(lo, 78), 'b': 98::DOUBLE}, {'band': 'pcode', 'a': 92, 'b': 148}, {'band': 'description', 'a': 142, 'b': (198 + hsn) / 2 + 4}, {'band': 'hsn', 'a': (198 + hsn) / 2 + 5, 'b': (hsn + 321) / 2 + 5}, {'band': 'upc', 'a': (hsn + 321) / 2 + 5, 'b': 337.5}, {'band': 'mrp', 'a': 337.5, 'b': 382},
+  {'band': 'qty', 'a': qty - 18, 'b': qty + 22}, {'band': 'gross', 'a': 423, 'b': 469}, {'band': 'discount', 'a': disc - 22, 'b': disc + 22}, {'band': 'taxable', 'a': 566, 'b': 612}, {'band': 'cgst', 'a': cgst - 24, 'b': cgst + 24}, {'band': 'sgst', 'a': sgst - 24, 'b': sgst + 24}, {'band': 'net_amt', 'a': greatest(hi - 62, sgst + 16), 'b': least(hi + 8, hi + 12)}]) AS e FROM known)"""
+
 ORACLES = {
+    "header_bands": with_tokens("SELECT doc_id, e.band AS band, CAST(floor(header_y * 100 + 0.5) AS BIGINT) AS header_y, CAST(floor(e.a::DOUBLE * 100 + 0.5) AS BIGINT) AS min_x, CAST(floor(e.b::DOUBLE * 100 + 0.5) AS BIGINT) AS max_x FROM ends", _HEADS),
     "result_fields": with_lines("""SELECT doc_id, CASE v WHEN 1 THEN 'grid' ELSE 'unknown' END AS topology_source, CASE v WHEN 2 THEN round(n / 16.0::DOUBLE, 3) ELSE 0.0::DOUBLE END AS invoice_confidence, 0::BIGINT AS raw_token_count, CASE v WHEN 1 THEN 2 ELSE 0 END::BIGINT AS table_count, 't' || doc_id AS main_table_id,
   n AS main_table_row_count, CASE v WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE n + 1 END::BIGINT AS main_table_column_count, CASE v WHEN 0 THEN round(filled::DOUBLE / counted, 2) WHEN 1 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS avg_cells_per_item_row, CASE v WHEN 0 THEN few WHEN 1 THEN counted ELSE 0 END::BIGINT AS one_cell_item_rows_count,
   false AS anchor_repair_enabled, 0::BIGINT AS before_column_count, 0::BIGINT AS after_column_count, CASE WHEN v > 0 THEN '' WHEN n > 3 THEN 'expiry:1, product:1, qty:1' ELSE 'product:2, qty:1' END AS final_semantic_breakdown, v = 0 AS has_product_column, false AS has_batch_column, v = 0 AND n > 3 AS has_expiry_column, v = 0 AS has_qty_column, false AS has_rate_column, false AS has_amount_column,
