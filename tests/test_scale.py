@@ -41,3 +41,14 @@ def test_many_documents_at_once_give_what_each_gives_alone(step, seed):
 def test_folds_take_the_tokens_as_they_are_dealt(spark, name, most):
     """One shuffle by product, one by document and one of the sums; small tables of products are broadcast."""
     assert exchanges(catalogue.QUERIES[name](spark, SF)) <= most - 1
+
+
+@pytest.mark.parametrize("name, most", [("column_profile", 1), ("semantic_ranking", 1)])
+def test_cells_are_neither_written_nor_dealt_anew(spark, name, most, tmp_path, monkeypatch):
+    from quillgrid.plans import tables
+
+    def never(frame):
+        raise AssertionError("written")
+
+    monkeypatch.setattr(tables, "written", never)
+    assert exchanges(catalogue.QUERIES[name](spark, SF)) <= most
