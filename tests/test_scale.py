@@ -52,3 +52,10 @@ def test_cells_are_neither_written_nor_dealt_anew(spark, name, most, tmp_path, m
 
     monkeypatch.setattr(tables, "written", never)
     assert exchanges(catalogue.QUERIES[name](spark, SF)) <= most
+
+
+@pytest.mark.parametrize("name", ["nearest_row_asof", "best_bands"])
+def test_tokens_meet_their_documents_bands_without_a_row_for_each_pair(spark, name):
+    """Pairs of tokens and bands that are grouped by token have to be sorted, and spill."""
+    plan = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert not any("Aggregate(key=" in line and ", ord#" in line.split("]")[0] for line in plan.splitlines())
