@@ -147,12 +147,18 @@ def repair_trigger(tables: DataFrame) -> DataFrame:
 
 def ownership_audit(tokens: DataFrame, owned: DataFrame, rows: DataFrame) -> DataFrame:
     """Tokens whose own row is further from them than another: own and nearest row, and by how much (twice the pixels)."""
-    from .assign import nearest_row
+    return apart(tokens.join(owned.select("doc_id", "ord", "cell_row"), ["doc_id", "ord"]), rows)
 
-    r = rows.select("doc_id", F.col("row_no").alias("cell_row"), (F.col("min_y") + F.col("max_y")).alias("own_c2"))
-    mine = tokens.join(owned.select("doc_id", "ord", "cell_row"), ["doc_id", "ord"]).join(r, ["doc_id", "cell_row"]).withColumn("own2", F.abs(F.col("min_y") + F.col("max_y") - F.col("own_c2")))
-    best = nearest_row(tokens, rows).select("doc_id", "ord", F.col("row").alias("nearest"), F.col("distance2").alias("near2"))
-    return mine.join(best, ["doc_id", "ord"]).where("own2 - near2 >= 6").select("doc_id", "ord", "cell_row", "nearest", (F.col("own2") - F.col("near2")).alias("apart2"))
+
+def apart(tokens: DataFrame, rows: DataFrame) -> DataFrame:
+    """ownership_audit() of tokens that have their cell_row beside them."""
+    from .assign import beside
+
+    held = beside(tokens.select("doc_id", "ord", "cell_row", (F.col("min_y") + F.col("max_y")).alias("_c2")), rows, "row_no", "min_y", "max_y")
+    near = F.transform("_bands", lambda r: F.struct(F.abs(F.col("_c2") - r["min_y"] - r["max_y"]).alias("d2"), r["row_no"].alias("row")))
+    found = held.select("doc_id", "ord", "cell_row", F.array_min(near).alias("_m"), F.filter(near, lambda r: r["row"] == F.col("cell_row")).alias("_own"))
+    found = found.select("doc_id", "ord", "cell_row", F.col("_m.row").alias("nearest"), (F.get("_own", F.lit(0))["d2"] - F.col("_m.d2")).alias("apart2"))
+    return found.where("apart2 >= 6")
 
 
 def validated_invoices(invoices: DataFrame) -> DataFrame:
