@@ -13,7 +13,7 @@ from .sql import with_lines, with_tokens
 def page_orientation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The turn that rows speak for, where the boxes agree with confidence; else none."""
     tokens = derived.tokens(spark, sf_dir)
-    gate = evidence.applied_turn(evidence.box_turn(orientation.turned(tokens))).select("doc_id", F.col("turn").alias("sure"))
+    gate = evidence.applied_turn(evidence.box_turns(tokens)).select("doc_id", F.col("turn").alias("sure"))
     found = orientation.orientation(tokens).join(gate, "doc_id")
     return found.groupBy(F.when(F.col("turn") == F.col("sure"), F.col("turn")).otherwise(0).alias("turn")).agg(F.count("*").alias("n"))
 

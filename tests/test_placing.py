@@ -5,9 +5,8 @@ from decimal import ROUND_HALF_UP, Decimal
 import numpy as np
 import pandas as pd
 import pytest
-from pyspark.sql import functions as F
 
-from quillgrid.operators import assign, placing
+from quillgrid.operators import assign, evidence, orientation, placing
 from quillgrid.plans import catalogue, layout
 from quillgrid.sources import derived
 
@@ -110,3 +109,33 @@ def test_pages_are_dealt_once_and_not_written(spark, name, most, monkeypatch):
     monkeypatch.setattr(staging, "written", lambda frame: pytest.fail("written"))
     monkeypatch.setattr(layout, "written", lambda frame: pytest.fail("written"), raising=False)
     assert exchanges(catalogue.QUERIES[name](spark, SF)) <= most
+
+
+@pytest.mark.parametrize("name", ["first_owners", "headed_rows", "ownership_audit", "page_turns", "page_orientation"])
+def test_tokens_are_neither_written_nor_dealt_or_sorted_anew(spark, name, monkeypatch):
+    """No shuffle by document and place, and no window or list for each turn of a token."""
+    monkeypatch.setattr("quillgrid.plans.evidence.written", lambda frame: pytest.fail("written"))
+    lines = catalogue.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString().splitlines()
+    assert not any("Exchange hashpartitioning(doc_id" in line and any(f"{c}#" in line for c in ("ord", "row_no", "col_no", "cell_row")) for line in lines)
+    assert not any("Window [" in line and "turn#" in line.split("windowspecdefinition")[-1] and "ord#" in line for line in lines)
+    assert not any("collect_list" in line and "turn#" in line.split("functions")[0] for line in lines)
+
+
+def test_all_turns_at_once_score_as_each_turn_does(spark):
+    tokens = derived.tokens(spark, SF)
+    each, once = evidence.box_turn(orientation.turned(tokens)), evidence.box_turns(tokens)
+    assert each.exceptAll(once).isEmpty() and once.exceptAll(each).isEmpty() and not once.isEmpty()
+
+
+def test_rows_under_heads_that_lack_or_double(spark):
+    cells = spark.createDataFrame([(1, 0, 0, "A"), (1, 0, 1, "B"), (1, 0, 1, "C"), (1, 1, 0, "x"), (1, 1, 1, "y"), (1, 1, 5, "z"), (2, 1, 0, "q"), (3, 0, 0, "H")], "doc_id long, row_no int, col_no int, text string")
+    found = {(r.doc_id, r.row_no): r.columns for r in orientation.whole_rows(cells).collect()}
+    assert found == {(1, 1): {"A": "x", "B": "y", "C": "y", "col_5": "z"}, (2, 1): {"col_0": "q"}}
+
+
+def test_nearest_column_and_first_band_of_odd_tokens(spark):
+    tokens = spark.createDataFrame([(1, 0, "2.50", 10, 20, 0, 9), (1, 1, "abc", 100, 120, 30, 39), (1, 2, "7", 900, 910, 500, 509)], "doc_id long, ord long, text string, min_x long, max_x long, min_y long, max_y long")
+    columns = spark.createDataFrame([(1, 0, "quantity", 10, 20), (1, 1, "product", 30, 60), (1, 2, "amount", 100, 120)], "doc_id long, col_no int, semantic string, min_x long, max_x long")
+    assert {(r.ord, r.col_no, r.distance2) for r in assign.nearest_column(tokens, columns, 120).collect()} == {(0, 1, 60), (1, 1, 130)}
+    bands = spark.createDataFrame([(1, 4, 20, 35), (1, 3, 5, 31)], "doc_id long, row_no int, min_y long, max_y long")
+    assert {(r.ord, r.cell_row) for r in assign.first_band(tokens, bands).collect()} == {(0, 3), (1, 3), (2, None)}
