@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.predicates import bound
+from ..sources.staging import computed
+
 # Words of heads in the order in which they are tried, heads that count twice, the vote's steps, and centers where no head tells.
 ROLES = (
     ("pcode", r"\bP\s*CODE\b|PCODE"), ("description", r"ITEM DESCRIPTION|^DESCRIPTION$|ITEM.*DESCRIPTION|DESCRIPTION.*ITEM"), ("hsn", r"(?:^| )(?:HSN|RSN)"), ("upc", r"(?:^| )UPC"), ("mrp", "MRP"), ("qty", "QTY"),
@@ -20,7 +23,7 @@ REACH = {"qty": (18, 22), "gross": (22, 24), "discount": (22, 22), "taxable": (2
 def header_role(text: Column) -> Column:
     """Which column a token heads; null if none."""
     clean = F.trim(F.regexp_replace(F.upper(F.coalesce(text, F.lit(""))), "[^A-Z0-9 ]+", ""))
-    return F.coalesce(*[F.when(clean.rlike(p), name) for name, p in ROLES])
+    return bound(clean, lambda c: F.when(c.rlike("[A-Z]"), F.coalesce(*[F.when(c.rlike(p), name) for name, p in ROLES])))  # no role is without letters
 
 
 def header_line(tokens: DataFrame) -> DataFrame:
@@ -31,14 +34,20 @@ def header_line(tokens: DataFrame) -> DataFrame:
     be two. A page without heads has its topmost token's height.
     """
     x, y = ((F.col(f"min_{c}") + F.col(f"max_{c}")) / 2 for c in "xy")
-    t = tokens.select("doc_id", "ord", "min_x", "max_x", x.alias("cx"), y.alias("cy"), header_role(F.col("text")).alias("role"))
-    hits = t.where("role is not null").withColumn("bucket", F.bround(F.col("cy") / STEP) * STEP)
-    votes = hits.groupBy("doc_id", "bucket").agg(F.sum(F.when(F.col("role").isin(*DOUBLE), 2).otherwise(1)).alias("votes"), F.min("ord").alias("first"))
-    best = votes.groupBy("doc_id").agg(F.min_by("bucket", F.struct(-F.col("votes"), "first")).alias("best"))
-    near = hits.join(best, "doc_id").where(F.abs(F.col("cy") - F.col("best")) <= NEAR)
-    lines = near.groupBy("doc_id").agg(F.avg("cy").alias("header_y"), *[F.avg(F.when(F.col("role") == r, F.col("cx"))).alias(r) for r, _ in ROLES])
-    pages = t.groupBy("doc_id").agg(F.min("cy").alias("_top"), F.min("min_x").alias("page_min"), F.max("max_x").alias("page_max"))
-    return pages.join(lines, "doc_id", "left").withColumn("header_y", F.coalesce("header_y", "_top")).drop("_top")
+    t = computed(tokens.select("doc_id", "ord", "min_x", "max_x", x.alias("cx"), y.alias("cy"), "text"), role=header_role(F.col("text")))
+    bucket = F.bround(F.col("cy") / STEP) * STEP
+    hit = F.when(F.col("role").isNotNull(), F.struct("ord", "role", "cx", "cy", bucket.alias("bucket"), F.when(F.col("role").isin(*DOUBLE), 2).otherwise(1).alias("votes")))
+    # a page's heads are few: they vote within one array, so that its tokens are grouped once
+    pages = t.groupBy("doc_id").agg(F.collect_list(hit).alias("hits"), F.min("cy").alias("_top"), F.min("min_x").alias("page_min"), F.max("max_x").alias("page_max"))
+    own = lambda b: F.filter("hits", lambda h: h["bucket"] == b)
+    sums = lambda hs: F.aggregate(hs, F.lit(0), lambda a, h: a + h["votes"])
+    votes = F.transform(F.array_distinct(F.transform("hits", lambda h: h["bucket"])), lambda b: F.struct((-sums(own(b))).alias("votes"), F.array_min(F.transform(own(b), lambda h: h["ord"])).alias("first"), b.alias("bucket")))
+    pages = computed(pages, best=F.array_min(votes)["bucket"])
+    pages = computed(pages, near=F.filter("hits", lambda h: F.abs(h["cy"] - F.col("best")) <= NEAR))
+    mean = lambda hs, c: F.when(F.size(hs) > 0, F.aggregate(hs, F.lit(0.0), lambda a, h: a + h[c]) / F.size(hs))
+    headed = lambda r: F.filter("near", lambda h: h["role"] == r)
+    centers = [mean(headed(r), "cx").alias(r) for r, _ in ROLES]
+    return pages.select("doc_id", "page_min", "page_max", F.coalesce(mean(F.col("near"), "cy"), "_top").alias("header_y"), *centers)
 
 
 def column_bands(lines: DataFrame) -> DataFrame:
