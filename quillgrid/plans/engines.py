@@ -31,7 +31,8 @@ def table_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and owned tokens of each page that the graph engine finds."""
-    return _counted(engine.graph(_bare(spark, sf_dir))).select("doc_id", "n_rows", "n_tokens")
+    tokens = derived.tokens(spark, sf_dir).select("doc_id", "ord", "text", "min_x", "max_x", "min_y", "max_y")
+    return _counted(engine.graph(tokens, dealt=True)).select("doc_id", "n_rows", "n_tokens")
 
 
 def graph_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,15 +55,13 @@ def claimed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Row, column, claim and repair of every token of graph tables that have lost tokens: every thirteenth is in no row of the graph, every second of these lies off the page."""
     planted = (F.col("doc_id") + F.col("ord")) % 13 == 0
     away = F.when((F.col("doc_id") + F.col("ord")) % 26 == 0, 5000).otherwise(F.when(planted, 3).otherwise(0))
-    t = derived.tokens(spark, sf_dir).drop("row_no", "col_no").withColumn("min_y", F.col("min_y") + away).withColumn("max_y", F.col("max_y") + away).withColumn("planted", planted)
-    t = written(t)
-    inside = t.where(~F.col("planted"))
-    members = folds.folded(inside.select("doc_id", "ord", "min_x", "max_x", "min_y", "max_y"), folds.graph_rows, "doc_id bigint, ord bigint, graph_row bigint").withColumnRenamed("graph_row", "row_no")
-    placed = written(inside.join(members, ["doc_id", "ord"]))
+    t = derived.tokens(spark, sf_dir).drop("row_no", "col_no").withColumn("min_y", F.col("min_y") + away).withColumn("max_y", F.col("max_y") + away).withColumn("inside", ~planted)
+    t = written(folds.told(t, folds.graph_rows, {"graph_row": "row_no"}, where="inside", dealt=True).drop("inside"))
+    placed = t.where("row_no is not null")
     bands = engine.bands(placed)
     top = placed.join(bands.groupBy("doc_id").agg(F.min_by("row_no", "min_y").alias("row_no")), ["doc_id", "row_no"], "left_semi")
     columns = t.select("doc_id").distinct().join(F.broadcast(layout.boxes(spark)))  # eight columns by definition of the page
-    found = claims.assigned(claims.claimed(t.drop("planted"), placed.select("doc_id", "ord", "row_no"), bands), claims.meant_columns(columns, top))
+    found = claims.assigned(claims.listed(t, bands), claims.meant_columns(columns, top))
     return found.select("doc_id", "ord", F.col("row_no").cast("bigint").alias("row_no"), F.col("col_no").cast("int").alias("col_no"), "claim", F.coalesce("repair", F.lit("none")).alias("repair"))
 
 
