@@ -102,3 +102,10 @@ def test_a_graphs_confidence_takes_one_grouping_of_its_rows(spark):
     rows = spark.createDataFrame([(1, "item"), (1, "item"), (1, "footer"), (2, "unknown")], "doc_id bigint, hint string")
     want = evidence.graph_confidence(rows, spark.createDataFrame([(1, 1), (1, 2)], "doc_id bigint, support bigint"), spark.createDataFrame([(1, False)] * 3 + [(1, True)] * 2 + [(2, False)] * 2, "doc_id bigint, isolated boolean"))
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_lines_of_many_pages_are_those_of_each(seed):
+    frame = documents(seed)
+    alone = pd.concat([folds.line_view(f) for _, f in frame.groupby("doc_id")])
+    assert sorted(folds.line_view(frame).itertuples(index=False, name=None)) == sorted(alone.itertuples(index=False, name=None))
