@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import quantity
-from ..functions.predicates import count
+from ..functions.predicates import bound, count
 from ..functions.scalars import lenient_number
 
 #: Rows that are no part of a table, in the order in which they are tried.
@@ -98,10 +98,11 @@ def confusion(product: Column, qty: Column, free: Column, rate: Column, gst: Col
 
 def suspicious(text: Column) -> Column:
     """Whether a cell holds several numbers that don't belong together; compound quantities do."""
-    numbers = F.regexp_extract_all(text, F.lit(r"\d+(?:\.\d+)?"), F.lit(0))
-    values = F.transform(numbers, lambda n: n.cast("double"))
-    close = F.exists(values, lambda a: (a > 100) & F.exists(values, lambda b: (b > 100) & (a != b) & (F.abs(a - b) <= 0.5)))
-    return (F.size(numbers) >= 2) & (text.rlike(r"\d+\.\d+\.\d+") | close) & ~quantity.is_compound(text)
+    values = lambda: F.transform(F.regexp_extract_all(text, F.lit(r"\d+(?:\.\d+)?"), F.lit(0)), lambda n: n.cast("double"))
+    near = lambda values: F.exists(values, lambda a: (a > 100) & F.exists(values, lambda b: (b > 100) & (a != b) & (F.abs(a - b) <= 0.5)))
+    # two numbers over 100 have three digits each, so that the others needn't be read
+    close = text.rlike(r"\d{3}\d*+\D(?s:.*?)\d{3}") & bound(values(), near)
+    return (text.rlike(r"\d++\.\d++\.\d") | close) & ~quantity.is_compound(text)
 
 
 def rescue(tokens: DataFrame) -> DataFrame:
