@@ -6,7 +6,7 @@ import re
 from pyspark.sql import functions as F
 
 from quillgrid.functions import quantity, scalars
-from quillgrid.operators import audit
+from quillgrid.operators import audit, finance
 from quillgrid.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +52,28 @@ def test_plain_numbers_are_read_as_others(spark):
     frame = spark.createDataFrame([(t,) for t in texts], "t string")
     got = frame.select(scalars.to_decimal(F.col("t")).alias("a"), scalars.to_decimal(F.concat("t", F.lit(" "))).alias("b")).collect()
     assert [r.a for r in got] == [r.b for r in got] and str(got[1].a) == "12.5000"
+
+
+def test_taxes_are_paired_in_one_pass(spark):
+    assert scans(spark, "tax_pair_match") == 1
+
+
+def test_tax_pairs_are_the_best_of_all_pairs(spark):
+    rng = random.Random(5)
+    rows = [(d, r, rng.choice(["sgst", "cgst", "igst"]), rng.choice([100, 101, 102, 105])) for d in range(200) for r in range(rng.randint(1, 6))]
+    rows += [(d, r, {"sgst": "cgst", "cgst": "sgst", "igst": "igst"}[k], v + rng.choice([0, 1])) for d, r, k, v in rows if d % 3 == 0]
+    frame = spark.createDataFrame(rows, "doc_id long, row_no int, label string, v int").withColumn("value", F.col("v").cast("decimal(20,4)"))
+    got = {r.doc_id: (r.s_row, int(r.s), r.c_row, int(r.c)) for r in finance.tax_pairs(frame).collect()}
+    want = {}
+    for d in range(200):
+        s, c = ([(r, v) for e, r, k, v in rows if e == d and k == label] for label in ("sgst", "cgst"))
+        best = min(((a != b, abs(x - y), a, b, x, y) for a, x in s for b, y in c if abs(x - y) <= 1), default=None)
+        if best:
+            want[d] = (best[2], best[4], best[3], best[5])
+    assert got == want and len(want) > 50
+
+
+def test_a_label_over_two_cells_is_none(spark):
+    """The row as a whole may read GRAND TOTAL where none of its cells does."""
+    rows = spark.createDataFrame([(1, 1, ["GRAND", "TOTAL", "5.00"]), (1, 2, ["NET AMOUNT 7.00"])], "doc_id long, row_no int, cells array<string>")
+    assert [(r.row_no, r.label, float(r.value)) for r in finance.label_candidates(rows).collect()] == [(2, "parsed_grand_total", 7.0)]
