@@ -13,14 +13,14 @@ from ..functions import quantity
 from ..functions.predicates import bound, count
 from ..functions.scalars import lenient_number
 
-#: Rows that are no part of a table, in the order in which they are tried.
+#: Rows that are no part of a table, in the order in which they are tried; first letters leave most places of a text untried.
 NOISE = (
-    ("amount_in_words", r"AMOUNT IN WORDS|AMT IN WORDS|RUPEES|WORDS ONLY"),
-    ("terms_conditions", r"TERMS & CONDITIONS|TERMS AND CONDITIONS|SUBJECT TO|JURISDICTION|GOODS ONCE SOLD|INTEREST @|DELAYED PAYMENT"),
-    ("bank_signature", r"SIGNATURE|AUTHORISED SIGN|AUTH\. SIGN|BANK DETAIL|IFSC CODE|A/C NO|ACCOUNT NO|FOR AUTHORISED|PROP\.|PARTNER"),
-    ("gst_summary_tax_footer", r"GST SUMMARY|TAX SUMMARY|TAXABLE VAL|^(?=.*CGST)(?=.*SGST)(?=.*TAXABLE)"),
+    ("amount_in_words", r"(?=[ARW])(?:AMOUNT IN WORDS|AMT IN WORDS|RUPEES|WORDS ONLY)"),
+    ("terms_conditions", r"(?=[TSJGID])(?:TERMS & CONDITIONS|TERMS AND CONDITIONS|SUBJECT TO|JURISDICTION|GOODS ONCE SOLD|INTEREST @|DELAYED PAYMENT)"),
+    ("bank_signature", r"(?=[SABIFP])(?:SIGNATURE|AUTHORISED SIGN|AUTH\. SIGN|BANK DETAIL|IFSC CODE|A/C NO|ACCOUNT NO|FOR AUTHORISED|PROP\.|PARTNER)"),
+    ("gst_summary_tax_footer", r"(?=[GT])(?:GST SUMMARY|TAX SUMMARY|TAXABLE VAL)|^(?=.*CGST)(?=.*SGST)(?=.*TAXABLE)"),
 )
-HEADER_WORDS = r"\b(?:PRODUCT|ITEM|DESCRIPTION|PARTICULARS|BATCH|EXP|EXPIRY|HSN|QTY|QUANTITY|MRP|RATE|AMOUNT)\b"
+HEADER_WORDS = r"(?=[PIDBEHQMRA])\b(?:PRODUCT|ITEM|DESCRIPTION|PARTICULARS|BATCH|EXP|EXPIRY|HSN|QTY|QUANTITY|MRP|RATE|AMOUNT)\b"
 MEDICINE_WORDS = r"\b(?:TAB|CAP|INJ|SUSP|SYR|TABLET|CAPSULE|MG|ML|GM|STRIP)\b"
 COMMON_WORDS = ("THE", "AND", "FOR", "TOTAL", "GST", "CGST", "SGST", "IGST", "TAX", "NET", "GRAND", "SUB", "INVOICE", "DATE", "AMOUNT")
 #: Header words with their usual misreadings, in the order in which they are tried.
@@ -31,14 +31,14 @@ HEADER_ROLES = (
 NON_ITEM = r"TOTAL|SUBTOTAL|GRAND TOTAL|NET AMOUNT|NET PAYABLE|CGST|SGST|IGST|GST|ROUND OFF|CARRY FORWARD|PAGE|INVOICE TOTAL"
 
 
-def drop_reason(text: Column, hint: Column) -> Column:
+def drop_reason(text: Column, hint: Column, up: Column | None = None) -> Column:
     """Why a row of the token graph is left out of the table; null if it stays.
 
     hint is item, header, footer, metadata, tax or unknown. A row that isn't an
     item or a header stays for header words, or for a product with a batch, an
-    expiry or a sum.
+    expiry or a sum. up is the upper-case text, where a column holds it.
     """
-    up = F.upper(F.coalesce(text, F.lit("")))
+    up = F.upper(F.coalesce(text, F.lit(""))) if up is None else up
     words = F.filter(F.regexp_extract_all(up, F.lit(r"\b[A-Z]{3,}\b"), F.lit(0)), lambda w: ~w.isin(*COMMON_WORDS))
     product = up.rlike(MEDICINE_WORDS) | (F.size(words) > 0)
     evidence = up.rlike(r"\bB\.?\s*NO\b|BATCH|LOT|\bB/N\b|\bB\.N\b|\b\d{2}[/-]\d{2,4}\b|EXP|\b\d+\.\d{2}\b")
@@ -51,11 +51,11 @@ def drop_reason(text: Column, hint: Column) -> Column:
     return out
 
 
-def row_hint(text: Column, n_tokens: Column) -> Column:
-    """What a row of the token graph may be, by its words and its size."""
-    up = F.upper(text)
+def row_hint(text: Column, n_tokens: Column, up: Column | None = None) -> Column:
+    """What a row of the token graph may be, by its words and its size. up is the upper-case text, where a column holds it."""
+    up = F.upper(text) if up is None else up
     item = (n_tokens >= 3) & up.rlike("[A-Z]") & up.rlike(r"\d")
-    return F.when(up.rlike(r"\bTOTAL\b|SUB TOTAL|ROUND OFF|NET PAYABLE"), "footer").when(count(up, HEADER_WORDS) >= 2, "header").when(item, "item").when(up.rlike("GSTIN|INVOICE|PHONE|ADDRESS"), "metadata").otherwise("unknown")
+    return F.when(up.rlike(r"(?=[TSRN])(?:\bTOTAL\b|SUB TOTAL|ROUND OFF|NET PAYABLE)"), "footer").when(count(up, HEADER_WORDS) >= 2, "header").when(item, "item").when(up.rlike("GSTIN|INVOICE|PHONE|ADDRESS"), "metadata").otherwise("unknown")
 
 
 def header_role(text: Column) -> Column:

@@ -77,3 +77,32 @@ def test_a_label_over_two_cells_is_none(spark):
     """The row as a whole may read GRAND TOTAL where none of its cells does."""
     rows = spark.createDataFrame([(1, 1, ["GRAND", "TOTAL", "5.00"]), (1, 2, ["NET AMOUNT 7.00"])], "doc_id long, row_no int, cells array<string>")
     assert [(r.row_no, r.label, float(r.value)) for r in finance.label_candidates(rows).collect()] == [(2, "parsed_grand_total", 7.0)]
+
+
+def test_what_a_row_may_be_is_told_once(spark):
+    assert plan(catalogue.QUERIES["row_drop_reasons"](spark, SF)).count("NET PAYABLE") <= 1
+
+
+def test_reasons_are_those_of_patterns_without_first_letters(spark):
+    rng = random.Random(7)
+    words = ["TOTAL", "SUB TOTAL", "RUPEES", "AMT IN WORDS", "TERMS AND CONDITIONS", "INTEREST @ 2", "AUTH. SIGN", "PROP.", "A/C NO", "GST SUMMARY", "TAXABLE", "CGST", "SGST", "CGST RATE", "PRODUCT", "QTY", "TAB", "BATCH", "12.50", "GSTIN", "xx", "INVOICE", "SUBTOTAL", "PREAMOUNT"]
+    texts = [" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(3000)]
+    bare = lambda p: re.sub(r"\(\?=\[[A-Z]+\]\)", "", p)
+    heads, feet = bare(audit.HEADER_WORDS), r"\bTOTAL\b|SUB TOTAL|ROUND OFF|NET PAYABLE"
+
+    def reason(text, n):
+        up = text.upper()
+        has = lambda p: bool(re.search(p, up))
+        item = n >= 3 and has("[A-Z]") and has(r"\d")
+        hint = "footer" if has(feet) else "header" if len(re.findall(heads, up)) >= 2 else "item" if item else "metadata" if has("GSTIN|INVOICE|PHONE|ADDRESS") else "unknown"
+        for name, pattern in audit.NOISE:
+            if has(bare(pattern)) or (name == "gst_summary_tax_footer" and has("[CSI]GST RATE") and not has(heads)):
+                return name
+        product = has(audit.MEDICINE_WORDS) or any(w not in audit.COMMON_WORDS for w in re.findall(r"\b[A-Z]{3,}\b", up))
+        evidence = has(r"\bB\.?\s*NO\b|BATCH|LOT|\bB/N\b|\bB\.N\b|\b\d{2}[/-]\d{2,4}\b|EXP|\b\d+\.\d{2}\b")
+        return None if hint in ("item", "header") or has(heads) or (product and evidence) else f"row_type_hint_{hint}"
+
+    frame = spark.createDataFrame([(t, len(t.split())) for t in texts], "t string, n int")
+    got = [r.r for r in frame.select(audit.drop_reason(F.col("t"), audit.row_hint(F.col("t"), F.col("n"))).alias("r")).collect()]
+    want = [reason(t, len(t.split())) for t in texts]
+    assert got == want and len(set(want)) >= 8
