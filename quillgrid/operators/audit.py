@@ -105,6 +105,10 @@ def suspicious(text: Column) -> Column:
     return (text.rlike(r"\d++\.\d++\.\d") | close) & ~quantity.is_compound(text)
 
 
+#: Kinds of tokens that make a rescued row.
+RESCUED = ("product", "amount", "quantity", "rate")
+
+
 def rescue(tokens: DataFrame) -> DataFrame:
     """Rows from a product band and an amount band where a page has no usable columns.
 
@@ -112,13 +116,15 @@ def rescue(tokens: DataFrame) -> DataFrame:
     amounts have to agree within the larger of 2 and 35 %, with three at least;
     the i-th product gets the i-th amount, quantity and rate. Confidence in thousandths.
     """
-    w = Window.partitionBy("doc_id", "kind").orderBy("min_y", "min_x", "ord")
-    rows = tokens.withColumn("i", F.row_number().over(w)).groupBy("doc_id", "i").pivot("kind", ["product", "amount", "quantity", "rate"]).agg(F.first("text"))
-    sizes = tokens.groupBy("doc_id").agg(F.count_if(F.col("kind") == "product").alias("p"), F.count_if(F.col("kind") == "amount").alias("a"))
-    apart = F.abs(F.col("p") - F.col("a"))
-    fits = (F.col("p") >= 3) & (F.col("a") >= 3) & (apart * 100 <= F.greatest(F.lit(200), 35 * F.greatest("p", "a")))
-    sizes = sizes.where(fits).withColumn("confidence", F.least(F.lit(950), 480 + 55 * F.least("p", "a") + F.when(apart <= 1, 120).otherwise(60)).cast("bigint"))
-    return rows.join(sizes.select("doc_id", "confidence"), "doc_id").where("product is not null and amount is not null")
+    of = lambda kind: F.collect_list(F.when(F.col("kind") == kind, F.struct("min_y", "min_x", "ord", "text")))
+    pages = tokens.groupBy("doc_id").agg(*[of(k).alias(f"_{k}") for k in RESCUED])
+    p, a = F.size("_product"), F.size("_amount")
+    apart = F.abs(p - a)
+    fits = (p >= 3) & (a >= 3) & (apart * 100 <= F.greatest(F.lit(200), 35 * F.greatest(p, a)))
+    told = pages.where(fits).select("doc_id", *[F.sort_array(f"_{k}").alias(f"_{k}") for k in RESCUED], F.least(F.lit(950), 480 + 55 * F.least(p, a) + F.when(apart <= 1, 120).otherwise(60)).cast("bigint").alias("confidence"))
+    # rows end with the shorter of the two bands
+    rows = told.select("doc_id", "confidence", F.posexplode(F.arrays_zip(*[F.col(f"_{k}")["text"].alias(k) for k in RESCUED])).alias("at", "r"))
+    return rows.select("doc_id", (F.col("at") + 1).alias("i"), *[f"r.{k}" for k in RESCUED], "confidence").where("product is not null and amount is not null")
 
 
 def phase_repaired(rows: DataFrame, above: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@
 import random
 import re
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from quillgrid.functions import quantity, scalars
@@ -106,3 +107,25 @@ def test_reasons_are_those_of_patterns_without_first_letters(spark):
     got = [r.r for r in frame.select(audit.drop_reason(F.col("t"), audit.row_hint(F.col("t"), F.col("n"))).alias("r")).collect()]
     want = [reason(t, len(t.split())) for t in texts]
     assert got == want and len(set(want)) >= 8
+
+
+def test_rows_are_rescued_in_one_pass(spark):
+    assert scans(spark, "band_rescue") == 1
+
+
+def test_rescued_rows_are_those_of_numbered_tokens(spark):
+    rng = random.Random(9)
+    tokens = [(d, k, rng.randint(0, 9), rng.randint(0, 9), o, rng.choice([f"{k}{o}", f"{k}{o}", None])) for d in range(80) for o, k in enumerate(rng.choices(audit.RESCUED, k=rng.randint(1, 30)))]
+    got = audit.rescue(spark.createDataFrame(tokens, "doc_id long, kind string, min_y long, min_x long, ord long, text string")).collect()
+    frame = pd.DataFrame(tokens, columns=["doc_id", "kind", "min_y", "min_x", "ord", "text"]).sort_values(["doc_id", "kind", "min_y", "min_x", "ord"])
+    want = set()
+    for d, page in frame.groupby("doc_id"):
+        band = {k: page.text[page.kind == k].tolist() for k in audit.RESCUED}
+        p, a = len(band["product"]), len(band["amount"])
+        if p >= 3 and a >= 3 and abs(p - a) * 100 <= max(200, 35 * max(p, a)):
+            sure = min(950, 480 + 55 * min(p, a) + (120 if abs(p - a) <= 1 else 60))
+            for i in range(min(p, a)):
+                row = [band[k][i] if i < len(band[k]) else None for k in audit.RESCUED]
+                if row[0] is not None and row[1] is not None:
+                    want.add((d, i + 1, *row, sure))
+    assert {(r.doc_id, r.i, r.product, r.amount, r.quantity, r.rate, r.confidence) for r in got} == want and len(got) == len(want) > 50
