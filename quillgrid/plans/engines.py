@@ -56,13 +56,7 @@ def claimed_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     planted = (F.col("doc_id") + F.col("ord")) % 13 == 0
     away = F.when((F.col("doc_id") + F.col("ord")) % 26 == 0, 5000).otherwise(F.when(planted, 3).otherwise(0))
     t = derived.tokens(spark, sf_dir).drop("row_no", "col_no").withColumn("min_y", F.col("min_y") + away).withColumn("max_y", F.col("max_y") + away).withColumn("inside", ~planted)
-    t = written(folds.told(t, folds.graph_rows, {"graph_row": "row_no"}, where="inside", dealt=True).drop("inside"))
-    placed = t.where("row_no is not null")
-    bands = engine.bands(placed)
-    top = placed.join(bands.groupBy("doc_id").agg(F.min_by("row_no", "min_y").alias("row_no")), ["doc_id", "row_no"], "left_semi")
-    columns = t.select("doc_id").distinct().join(F.broadcast(layout.boxes(spark)))  # eight columns by definition of the page
-    found = claims.assigned(claims.listed(t, bands), claims.meant_columns(columns, top))
-    return found.select("doc_id", "ord", F.col("row_no").cast("bigint").alias("row_no"), F.col("col_no").cast("int").alias("col_no"), "claim", F.coalesce("repair", F.lit("none")).alias("repair"))
+    return claims.on_pages(t, tuple((i, a, b) for i, (_, _, a, b) in enumerate(derived.COLUMNS)))
 
 
 QUERIES = {f.__name__: f for f in (table_engine, graph_engine, graph_repairs, row_integrity, claimed_tokens)}
