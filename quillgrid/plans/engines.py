@@ -8,16 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import predicates
 from ..operators import claims, engine, folds
 from ..sources import derived
-from ..sources.staging import written
+from ..sources.staging import computed
 from . import layout
 from .sql import with_tokens
 
 
-def _bare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tokens without the row and column that they were written to."""
-    return written(derived.tokens(spark, sf_dir).select("doc_id", "ord", "text", "min_x", "max_x", "min_y", "max_y"))
-
-
 def _counted(tables: engine.Tables) -> DataFrame:
     owned = tables.owned.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_distinct("cell_row", "cell_col").alias("n_filled"))
     rows, columns = (t.groupBy("doc_id").agg(F.count("*").alias(c)) for t, c in ((tables.rows, "n_rows"), (tables.columns, "n_columns")))
@@ -26,7 +21,11 @@ def _counted(tables: engine.Tables) -> DataFrame:
 
 def table_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, columns, filled cells and owned tokens of each page that the heuristic engine finds."""
-    return _counted(engine.heuristic(_bare(spark, sf_dir)))
+    paged = engine.found(derived.tokens(spark, sf_dir).select("doc_id", "ord", "text", "min_x", "max_x", "min_y", "max_y")).select("doc_id", "told")
+    wide = F.get("told", F.lit(0))["n_columns"]
+    filled = F.filter(F.transform("told", lambda t: t["cell_row"] * wide + t["cell_col"]), lambda c: c.isNotNull())
+    t = computed(paged, n_rows=F.size(F.array_distinct(F.col("told")["row_no"])).cast("bigint"), n_columns=wide, filled=filled)
+    return t.where(F.size("filled") > 0).select("doc_id", F.size("filled").cast("bigint").alias("n_tokens"), F.size(F.array_distinct("filled")).cast("bigint").alias("n_filled"), "n_rows", "n_columns")
 
 
 def graph_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
