@@ -81,3 +81,11 @@ def test_runs_are_those_of_the_steps_of_coverage(spark):
     want = report.occupied_runs(spark.createDataFrame(frame[["doc_id", "min_x", "max_x"]]), 3).collect()
     got = pages._runs(page, x0, x1, 3)
     assert sorted(zip(*map(np.ndarray.tolist, got), strict=True)) == sorted((r.doc_id, r.start, r.stop) for r in want)
+
+
+@pytest.mark.parametrize("name, most", [("invoice_pipeline", 1), ("topology_arbitration", 5), ("contested_items", 5)])
+def test_tables_of_whole_chains_are_written_few_times(spark, name, most, tmp_path, monkeypatch):
+    """Each table that is written and read again is dealt anew, which filled the disk."""
+    monkeypatch.setattr(staging, "folder", lambda _: str(tmp_path))
+    assert catalogue.QUERIES[name](spark, SF).columns
+    assert len(list(tmp_path.glob("staged-*"))) <= most
