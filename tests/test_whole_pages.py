@@ -7,14 +7,14 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillgrid.operators import assign, claims, engine, folds, pages, placing, report
+from quillgrid.operators import assign, claims, engine, folds, pages, placing, rebuild, report
 from quillgrid.plans import catalogue
 from quillgrid.sources import staging
 
 from .test_scale import SF, documents, exchanges
 
 
-@pytest.mark.parametrize("name", ["table_engine", "claimed_tokens"])
+@pytest.mark.parametrize("name", ["table_engine", "claimed_tokens", "anchor_rebuild", "anchor_rebuild_report"])
 def test_pages_take_one_shuffle_and_nothing_is_written(spark, name, tmp_path, monkeypatch):
     monkeypatch.setattr(staging, "folder", lambda _: str(tmp_path))
     assert exchanges(catalogue.QUERIES[name](spark, SF)) <= 1
@@ -89,3 +89,26 @@ def test_tables_of_whole_chains_are_written_few_times(spark, name, most, tmp_pat
     monkeypatch.setattr(staging, "folder", lambda _: str(tmp_path))
     assert catalogue.QUERIES[name](spark, SF).columns
     assert len(list(tmp_path.glob("staged-*"))) <= most
+
+
+def test_columns_of_whole_pages_are_rebuilt_as_by_the_joins(spark):
+    rng = random.Random(11)
+    texts = [["12.50", "7.25", " 9.00"], ["5", "3+1"], ["B12345", "C99-81X"], ["05/26"], ["300412"], ["CROCIN 10'S TAB", "PARACETAMOL SYRUP 60ML", "x"], ["", "  "]]
+    rows = []
+    for doc in range(90):
+        lefts, kinds = [40 + 110 * k for k in range(6)], rng.choices(range(5), k=5)
+        for r in range(rng.randint(1, 7)):
+            for k, x in enumerate(lefts):
+                if rng.random() < 0.85:
+                    at = x + rng.randint(-4, 4)
+                    col = (k, 0, k // 3, k // 2)[doc % 4]
+                    rows.append((doc, 8 * r + k, r, col, rng.random() < 0.8, rng.choice(texts[5 if k == 0 else kinds[k - 1] if rng.random() < 0.9 else 6]), at, at + rng.randint(20, 60), 24 * r, 24 * r + 14))
+    table = spark.createDataFrame(rows, "doc_id bigint, ord bigint, row_no int, col_no int, item boolean, text string, min_x bigint, max_x bigint, min_y bigint, max_y bigint").cache()
+    lacking = table.groupBy("doc_id").agg(F.count_distinct("col_no").alias("n")).where("n = 2")
+    want, report_ = rebuild.rebuilt(table, lacking)
+    told = rebuild.on_pages(table, F.size(F.array_distinct(F.col("tokens")["col_no"])) == 2).cache()
+    got = {(r.doc_id, o, t.new_col) for r in told.collect() for o, t in zip(r.ords, r.told, strict=True)}
+    assert got == {(r.doc_id, r.ord, r.new_col) for r in want.collect()}
+    reports = {(r.doc_id, pages.REASONS[r.told[0].reason], r.told[0].rebuilt, r.told[0].before, r.told[0].after, r.told[0].split) for r in told.collect()}
+    assert reports == {(r.doc_id, r.reason, r.rebuilt, r.before, r.after, r.split) for r in report_.collect()}
+    assert len({r[1] for r in reports}) >= 3 and {r[2] for r in reports} == {True, False}
