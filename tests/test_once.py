@@ -4,10 +4,11 @@ import random
 import re
 
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from quillgrid.functions import quantity, scalars
-from quillgrid.operators import audit, finance
+from quillgrid.operators import audit, finance, semantics
 from quillgrid.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -129,3 +130,21 @@ def test_rescued_rows_are_those_of_numbered_tokens(spark):
                 if row[0] is not None and row[1] is not None:
                     want.add((d, i + 1, *row, sure))
     assert {(r.doc_id, r.i, r.product, r.amount, r.quantity, r.rate, r.confidence) for r in got} == want and len(got) == len(want) > 50
+
+
+@pytest.mark.parametrize("name, most", [("column_profile", 1), ("semantic_outliers", 2), ("stability_scores", 2), ("repair_evidence", 2)])
+def test_cells_are_made_in_generated_code_and_read_few_times(spark, name, most):
+    """Functions over elements of arrays are interpreted, and took half of the time; each further branch makes all cells anew."""
+    assert scans(spark, name) <= most
+    assert "lambda x" not in plan(catalogue.QUERIES["column_profile"](spark, SF))
+
+
+def test_looks_of_cells_are_their_features(spark):
+    rng = random.Random(13)
+    parts = ["12", "5.", "₹9", ".50", "18%", "TAB ", "cap", "B-12", "/", "05/26", "300412", "+1", "x", "*10", "é", "GST", "DISC", " ", "\t", ",", "less", "2.5", "-", "İ"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 4))) for _ in range(3000)] + [None]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    names = list(semantics.features(F.col("text")))
+    want = frame.select(*[v.alias(k) for k, v in semantics.features(F.col("text")).items()]).collect()
+    got = semantics.looked(frame).select(*[f"f_{k}" for k in names], "text").collect()
+    assert [tuple(r)[:-1] for r in got if r.text is not None] == [tuple(r) for r, t in zip(want, texts, strict=True) if t is not None]
