@@ -6,19 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import predicates
-from ..operators import claims, engine, folds
+from ..operators import claims, engine, pages
 from ..sources import derived
 from ..sources.staging import computed
 from . import layout
 from .sql import with_tokens
 
 
-def _counted(tables: engine.Tables) -> DataFrame:
-    owned = tables.owned.groupBy("doc_id").agg(F.count("*").alias("n_tokens"), F.count_distinct("cell_row", "cell_col").alias("n_filled"))
-    rows, columns = (t.groupBy("doc_id").agg(F.count("*").alias(c)) for t, c in ((tables.rows, "n_rows"), (tables.columns, "n_columns")))
-    return owned.join(rows, "doc_id").join(columns, "doc_id")
-
-
 def table_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows, columns, filled cells and owned tokens of each page that the heuristic engine finds."""
     paged = engine.found(derived.tokens(spark, sf_dir).select("doc_id", "ord", "text", "min_x", "max_x", "min_y", "max_y")).select("doc_id", "told")
@@ -30,8 +24,9 @@ def table_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_engine(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows and owned tokens of each page that the graph engine finds."""
-    tokens = derived.tokens(spark, sf_dir).select("doc_id", "ord", "text", "min_x", "max_x", "min_y", "max_y")
-    return _counted(engine.graph(tokens, dealt=True)).select("doc_id", "n_rows", "n_tokens")
+    paged = pages.paged(derived.tokens(spark, sf_dir), "ord", *pages.BOX)
+    told = paged.select("doc_id", pages.beside(pages.graph, pages.GRAPH, "tokens").alias("told"))
+    return told.select("doc_id", F.size(F.array_distinct(F.col("told")["cell_row"])).cast("bigint").alias("n_rows"), F.size(F.array_compact(F.col("told")["cell_col"])).cast("bigint").alias("n_tokens"))
 
 
 def graph_repairs(spark: SparkSession, sf_dir: str) -> DataFrame:

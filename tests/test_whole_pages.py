@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from quillgrid.operators import assign, claims, engine, folds, pages, placing, rebuild, report
+from quillgrid.operators import assign, claims, engine, evidence, folds, pages, placing, rebuild, report
 from quillgrid.plans import catalogue
 from quillgrid.sources import staging
 
@@ -112,3 +112,26 @@ def test_columns_of_whole_pages_are_rebuilt_as_by_the_joins(spark):
     reports = {(r.doc_id, pages.REASONS[r.told[0].reason], r.told[0].rebuilt, r.told[0].before, r.told[0].after, r.told[0].split) for r in told.collect()}
     assert reports == {(r.doc_id, r.reason, r.rebuilt, r.before, r.after, r.split) for r in report_.collect()}
     assert len({r[1] for r in reports}) >= 3 and {r[2] for r in reports} == {True, False}
+
+
+@pytest.mark.parametrize("name, most", [("graph_engine", 1), ("orphan_tokens", 2), ("token_coverage", 1), ("best_bands", 2)])
+def test_no_cell_or_band_is_a_row_of_the_plan(spark, name, most, tmp_path, monkeypatch):
+    """A token's candidates were exploded, or looked at by functions over elements of arrays, which are interpreted."""
+    monkeypatch.setattr(staging, "folder", lambda _: str(tmp_path))
+    frame = catalogue.QUERIES[name](spark, SF)
+    plan = frame._jdf.queryExecution().executedPlan().toString()
+    assert exchanges(frame) <= most and not list(tmp_path.glob("staged-*"))
+    assert "ArrowEvalPython" in plan and "MapInPandas" not in plan and "array_min" not in plan
+
+
+def test_bands_and_graphs_of_whole_pages_are_those_of_the_joins(spark):
+    frame = documents(21, 40)[["doc_id", "ord", *placing.BOX]].assign(text="x")
+    tokens = spark.createDataFrame(frame).cache()
+    as_set = lambda f: {tuple(r) for r in f.collect()}
+    want = as_set(engine.graph(tokens).owned.select("doc_id", "ord", "cell_row", "cell_col"))
+    told = pages.graph(frame.rename(columns={"doc_id": "page"}))
+    assert set(zip(frame.doc_id, frame.ord, told["cell_row"].tolist(), told["cell_col"].tolist(), strict=True)) == want
+    bands = pd.DataFrame([(d, k, 80 * k + d, 80 * k + 60 + d) for d in range(40) for k in range(d % 7 + 1)], columns=["doc_id", "col_no", "min_x", "max_x"])
+    want = as_set(evidence.best_band(tokens, spark.createDataFrame(bands)))
+    told = pages.best_bands(frame.rename(columns={"doc_id": "page"}), bands.rename(columns={"doc_id": "page"}).sample(frac=1, random_state=1).sort_values("page"))
+    assert set(zip(frame.doc_id, frame.ord, told["band"].tolist(), told["common"].tolist(), strict=True)) == want
